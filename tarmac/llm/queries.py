@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, simhash, token_counts, url_rules, wavelet
+from tarmac.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_rules, wavelet
 from tarmac.llm.common import read_documents
 
 #: The rules by which pages are judged.
@@ -55,6 +55,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(read_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, pipeline)
+    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, op10_suffix_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
