@@ -87,7 +87,7 @@ def representative_point(points: Column) -> Column:
         n = F.size(points)
         middle = lambda axis: F.aggregate(
             F.arrays_zip(lengths.alias("d"), F.slice(points, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(points, 2, F.greatest(n - 1, F.lit(0))).alias("b")),
-            F.lit(0.0), lambda s, z: s + z["0"] * (z["1"][axis] + z["2"][axis]) / 2,
+            F.lit(0.0), lambda s, z: s + z["d"] * (z["a"][axis] + z["b"][axis]) / 2,
         ) / total
         pool = F.when(n > 2, F.slice(points, 2, F.greatest(n - 2, F.lit(0)))).otherwise(points)
         return _let(F.struct(middle("x").alias("x"), middle("y").alias("y")), lambda c: F.array_min(

@@ -207,7 +207,7 @@ def overlap_share(pieces: DataFrame, other: DataFrame, reach: float, line_id: st
     spans = [circle(F.col("bx0"), F.col("by0")), circle(F.col("bx1"), F.col("by1")), strip()]
     low = F.least(*(s[0] for s in spans))
     high = F.greatest(*(s[1] for s in spans))
-    clipped = met.select(line_id, "__id", F.sqrt(size).alias("long"), F.greatest(low, F.lit(0.0)).alias("t0"), F.least(high, F.lit(1.0)).alias("t1")).where("t0 < t1")
+    clipped = met.where(low.isNotNull()).select(line_id, "__id", F.sqrt(size).alias("long"), F.greatest(low, F.lit(0.0)).alias("t0"), F.least(high, F.lit(1.0)).alias("t1")).where("t0 < t1")
     so_far = Window.partitionBy("__id").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
     new = clipped.withColumn("__seen", F.coalesce(F.max("t1").over(so_far), F.lit(0.0)))
     covered = new.groupBy(line_id).agg(F.sum(F.col("long") * F.greatest(F.col("t1") - F.greatest("t0", "__seen"), F.lit(0.0))).alias("near"))

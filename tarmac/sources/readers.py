@@ -68,7 +68,7 @@ def ring_edges(zones: DataFrame, zone_id: str) -> DataFrame:
     ring = zones.select(zone_id, F.posexplode("rings").alias("ring", "p")).where(F.size("p") > 2)
     shifted = F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1))
     ends = ring.select(zone_id, F.explode(F.arrays_zip(F.col("p").alias("a"), shifted.alias("b"))).alias("e"))
-    edges = ends.select(zone_id, F.col("e.0.x").alias("x0"), F.col("e.0.y").alias("y0"), F.col("e.1.x").alias("x1"), F.col("e.1.y").alias("y1")) if "0" in ends.schema["e"].dataType.names else ends.select(zone_id, F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1"))
+    edges = ends.select(zone_id, F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1"))
     return edges.where("x0 <> x1 or y0 <> y1")
 
 
