@@ -12,7 +12,7 @@ lie in segments of the same anchor. Segments are met by anchor, in three steps:
    strings stand in a smaller doc_id.
 
 An anchor with more than HOT contested segments (a passage in a large share of the corpus meets a new context each time)
-is dealt out by its strings in place of itself, each distinct string once from each group of documents.
+is dealt out by its strings in place of itself: a digest of each distinct string once from each group of documents.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ from tarmac.llm.suffix_sort import common_prefixes, suffix_order
 
 ANCHOR = 16
 #: Contested segments of an anchor that go to one suffix array at most.
-HOT = 200
+HOT = 2000
 #: Text bytes whose digests share a bucket, and whose texts share a group, about.
 BUCKET_BYTES = 4 << 20
 _COVERED, _CONTESTED, _CONTESTED_HOT = 0, 1, 2
+_BYTES, _SETTLED, _DIGEST_ONLY = 0, 1, 2
 _NONE = np.iinfo(np.int64).min  # stands for a null doc_id, the smallest of all
 _SEPARATOR = 255  # no byte of UTF-8
 
@@ -201,11 +202,22 @@ def _settle(parts: int, arrays: int, most: int):
 _STRINGS = T.StructType([T.StructField("array", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "start", "size", "settled", "data"))])
 
 
+def _stretches(places: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive places as (first, number), of 100 at most."""
+    first = last = places[0]
+    for i in places[1:]:
+        if i > last + 1 or i - first >= 100:
+            yield first, last - first + 1
+            first = i
+        last = i
+    yield first, last - first + 1
+
+
 def _fetch(length: int, arrays: int):
     """The bytes of contested segments of a group of documents, dealt to suffix arrays.
 
-    Strings of hot anchors are dealt singly. Where several documents of the group hold one, the least sends it and the
-    others' places are settled: they are sent along as such, without bytes.
+    Strings of hot anchors are dealt singly, as digests. Where several documents of the group hold one, the least sends it
+    and the others' places are settled: they are sent along as such, without bytes.
     """
 
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
@@ -226,16 +238,26 @@ def _fetch(length: int, arrays: int):
             else:
                 for i in range(s, s + z - length + 1):
                     singles.setdefault(text[i : i + length], []).append((d, i))
+        gone: dict[int, list[int]] = {}
         if singles:
             at = np.arange(len(singles)) * length
-            spread = slice_hash(prefix_hash(np.frombuffer(b"".join(singles), np.uint8)), at, at + length)
-            for (string, places), w in zip(singles.items(), (spread % np.uint64(arrays)).tolist()):
+            digests = slice_hash(prefix_hash(np.frombuffer(b"".join(singles), np.uint8)), at, at + length)
+            packed = digests.astype("<u8").tobytes()
+            for k, (places, w) in enumerate(zip(singles.values(), (digests % np.uint64(arrays)).tolist())):
                 least = min(places)[0]
-                sent.setdefault(w, []).extend((d, i, 0, string) if d == least else (d, i, 1, b"") for d, i in places)
+                for d, i in places:
+                    if d == least:
+                        sent.setdefault(w, []).append((d, i, _DIGEST_ONLY, packed[8 * k : 8 * k + 8]))
+                    else:
+                        gone.setdefault(d, []).append(i)
+        for d, places in gone.items():
+            for i, n in _stretches(sorted(places)):
+                sent.setdefault(d % arrays, []).append((d, i, _SETTLED, n + length - 1))
         rows = []
         for w, own in sent.items():
             d, s, done, data = zip(*own)
-            rows.append((w, _pack(np.array(d)), _low(np.array(s), 4), _low(np.array([len(x) or length for x in data]), 1), bytes(done), b"".join(data)))
+            sizes = [x if k == _SETTLED else length if k == _DIGEST_ONLY else len(x) for x, k in zip(data, done)]
+            rows.append((w, _pack(np.array(d)), _low(np.array(s), 4), _low(np.array(sizes), 1), bytes(done), b"".join(x for x, k in zip(data, done) if k != _SETTLED)))
         return _table(rows, _STRINGS)
 
     return run
@@ -246,9 +268,12 @@ def _compare(length: int, parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         doc, start, size = _ids(table), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
-        settled = np.frombuffer(_column(table, "settled"), np.uint8) > 0
+        sent = np.frombuffer(_column(table, "settled"), np.uint8)
         data = np.frombuffer(_column(table, "data"), np.uint8)
-        own = np.flatnonzero(~settled)
+        owner = np.repeat(sent, np.choose(sent, [size, 0, 8]))
+        own, single, settled = (np.flatnonzero(sent == k) for k in (_BYTES, _DIGEST_ONLY, _SETTLED))
+        digest = data[owner == _DIGEST_ONLY].copy().view("<u8")
+        data = data[owner == _BYTES]
         ends = np.cumsum(size[own] + 1)
         text = np.full(int(ends[-1]) if len(ends) else 0, _SEPARATOR, np.uint8)
         keep = np.ones(len(text), bool)
@@ -265,15 +290,18 @@ def _compare(length: int, parts: int):
         gone = whole.copy()
         gone[whole] = least[run_of[whole]] < doc[own][segment[whole]]
         at, of = order[gone], own[segment[gone]]
-        place = start[of] + at - begin[segment[gone]]
-        # Neighbouring places of a segment are one stretch.
+        _, same = np.unique(digest, return_inverse=True)
+        least = np.full(len(digest), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, doc[single])
+        also = single[least[same] < doc[single]]
+        place, of = np.concatenate([start[of] + at - begin[segment[gone]], start[also]]), doc[np.concatenate([of, also])]
+        # Neighbouring places of a document are one stretch.
         order = np.lexsort((place, of))
         place, of = place[order], of[order]
-        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)])) if len(of) else np.empty(0, np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (place[1:] > place[:-1] + 1)])) if len(of) else np.empty(0, np.int64)
         last = np.append(new[1:], len(of)) - 1 if len(of) else new
-        also = np.flatnonzero(settled)
-        d, s = np.concatenate([doc[of[new]], doc[also]]), np.concatenate([place[new], start[also]])
-        z = np.concatenate([place[last] - place[new] + length, size[also]])
+        d, s = np.concatenate([of[new], doc[settled]]), np.concatenate([place[new], start[settled]])
+        z = np.concatenate([place[last] - place[new] + length, size[settled]])
         none = np.zeros(len(d), np.int64)
         return _table(_replies(none, d, s, z, none, parts), _REPLY)
 
@@ -288,8 +316,8 @@ def duplicate_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> tuple[
     spark = docs.sparkSession
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4 * shuffle, int(volume / BUCKET_BYTES)) | 1  # odd, so that ids in even steps are spread too
-    arrays = max(2 * shuffle, int(volume / (8 * BUCKET_BYTES)) + 1)
+    parts = max(shuffle, int(volume / BUCKET_BYTES)) | 1  # odd, so that ids in even steps are spread too
+    arrays = max(shuffle, int(volume / (8 * BUCKET_BYTES)) + 1)
     digests = docs.select("doc_id", "text").mapInArrow(_digests(length, parts), _DIGEST)
     replies = cut_lineage(digests.groupBy("bucket").applyInArrow(_settle(parts, arrays, hot), _REPLY))
     asked = replies.where(F.col("kind") != _COVERED)

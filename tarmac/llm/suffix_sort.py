@@ -88,13 +88,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     for k in range(0, depth, 8):
         apart = _chunk(padded, order[some] + k) ^ _chunk(padded, order[some - 1] + k)
         equal = apart == 0
-        # Leading zero bytes of the difference.
-        zero = np.zeros(len(some), np.int64)
-        left = apart.copy()
-        for _ in range(8):
-            high = (left >> np.uint64(56)) == 0
-            zero += high & (zero == _)
-            left <<= np.uint64(8)
+        zero = np.zeros(len(some), np.int64)  # leading zero bytes of the difference
+        for n in range(1, 9):
+            zero += (apart >> np.uint64(64 - 8 * n) if n < 8 else apart) == 0
         out[some] += zero
         some = some[equal]
-    return np.minimum(np.minimum(out, depth), len(data) - order) if len(order) else out
+    if len(order):
+        out = np.minimum(np.minimum(out, depth), len(data) - order)
+        out[1:] = np.minimum(out[1:], len(data) - order[:-1])
+    return out
