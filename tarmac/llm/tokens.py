@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from tarmac.llm.common import steps, text_column
 
-#: Characters that a worker's cache holds, counting 8 for each unit's own cost; it starts anew beyond.
-CACHE_CHARACTERS = 10_000_000
+#: Characters that a worker's cache holds, counting 8 for each unit's own cost, about 300 MB; it starts anew beyond.
+CACHE_CHARACTERS = 24_000_000
 _SPACE = "\u0120"  # the space in a byte-level vocabulary
-_BESIDE = re.compile(r"\s | \s")
+#: White space other than the space and the line end.
+_OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -33,6 +34,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _units(text: str) -> list[str]:
+    """The text cut at each space between two characters that are not white space."""
+    if "  " in text or " \n" in text or "\n " in text or any(x in text for x in _OTHER):
+        return _BETWEEN.split(text)
+    return text.split(" ")
+
+
 class Encoder:
     """Encodes texts into little-endian unsigned 32-bit ids, as bytes."""
 
@@ -62,8 +70,11 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> None:
         """Encode units of the form space + text. Those without inner white space go in one call, split at the spaces."""
-        plain = [x for x in units if x.split() == [x] and not any(y in x for y in self.special)]
-        ids = np.frombuffer(self._library([" " + " ".join(plain)] if plain else [""])[0], "<u4")
+        plain, joined = units, " ".join(units)
+        if len(joined.split()) != len(units) or "" in units or any(y in joined for y in self.special):
+            plain = [x for x in units if x.split() == [x] and not any(y in x for y in self.special)]
+            joined = " ".join(plain)
+        ids = np.frombuffer(self._library([" " + joined] if plain else [""])[0], "<u4")
         ends = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
         if len(ends) == len(plain) + 1:
             data = ids.tobytes()
@@ -74,7 +85,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        cuts = [_BETWEEN.split(x) if _BESIDE.search(x) else x.split(" ") for x in texts]
+        cuts = [_units(x) for x in texts]
         if self.held > CACHE_CHARACTERS:
             self.cache, self.held = {}, 0
         seen: set[str] = set()
