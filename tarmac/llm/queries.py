@@ -115,6 +115,19 @@ m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, leng
 SELECT p.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)"""
 
 
+_OP10 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, x.i AS i, x.s AS s FROM (SELECT doc_id, unnest(list_transform(range(0, greatest(length(h) // 2 - 49, 0)), lambda i: {'i': i, 's': substring(h, 2 * i + 1, 100)})) AS x FROM t)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS fresh FROM w JOIN f USING (s) WHERE first < doc_id),
+r AS (SELECT doc_id, i, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM q JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+ sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """No SQL for encoded texts, models and fingerprints: tests hold those against brute force."""
-    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6}
+    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6, "op10_suffix_dedup": _OP10}
