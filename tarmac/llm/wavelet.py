@@ -43,22 +43,28 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         left, planes = ids.astype(np.uint16 if width <= 16 else np.uint32), []
+        parted = np.empty_like(left)
         for k in range(width - 1, -1, -1):
-            bit = (left >> k) & 1 != 0
+            bit = (left & left.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(bit))
-            left = np.concatenate([left[~bit], left[bit]])
+            ones = np.flatnonzero(bit)
+            zeros = len(left) - len(ones)
+            parted[zeros:] = left[ones]
+            np.compress(~bit, left, out=parted[:zeros])
+            left, parted = parted, left
         return cls(planes, len(ids))
 
     def ids(self) -> np.ndarray:
         """All ids, plane by plane from the last."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        whole = np.empty_like(out)
         for k, plane in enumerate(reversed(self.planes)):
             bit = np.unpackbits(plane, count=self.n).view(bool)
-            whole = np.empty_like(out)
-            zeros = self.n - int(np.count_nonzero(bit))
+            ones = np.flatnonzero(bit)
+            zeros = self.n - len(ones)
             whole[~bit] = out[:zeros]
-            whole[bit] = out[zeros:] | np.uint32(1 << k)
-            out = whole
+            whole[ones] = out[zeros:] | out.dtype.type(1 << k)
+            out, whole = whole, out
         return out
 
     def _bit(self, level: int, at: int) -> int:
