@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +18,54 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder as Parquet and read again.
+
+    A checkpoint keeps the size that the optimiser guessed, a product at each join, whose digits double with each round
+    of a loop until planning stands still; files have their true size.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/components-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` (the least node reachable) of every node that has an edge.
 
-    Each round every node takes the least label among its neighbours, and then the label of its label (pointer jumping),
-    so that the rounds grow with the logarithm of the longest path. Labels are checkpointed each round; the loop ends
-    when none has changed. Minima are made before the shuffle, so a node with many edges costs a row a task.
+    Each round every node points to its least neighbour. Such pointers have no cycles but of two nodes that choose each
+    other, of which the lesser becomes the root. Pointers are doubled until all lead to roots, edges are carried over to
+    the roots, and the next round works on these. No node with an edge stays alone, so a round at least halves the nodes:
+    rounds, and doublings in each, grow with the logarithm of the nodes whatever the shape. The loop ends when no edge is
+    left. All is stored each time; minima are made before the shuffle, so a node with many edges costs a row a task.
     """
     one_way = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    both = checkpoint(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
-    for _ in range(max_rounds):
-        met = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("met"))
-        nearer = labels.join(met, labels.node == met.a).select("node", F.col("label").alias("old"), F.least("label", "met").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        moved = checkpoint(nearer.join(jump, nearer.label == jump["at"]).select("node", "old", F.least("label", "further").alias("label")))
-        changed = moved.where("old <> label").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+    links = _stored(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = None
+    while labels is None or not links.isEmpty():
+        roots = _roots(links)
+        if labels is None:
+            labels = roots
+        else:
+            labels = _stored(labels.join(roots.select(F.col("node").alias("at"), F.col("root").alias("further")), F.col("root") == F.col("at"), "left").select("node", F.coalesce("further", "root").alias("root")))
+        at_a, at_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        links = _stored(links.join(at_a, "a").join(at_b, "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    return labels.join(least, "root").select("node", "component")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """``node, root`` where each node of ``links`` (a, b: both ways) points to its least neighbour, followed to the end."""
+    chosen = links.groupBy("a").agg(F.min("b").alias("up"))
+    back = chosen.select(F.col("a").alias("at"), F.col("up").alias("further"))
+    mutual = (F.col("further") == F.col("a")) & (F.col("a") < F.col("up"))
+    roots = _stored(chosen.join(back, chosen.up == back["at"]).select(F.col("a").alias("node"), F.when(mutual, F.col("a")).otherwise(F.col("up")).alias("root")))
+    while True:
+        jump = roots.select(F.col("node").alias("at"), F.col("root").alias("further"))
+        moved = _stored(roots.join(jump, roots.root == jump["at"]).select("node", F.col("root").alias("old"), F.col("further").alias("root")))
+        roots = moved.select("node", "root")
+        if moved.where("old <> root").isEmpty():
+            return roots

@@ -1,5 +1,7 @@
 """Operators on micro tables with known answers, and properties."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from tarmac.functions import geometry as g
@@ -19,6 +21,16 @@ def test_components(spark):
     assert connected_components(edges.where("false")).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    rng = random.Random(3)
+    descending = [0, *range(400, 0, -1)]
+    shuffled = rng.sample(range(1000, 1600), 600)
+    star = [(2000 + i, 5000) for i in range(300)]
+    edges = spark.createDataFrame([*zip(descending, descending[1:]), *zip(shuffled, shuffled[1:]), *star], "src long, dst long")
+    got = dict(pairs(connected_components(edges), "node", "component"))
+    assert got == {**{i: 0 for i in range(401)}, **{i: 1000 for i in range(1000, 1600)}, **{i: 2000 for i in [*range(2000, 2300), 5000]}}
+
+
 def test_two_sides(spark):
     twins = spark.createDataFrame([(0, 1), (2, 1), (2, 3), (10, 11), (11, 12), (10, 12), (20, 21)], "src long, dst long")
     rows = {r.node: r for r in network.two_sides(twins).collect()}
