@@ -157,6 +157,10 @@ def _search(spark, texts: list[str], share: float, n: int):
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, share: float = 0.8, n: int = 5) -> DataFrame:
-    """``docs`` with all its columns, without the documents that hold a test item."""
-    caught = contained_items(docs, items, share, n).select(F.col("doc_id").alias("caught_id")).distinct()
-    return docs.join(caught, F.col("doc_id").eqNullSafe(F.col("caught_id")), "left_anti")
+    """``docs`` with all its columns, without the documents that hold a test item.
+
+    Rows are told apart by doc_id and text, so rows without doc_id are documents of their own.
+    """
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("row")).alias("doc_id"), "text")
+    caught = contained_items(rows, items, share, n).select(F.col("doc_id.doc_id").alias("caught_id"), F.col("doc_id.row").alias("caught_row")).distinct()
+    return docs.join(caught, F.col("doc_id").eqNullSafe(F.col("caught_id")) & (F.xxhash64("text") == F.col("caught_row")), "left_anti")

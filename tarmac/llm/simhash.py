@@ -41,18 +41,18 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, fp`` (as a signed long) of every whole text; null and empty texts have 0."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, width: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` and ``fp`` (as a signed long) of every whole text; null and empty texts have 0."""
+    schema = T.StructType([*(T.StructField(x, docs.schema[x].dataType) for x in keys), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
                 made = [fingerprint(x, width) for x in text_column(batch).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), pa.array(np.array(made, np.uint64).view(np.int64))], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*keys, "text").mapInArrow(run, schema)
 
 
 def correlation(prints: DataFrame) -> np.ndarray:
@@ -231,19 +231,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFram
     and link like any other. Repeated rows come out alike; a null doc_id is never the least unless a component has no
     other. An empty table gives no rows; other columns are left out.
     """
-    prints = cut_lineage(fingerprints(docs, width))
+    return _grouped(docs, width, reach).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, reach: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, fp, component, component_id`` of each row; ``component`` tells apart groups that share a component_id."""
+    prints = cut_lineage(fingerprints(docs, width, keys))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = connected_components(link_fingerprints(distinct, reach)).select(F.col("node").alias("fp"), "component")
     nodes = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = nodes.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = nodes.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
+    return prints.join(known, "fp").select(*keys, "fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFrame:
-    """``docs`` with its columns: of each group of near duplicates the document with the least doc_id, once."""
-    ids = near_duplicates(docs, width, reach).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with its columns: of each group of near duplicates the row with the least (doc_id, hash of the text), once.
+
+    Rows are told apart by both, so those without doc_id, or with one doc_id on several texts, are documents of their
+    own. A null doc_id is never the least unless a group has no other.
+    """
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    grouped = _grouped(marked, width, reach, ("doc_id", "__text"))
+    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("x"))
+    kept = least.select(F.col("x.doc_id").alias("__kept"), F.col("x.__text").alias("__row"))
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__row")), "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def as_hex(fp: str = "fp"):

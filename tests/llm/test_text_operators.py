@@ -248,6 +248,18 @@ def test_simhash(docs):
     assert simhash.near_duplicates(docs).count() == docs.count()
 
 
+def test_rows_without_own_ids(spark):
+    passage = "this very passage stands in the benchmark and is quite long enough"
+    some = ["alpha beta gamma delta epsilon zeta", "one quite different text about rivers and hills", f"{passage} here", "kept under the number seven alone", "another text under the number seven"]
+    ids = [None, None, None, 7, 7]
+    rows = spark.createDataFrame([*zip(ids, some), (None, some[0]), (9, some[1])], "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(rows).collect()), key=repr)
+    assert kept == sorted([(None, some[0]), (9, some[1]), (None, some[2]), (7, some[3]), (7, some[4])], key=repr)
+    items = spark.createDataFrame([(1, passage), (2, some[3])], "item_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in decontamination.clean_documents(rows, items).collect()), key=repr)
+    assert left == sorted([(None, some[0]), (None, some[0]), (None, some[1]), (9, some[1]), (7, some[4])], key=repr)
+
+
 @pytest.mark.parametrize("parts", [2, 3])
 def test_all_links_are_kept(spark, monkeypatch, parts):
     rng = random.Random(parts)
