@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.functions import tags
-from tarmac.operators import conflate, records
+from tarmac.operators import conflate, records, spatial
 from tarmac.plans.registry import query
 from tarmac.plans.sql import sql
 from tarmac.sources import adapters as fx
@@ -141,6 +141,15 @@ def zone_income(spark, d):
     return fx.lines(spark, d).where("lid % 3 = 0").groupBy((F.col("lid") % 25).alias("zone_id")).agg(F.min("lanes").alias("income"))
 
 
+@query("jn7_zone_income", sql("""WITH st AS (SELECT l.lid, min(z.zone_id) AS zone_id FROM lns l JOIN zns z ON l.x0 >= z.xa AND l.x0 < z.xb AND l.y0 >= z.ya AND l.y0 < z.yb GROUP BY l.lid)
+SELECT z.zone_id, min(CASE WHEN st.lid IS NOT NULL THEN z.income END) AS income FROM zns z LEFT JOIN st ON st.zone_id = z.zone_id GROUP BY z.zone_id""", "lns", "zns"))
+def mapped_income(spark, d):
+    starts = fx.lines(spark, d).select(F.col("lid").alias("pid"), F.col("x0").alias("px"), F.col("y0").alias("py"))
+    zones = fx.zones(spark, d)
+    carried = spatial.zone_of_point(starts, fx.rectangle_edges(zones), 500.0).where("zone_id is not null").join(zones.select("zone_id", "income"), "zone_id")
+    return zones.select("zone_id").join(carried.groupBy("zone_id").agg(F.min("income").alias("income")), "zone_id", "left")
+
+
 @query("str1_tags", """SELECT p_partkey AS id, CAST(p_size % 5 + 1 AS DOUBLE) AS lanes, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS mph,
  CASE p_size % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size * 3.28084 ELSE NULL END AS width, p_size % 2 = 0 AS lit, CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS lit_text, 'H-' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS seg_id FROM part""")
 def tag_values(spark, d):
