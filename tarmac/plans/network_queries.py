@@ -116,6 +116,13 @@ def used(spark, d):
     return n.used_nodes(nodes, edges.where("key % 40 = 0"))
 
 
+@query("flt2_nodes_after_removal", sql(f"WITH {_EDGES}, k AS (SELECT * FROM e WHERE highway <> 'primary' AND (name IS NULL OR name NOT LIKE 'Street 9%')) SELECT DISTINCT osmid FROM (SELECT u AS osmid FROM k UNION SELECT v FROM k)", "lns"))
+def left_nodes(spark, d):
+    edges = _edges(spark, d)
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("osmid")).distinct()
+    return n.used_nodes(nodes, n.without_limited_access(edges, ["primary"], "street 9"))
+
+
 @query("flt9_link_rule", sql("SELECT CASE WHEN highway = 'secondary_link' THEN 'link class' ELSE 'kept' END AS outcome, count(*) AS n FROM lns GROUP BY 1", "lns"))
 def link_rule(spark, d):
     kept, gone = n.split_by(fx.lines(spark, d), F.col("highway").endswith("_link"), n.LINK_REASON)

@@ -141,6 +141,13 @@ def zone_income(spark, d):
     return fx.lines(spark, d).where("lid % 3 = 0").groupBy((F.col("lid") % 25).alias("zone_id")).agg(F.min("lanes").alias("income"))
 
 
+@query("jn6_all_attributes", sql("SELECT z.zone_id, count(c_custkey) AS people, round(sum(CASE WHEN c_acctbal >= 0 THEN c_acctbal END), 2) AS income FROM zns z LEFT JOIN customer ON c_nationkey = z.zone_id GROUP BY z.zone_id", "zns"))
+def all_attributes(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("zone_id"), tags.no_sentinel(F.col("c_acctbal")).alias("v"))
+    by = c.groupBy("zone_id").agg(F.count("*").alias("people"), F.round(F.sum("v"), 2).alias("income"))
+    return fx.zones(spark, d).select("zone_id").join(by, "zone_id", "left").na.fill(0, ["people"])
+
+
 @query("jn7_zone_income", sql("""WITH st AS (SELECT l.lid, min(z.zone_id) AS zone_id FROM lns l JOIN zns z ON l.x0 >= z.xa AND l.x0 < z.xb AND l.y0 >= z.ya AND l.y0 < z.yb GROUP BY l.lid)
 SELECT z.zone_id, min(CASE WHEN st.lid IS NOT NULL THEN z.income END) AS income FROM zns z LEFT JOIN st ON st.zone_id = z.zone_id GROUP BY z.zone_id""", "lns", "zns"))
 def mapped_income(spark, d):

@@ -36,8 +36,8 @@ def test_entry(spark):
 SAMPLE = ["agg1_segment_counts", "sj2_zone_of_point", "sj7_snap_match", "jn2_flags_of_either", "mth1_years_lost", "win2_gini", "q2_facet_counts", "sj15_twin_pairs", "dq1_contract_checks", "str4_side_tags"]
 
 
-#: The whole job beside jn7_zone_income_by_street, which reads only some rows.
-WHOLE = ["jn7_zone_income"]
+#: The whole jobs beside jn6_left_attributes, jn7_zone_income_by_street and flt2_used_nodes, which read only some rows.
+WHOLE = ["jn6_all_attributes", "jn7_zone_income", "flt2_nodes_after_removal"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -49,6 +49,8 @@ def test_every_zone_and_line_counts(spark):
     held = {z.zone_id: any(z.xa <= p.x0 < z.xb and z.ya <= p.y0 < z.yb for p in lines) for z in zones}
     got = {r.zone_id: r.income for r in queries["jn7_zone_income"](spark, SF).collect()}
     assert got == {z.zone_id: z.income if held[z.zone_id] else None for z in zones}
+    people = sum(r.people for r in queries["jn6_all_attributes"](spark, SF).collect())
+    assert people == spark.read.parquet(f"{SF}/customer.parquet").count()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
