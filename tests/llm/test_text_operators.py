@@ -248,6 +248,14 @@ def test_simhash(docs):
     assert simhash.near_duplicates(docs).count() == docs.count()
 
 
+def test_windows_hold_tokens(spark, docs):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.windows(spark, docs, "").collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    assert sum(r.length for r in rows if r.doc_id == 20) == next(r.doc_tokens for r in rows if r.doc_id == 20)
+
+
 def test_rows_without_own_ids(spark):
     passage = "this very passage stands in the benchmark and is quite long enough"
     some = ["alpha beta gamma delta epsilon zeta", "one quite different text about rivers and hills", f"{passage} here", "kept under the number seven alone", "another text under the number seven"]
