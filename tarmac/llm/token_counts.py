@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.tokens import default_vocabulary, token_ids
+from tarmac.llm.common import cut_lineage
+from tarmac.llm.tokens import default_vocabulary, token_lengths
 
 #: Lengths in a block of the two-level suffix sums.
 BLOCK = 1024
@@ -14,10 +15,11 @@ BLOCK = 1024
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``n_tokens, n_docs``: how many documents have each encoded length (a null or empty text: 0 tokens).
 
-    Only lengths leave the encoding map, and counts are made before the shuffle, so a hot length costs a row a task.
+    Only lengths leave the encoding map, and counts are made before the shuffle, so a hot length costs a row a task. The
+    histogram is kept in the shared folder: texts are encoded once, whatever is asked of it.
     """
-    lengths = token_ids(docs, vocabulary or default_vocabulary()).select((F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    lengths = token_lengths(docs, vocabulary or default_vocabulary())
+    return cut_lineage(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
 
 
 def _suffix(value: Column, block: str = "block", key: str = "n_tokens") -> Column:

@@ -1,8 +1,9 @@
 """Token ids in wavelet matrices: one compressed file a shard, with access, counting and occurrence lookup.
 
 A shard holds the ids of consecutive documents. Its matrix has one bit-plane for each bit of an id, the highest first;
-after each plane the ids are parted stably by that bit. Ones are counted at the start of every block of 512 bits, so
-that rank needs one block, and select a binary search over the counts.
+after each plane the ids are parted stably by that bit. A plane is stored in chunks of CHUNK bits, each compressed by
+itself together with its rank directory: the ones before each block of 512 bits. The head of the file has the ones before
+each chunk. So rank inflates one chunk a plane, and select finds its chunk by binary search.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.llm.common import shared_folder
-from tarmac.llm.tokens import default_vocabulary, encoded_batches
+from tarmac.llm.tokens import default_vocabulary, encoded_batches, id_column
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 #: Ids in a shard at most, unless a single document has more.
 SHARD_IDS = 1 << 21
 #: Shards whose starts are added up in one group.
@@ -28,118 +29,159 @@ GROUP = 1024
 #: Shards whose starts (three numbers each) are sent to every executor at most; beyond, files are joined by a shuffle.
 BROADCAST_SHARDS = 100_000
 _BLOCK = 512
-_HEAD = struct.Struct("<4sIQQ")
+CHUNK = 1 << 19
+_HEAD = struct.Struct("<4sIQQQ")
+#: Bytes of a chunk: its directory and its bits.
+_DIRECTORY, _BITS = 4 * CHUNK // _BLOCK, CHUNK // 8
+
+
+def build(ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The file of documents of these lengths, whose ids lie end to end.
+
+    Head; sizes of all parts, the ones before each chunk of each plane; then the documents' lengths and the planes' chunks.
+    """
+    n = len(ids)
+    width = max(1, int(ids.max()).bit_length()) if n else 1
+    left = ids.astype(np.uint16 if width <= 16 else np.uint32)
+    parted = np.empty_like(left)
+    parts, before = [pa.compress(lengths.astype("<u4").tobytes(), "zstd", asbytes=True)], []
+    for k in range(width - 1, -1, -1):
+        bit = (left & left.dtype.type(1 << k)).astype(bool)
+        plane = np.packbits(bit)
+        plane = np.pad(plane, (0, -len(plane) % _BITS)).reshape(-1, _BITS)
+        count = np.bitwise_count(plane.view("<u8")).reshape(len(plane), CHUNK // _BLOCK, _BLOCK // 64).sum(2, dtype=np.uint32)
+        inside = np.cumsum(count, axis=1, dtype=np.uint32)
+        before.append(np.concatenate([[0], np.cumsum(inside[:, -1], dtype=np.uint64)]).astype("<u8"))
+        for bits, sums, own in zip(plane, inside, count):
+            parts.append(pa.compress((sums - own).astype("<u4").tobytes() + bits.tobytes(), "zstd", asbytes=True))
+        zeros = n - int(before[-1][-1])
+        parted[zeros:] = left[bit]
+        np.compress(~bit, left, out=parted[:zeros])
+        left, parted = parted, left
+    sizes = np.array([len(x) for x in parts], "<u8")
+    return _HEAD.pack(MAGIC, width, n, len(lengths), len(parts)) + sizes.tobytes() + b"".join(x.tobytes() for x in before) + b"".join(parts)
 
 
 class WaveletMatrix:
-    """Ids as bit-planes (packed, first bit highest) with the number of zeros and the ones before each block."""
-
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.planes, self.n = planes, n
-        self.before = [np.concatenate([[0], np.cumsum(np.bitwise_count(_padded(p)).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))]) for p in planes]
-        self.zeros = [n - int(b[-1]) for b in self.before]
-
-    @classmethod
-    def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        left, planes = ids.astype(np.uint16 if width <= 16 else np.uint32), []
-        parted = np.empty_like(left)
-        for k in range(width - 1, -1, -1):
-            bit = (left & left.dtype.type(1 << k)).astype(bool)
-            planes.append(np.packbits(bit))
-            ones = np.flatnonzero(bit)
-            zeros = len(left) - len(ones)
-            parted[zeros:] = left[ones]
-            np.compress(~bit, left, out=parted[:zeros])
-            left, parted = parted, left
-        return cls(planes, len(ids))
+    """A file opened: only the head is read, chunks are inflated when they are asked for and then kept."""
+
+    def __init__(self, data: bytes):
+        magic, self.width, self.n, self.docs, parts = _HEAD.unpack_from(data)
+        if magic != MAGIC:
+            raise ValueError("not a token shard")
+        self.data, at = memoryview(data), _HEAD.size
+        sizes = np.frombuffer(data, "<u8", parts, at).astype(np.int64)
+        at += 8 * parts
+        self.chunks = (parts - 1) // self.width
+        #: Ones of each plane before each chunk, and in all.
+        self.before = np.frombuffer(data, "<u8", self.width * (self.chunks + 1), at).astype(np.int64).reshape(self.width, -1)
+        at += 8 * self.width * (self.chunks + 1)
+        self.ends = at + np.concatenate([[0], np.cumsum(sizes)])
+        self.zeros = self.n - self.before[:, -1]
+        self.inflated: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _part(self, k: int, size: int) -> bytes:
+        return pa.decompress(self.data[self.ends[k] : self.ends[k + 1]], size, "zstd", asbytes=True) if size else b""
+
+    def lengths(self) -> np.ndarray:
+        """Ids of each document."""
+        return np.frombuffer(self._part(0, 4 * self.docs), "<u4").astype(np.int64)
+
+    def _chunk(self, level: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The directory and the bits of a chunk."""
+        if (level, k) not in self.inflated:
+            held = self._part(1 + level * self.chunks + k, _DIRECTORY + _BITS)
+            self.inflated[level, k] = np.frombuffer(held, "<u4", _DIRECTORY // 4), np.frombuffer(held, np.uint8, _BITS, _DIRECTORY)
+        return self.inflated[level, k]
 
     def ids(self) -> np.ndarray:
         """All ids, plane by plane from the last."""
-        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        out = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         whole = np.empty_like(out)
-        for k, plane in enumerate(reversed(self.planes)):
-            bit = np.unpackbits(plane, count=self.n).view(bool)
-            ones = np.flatnonzero(bit)
-            zeros = self.n - len(ones)
+        for k in range(self.width):
+            level = self.width - 1 - k
+            parts = [np.frombuffer(self._part(1 + level * self.chunks + c, _DIRECTORY + _BITS), np.uint8, _BITS, _DIRECTORY) for c in range(self.chunks)]
+            bit = np.unpackbits(np.concatenate(parts), count=self.n).view(bool) if parts else np.empty(0, bool)
+            zeros = int(self.zeros[level])
             whole[~bit] = out[:zeros]
-            whole[ones] = out[zeros:] | out.dtype.type(1 << k)
+            whole[bit] = out[zeros:] | out.dtype.type(1 << k)
             out, whole = whole, out
         return out
 
     def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level][at >> 3]) >> (7 - (at & 7)) & 1
+        bits = self._chunk(level, at // CHUNK)[1]
+        at %= CHUNK
+        return int(bits[at >> 3]) >> (7 - (at & 7)) & 1
 
     def _ones(self, level: int, at: int) -> int:
         """Ones of a plane before a place."""
-        block = at // _BLOCK
-        found = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (at + 7) // 8], count=at - block * _BLOCK)
-        return int(self.before[level][block]) + int(np.count_nonzero(found))
+        if at >= self.n:
+            return int(self.before[level, -1])
+        directory, bits = self._chunk(level, at // CHUNK)
+        inside = at % CHUNK
+        block = inside // _BLOCK
+        found = np.unpackbits(bits[block * _BLOCK // 8 : (inside + 7) // 8], count=inside - block * _BLOCK)
+        return int(self.before[level, at // CHUNK]) + int(directory[block]) + int(np.count_nonzero(found))
 
     def access(self, at: int) -> int:
         """The id at a place."""
         value = 0
-        for level in range(len(self.planes)):
+        for level in range(self.width):
             bit = self._bit(level, at)
             value = value << 1 | bit
-            at = self.zeros[level] + self._ones(level, at) if bit else at - self._ones(level, at)
+            at = int(self.zeros[level]) + self._ones(level, at) if bit else at - self._ones(level, at)
         return value
 
     def _range(self, value: int, stop: int) -> tuple[int, int]:
         start = 0
-        for level in range(len(self.planes)):
-            if value >> (len(self.planes) - 1 - level) & 1:
-                start, stop = (self.zeros[level] + self._ones(level, x) for x in (start, stop))
+        for level in range(self.width):
+            if value >> (self.width - 1 - level) & 1:
+                start, stop = (int(self.zeros[level]) + self._ones(level, x) for x in (start, stop))
             else:
                 start, stop = (x - self._ones(level, x) for x in (start, stop))
         return start, stop
 
     def rank(self, value: int, stop: int | None = None) -> int:
         """How often an id occurs before a place (by default, in all)."""
-        if value >> len(self.planes):
+        if value >> self.width or not self.n:
             return 0
         start, stop = self._range(value, self.n if stop is None else stop)
         return stop - start
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) zero or one of a plane."""
-        count = self.before[level] if bit else np.arange(len(self.before[level])) * _BLOCK - self.before[level]
-        block = int(np.searchsorted(count, k, side="right")) - 1
-        found = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (block + 1) * _BLOCK // 8])
-        return block * _BLOCK + int(np.flatnonzero(found == bit)[k - int(count[block])])
+    def _select_bits(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th (ascending, from 0) zeros or ones of a plane, chunk by chunk."""
+        count = self.before[level] if bit else np.minimum(np.arange(self.chunks + 1) * CHUNK, self.n) - self.before[level]
+        chunk = np.searchsorted(count, k, side="right") - 1
+        out = np.empty(len(k), np.int64)
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(k)]):
+            c = int(chunk[a])
+            directory, bits = self._chunk(level, c)
+            ranks = k[a:b] - count[c]
+            held = directory if bit else np.arange(len(directory)) * _BLOCK - directory
+            block = np.searchsorted(held, ranks, side="right") - 1
+            low, high = int(block[0]), int(block[-1]) + 1
+            found = np.flatnonzero(np.unpackbits(bits[low * _BLOCK // 8 : high * _BLOCK // 8]) == bit)
+            out[a:b] = c * CHUNK + low * _BLOCK + found[ranks - int(held[low])]
+        return out
+
+    def places(self, value: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Places of the occurrences number ``first`` (from 0) up to ``last`` of an id, ascending; by default, of all."""
+        n = self.rank(value)
+        at = np.arange(first, n if last is None else min(last, n))
+        if not len(at):
+            return at
+        at += self._range(value, self.n)[0]
+        for level in range(self.width - 1, -1, -1):
+            bit = value >> (self.width - 1 - level) & 1
+            at = self._select_bits(level, bit, at - self.zeros[level] if bit else at)
+        return at
 
     def select(self, value: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of an id."""
         if not 0 <= k < self.rank(value):
             raise IndexError(f"no occurrence {k} of {value}")
-        at = self._range(value, self.n)[0] + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - level) & 1
-            at = self._select_bit(level, bit, at - self.zeros[level] if bit else at)
-        return at
-
-    def to_bytes(self, lengths: np.ndarray) -> bytes:
-        """The file: head, lengths of the documents, planes; all but the head compressed."""
-        parts = [pa.compress(x, "zstd", asbytes=True) for x in [lengths.astype("<u4").tobytes(), *(p.tobytes() for p in self.planes)]]
-        return _HEAD.pack(MAGIC, len(self.planes), self.n, len(lengths)) + b"".join(struct.pack("<Q", len(x)) + x for x in parts)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
-        """The matrix and the documents' lengths."""
-        magic, width, n, docs = _HEAD.unpack_from(data)
-        if magic != MAGIC:
-            raise ValueError("not a token shard")
-        at, parts = _HEAD.size, []
-        for size in [4 * docs] + [-(-n // 8)] * width:
-            (held,) = struct.unpack_from("<Q", data, at)
-            at += 8
-            parts.append(pa.decompress(data[at : at + held], size, "zstd", asbytes=True) if size else b"")
-            at += held
-        return cls([np.frombuffer(x, np.uint8) for x in parts[1:]], n), np.frombuffer(parts[0], "<u4").astype(np.int64)
-
-
-def _padded(plane: np.ndarray) -> np.ndarray:
-    return np.pad(plane, (0, -len(plane) % (_BLOCK // 8)))
+        return int(self.places(value, k, k + 1)[0])
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, partitions: int | None = None, shard_ids: int = SHARD_IDS) -> None:
@@ -151,29 +193,36 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     end id alone; null doc_ids come first; repeated rows are documents of their own, in any order among themselves.
     """
     vocabulary = vocabulary or default_vocabulary()
-    tail = int(end_id).to_bytes(4, "little")
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("file", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[pa.Array] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         size = shard = 0
 
         def made() -> pa.RecordBatch:
             joined = pa.concat_arrays(keys)
-            data = WaveletMatrix.of(np.frombuffer(b"".join(held), "<u4")).to_bytes(np.array([len(x) // 4 for x in held]))
+            data = build(np.concatenate(held), np.concatenate(lengths))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size]), pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined), pa.array([data], pa.binary())], schema.names)
 
-        for batch, encoded in encoded_batches(batches, vocabulary, tail):
-            for i, ids in enumerate(encoded):
-                if held and size + len(ids) // 4 > shard_ids:
-                    yield made()
-                    keys, held, size, shard = [], [], 0, shard + 1
-                keys.append(batch.column("doc_id").slice(i, 1))
-                held.append(ids)
-                size += len(ids) // 4
+        for batch, ids, ends in encoded_batches(batches, vocabulary, end_id):
+            a = 0
+            while a < batch.num_rows:
+                b = int(np.searchsorted(ends, ends[a] + shard_ids - size, side="right")) - 1
+                if b <= a:
+                    if held:
+                        yield made()
+                        keys, held, lengths, size, shard = [], [], [], 0, shard + 1
+                        continue
+                    b = a + 1  # a document longer than a shard
+                keys.append(batch.column("doc_id").slice(a, b - a))
+                held.append(ids[ends[a] : ends[b]])
+                lengths.append(np.diff(ends[a : b + 1]))
+                size += int(ends[b] - ends[a])
+                a = b
         if held:
             yield made()
 
@@ -207,18 +256,17 @@ def stored_documents(spark, path: str) -> DataFrame:
         for whole in batches:
             for row in range(whole.num_rows):
                 batch = whole.slice(row, 1)
-                matrix, lengths = WaveletMatrix.from_bytes(batch.column("file")[0].as_py())
-                ids = matrix.ids().astype("<u4").tobytes()
-                ends = np.concatenate([[0], np.cumsum(lengths)])
+                matrix = WaveletMatrix(batch.column("file")[0].as_py())
+                ends = np.concatenate([[0], np.cumsum(matrix.lengths())])
                 starts = ends[:-1] + batch.column("first")[0].as_py()
-                made = [ids[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten(), pa.array(starts, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten(), pa.array(starts, pa.int64()), id_column(matrix.ids().astype("<u4"), ends)], ["doc_id", "start", "ids"])
 
     return shards.select("first", "doc_ids", "file").mapInArrow(run, schema)
 
 
 def occurrences(spark, path: str, value: int) -> DataFrame:
-    """``doc_id, place`` (in the document) of every occurrence of an id, by select in each shard."""
+    """``doc_id, place`` (in the document) of every occurrence of an id, by select in each shard: only the chunks
+    that hold it are inflated."""
     shards = read_shards(spark, path)
     kind = shards.schema["doc_ids"].dataType.elementType
 
@@ -226,8 +274,8 @@ def occurrences(spark, path: str, value: int) -> DataFrame:
         for whole in batches:
             for row in range(whole.num_rows):
                 batch = whole.slice(row, 1)
-                matrix, lengths = WaveletMatrix.from_bytes(batch.column("file")[0].as_py())
-                at = np.array([matrix.select(value, k) for k in range(matrix.rank(value))], np.int64)
+                matrix = WaveletMatrix(batch.column("file")[0].as_py())
+                at, lengths = matrix.places(value), matrix.lengths()
                 ends = np.cumsum(lengths)
                 doc = np.searchsorted(ends, at, side="right")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten().take(pa.array(doc)), pa.array(at - (ends - lengths)[doc])], ["doc_id", "place"])
