@@ -7,6 +7,8 @@ import numpy as np
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xBF58476D1CE4E5B9)
 _WORD = np.uint64(0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at once; longer data is taken in blocks that end between words, so memory stays bounded.
+BLOCK_BYTES = 2 << 20
 
 #: Bytes that end words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -20,12 +22,14 @@ MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
+    """base**0 ... base**(n-1) modulo 2**64; kept for later calls up to the length of a block."""
     held = _powers.get(base)
     if held is None or len(held) < n:
         held = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
         held[0] = 1
-        _powers[base] = held = np.cumprod(held, dtype=np.uint64)
+        held = np.cumprod(held, dtype=np.uint64)
+        if n <= 2 * BLOCK_BYTES:
+            _powers[base] = held
     return held[:n]
 
 
@@ -54,6 +58,22 @@ def words(data: np.ndarray, offsets: np.ndarray, drop_marks: bool) -> tuple[np.n
 
     Words are runs of bytes other than white space; with ``drop_marks``, ASCII marks are taken out first.
     """
+    if len(data) > BLOCK_BYTES:
+        hashes, docs, low = [], [], 0
+        while low < len(data):
+            high = min(low + BLOCK_BYTES, len(data))
+            while high < len(data) and not SPACE[data[high]]:  # up to white space, or the end of a text
+                ahead = data[high : high + 4096]
+                stop = int(SPACE[ahead].argmax()) if SPACE[ahead].any() else len(ahead)
+                bound = offsets[min(int(np.searchsorted(offsets, high)), len(offsets) - 1)]
+                high = min(high + stop, int(bound))
+                if high == bound:
+                    break
+            h, d = words(data[low:high], np.clip(offsets, low, high) - low, drop_marks)
+            hashes.append(h)
+            docs.append(d)
+            low = high
+        return np.concatenate(hashes), np.concatenate(docs)
     if drop_marks:
         held = ~MARK[data]
         offsets = np.concatenate([[0], np.cumsum(held)])[offsets]
@@ -79,3 +99,25 @@ def shingle_hashes(word: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarra
         h = h * _BASE + word[k : k + m]
     own = doc[:m] == doc[n - 1 :]
     return scramble(h[own]), doc[:m][own]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of the distinct n-word shingles of each text, A-Z lower-cased, in order of document and hash.
+
+    A text of 1 to n-1 words has its whole sequence as its one shingle; one without words has none.
+    """
+    word, doc = words(data, offsets, False)
+    h, d = shingle_hashes(word, doc, n)
+    ends = np.searchsorted(doc, np.arange(len(offsets)))
+    few = np.flatnonzero((np.diff(ends) > 0) & (np.diff(ends) < n))
+    if len(few):
+        short = np.zeros(len(few), np.uint64)
+        for k in range(n - 1):
+            own = ends[few] + k < ends[few + 1]
+            short[own] = short[own] * _BASE + word[ends[few[own]] + k] + np.uint64(k + 1)
+        h, d = np.concatenate([h, scramble(short)]), np.concatenate([d, few])
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    return h[new], d[new]

@@ -4,20 +4,27 @@ Fingerprints of 64 bits link if they differ in ``reach`` bits or fewer. The bits
 correlated ones together. If thresholds T_i (-1: not probed) of the partitions sum to reach - m + 1, then any two linked
 fingerprints differ in at most T_i bits in some partition i. Each fingerprint gets thresholds of its own by dynamic
 programming on estimated candidate counts, so that it does not probe where it is one of many.
+
+Texts that share 0.8 of their shingles differ in some 10 of 64 bits, and often in 17, a distance at which any partition
+is met by a large share of all texts. ``similar_documents`` therefore uses wide fingerprints: VIEWS partitions of 64 bits,
+each the SimHash of SAMPLE shingles that are drawn min-wise. The bits of a partition change together or not at all, so
+partitions are probed for equality (all thresholds 0), and pairs that meet are verified by their exact shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import cut_lineage, text_column
+from tarmac.llm.common import cut_lineage, raw_bytes, steps, text_column
+from tarmac.llm.shingles import scramble, shingle_sets
 from tarmac.operators.graph import connected_components
 
 BITS = 64
@@ -25,6 +32,13 @@ BITS = 64
 CELLS = 1 << 16
 #: Members of a bucket that are compared pair by pair at most; larger ones are linked through centres.
 PAIRS_UP_TO = 64
+#: Partitions of a wide fingerprint, and shingles drawn for each. Texts of similarity s share a partition with a chance of
+#: 1 - (1 - s ** SAMPLE) ** VIEWS: 0.999 at 0.8.
+VIEWS, SAMPLE = 10, 3
+#: Members of a bucket of wide fingerprints that are verified pair by pair at most.
+SIMILAR_PAIRS_UP_TO = 32
+_DRAW = np.random.default_rng(8)
+_DRAW_XOR, _DRAW_ODD = (_DRAW.integers(0, 1 << 32, VIEWS * SAMPLE, np.uint32) for _ in range(2))
 _SCATTER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,10 +245,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFram
     and link like any other. Repeated rows come out alike; a null doc_id is never the least unless a component has no
     other. An empty table gives no rows; other columns are left out.
     """
-    return _grouped(docs, width, reach).select("doc_id", "fp", "component_id")
+    return bit_groups(docs, width, reach).select("doc_id", "fp", "component_id")
 
 
-def _grouped(docs: DataFrame, width: int, reach: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def bit_groups(docs: DataFrame, width: int = 3, reach: int = 2, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys, fp, component, component_id`` of each row; ``component`` tells apart groups that share a component_id."""
     prints = cut_lineage(fingerprints(docs, width, keys))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -245,17 +259,140 @@ def _grouped(docs: DataFrame, width: int, reach: int, keys: tuple[str, ...] = ("
     return prints.join(known, "fp").select(*keys, "fp", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFrame:
-    """``docs`` with its columns: of each group of near duplicates the row with the least (doc_id, hash of the text), once.
+def _views(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The partitions of each document, a row for each: ``starts`` is where its distinct shingle hashes ``h`` begin."""
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    drawn = [scramble(np.minimum.reduceat((low ^ x) * (y | np.uint32(1)), starts).astype(np.uint64) + np.uint64(k << 32)) for k, (x, y) in enumerate(zip(_DRAW_XOR, _DRAW_ODD))]
+    # Of three hashes, a bit is set in over half if it is in two.
+    return np.column_stack([(a & b) | (a & c) | (b & c) for a, b, c in zip(drawn[0::3], drawn[1::3], drawn[2::3])])
+
+
+def _wide(docs: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
+    """``keys, node`` (a digest of the set of shingles), ``views`` (the partitions; none for a text without words)."""
+    schema = T.StructType([*(docs.schema[x] for x in keys), T.StructField("node", T.LongType()), T.StructField("views", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, h, d in _shingled(batches, width):
+            n = batch.num_rows
+            some, starts = np.unique(d, return_index=True)
+            node = np.zeros(n, np.uint64)
+            count = np.bincount(d, minlength=n)
+            if len(h):
+                node[some] = scramble(np.add.reduceat(scramble(h), starts) + count[some].astype(np.uint64))
+            made = _views(h, starts) if len(h) else np.empty((0, VIEWS), np.uint64)
+            ends = np.concatenate([[0], np.cumsum(count > 0)]) * VIEWS
+            views = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), pa.array(node.view(np.int64)), views], schema.names)
+
+    return docs.select(*keys, "text").mapInArrow(run, schema)
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of few texts with the hashes of their distinct shingles and the document of each."""
+    for whole in batches:
+        texts = text_column(whole)
+        for a, b in steps(np.asarray(pc.binary_length(texts), np.int64)):
+            yield whole.slice(a, b - a), *shingle_sets(*raw_bytes(texts.slice(a, b - a)), width)
+
+
+def _shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` (32 bits of each hash, by which shingles of two texts are told apart) of ``docs`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, h, d in _shingled(batches, width):
+            ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=batch.num_rows))])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["node", "shingles"])
 
-    Rows are told apart by both, so those without doc_id, or with one doc_id on several texts, are documents of their
-    own. A null doc_id is never the least unless a group has no other.
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets have a similarity (shared over all distinct) of ``share`` or more."""
+    of = lambda side, name: sets.select(F.col("node").alias(side), F.col("shingles").alias(name))
+    held = pairs.join(of("dst", "b"), "dst").join(of("src", "a"), "src")
+    shared = F.size(F.array_intersect("a", "b"))
+    return held.select("src", "dst", shared.alias("n"), (F.size("a") + F.size("b")).alias("both")).where(F.col("n") >= share * (F.col("both") - F.col("n")) - 1e-9).select("src", "dst")
+
+
+def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float) -> DataFrame:
+    """``src, dst``: verified links between nodes that share a bucket (``rows``: view, value, node, and ``next``, the value
+    of another view).
+
+    Buckets of up to SIMILAR_PAIRS_UP_TO nodes are verified pair by pair. In a larger one all nodes are verified against
+    leaders, one at first, and against the first of those that also share the next view; those that are similar to no
+    leader go on to the next round with twice as many, until none is left.
+    So every node is a leader, or linked to one, and no two leaders that are similar stay unlinked; rounds grow with the
+    logarithm of the groups in a bucket, and a group of k copies costs k pairs. Two groups of a large bucket that are
+    similar in non-leaders alone may stay apart, unless another partition, with other members, joins them. ``sets`` gives the shingle arrays of nodes.
+    """
+    links, n_leaders = None, 1
+    sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n")).where("n > 1")
+    held = cut_lineage(rows.join(sizes, ["view", "value"]))
+    # Every round asks for sets of the nodes that share a bucket, so these are kept.
+    arrays = cut_lineage(sets(held.select("node").distinct()))
+    small = held.where(F.col("n") <= SIMILAR_PAIRS_UP_TO)
+    a, b = (small.select("view", "value", F.col("node").alias(x)) for x in ("src", "dst"))
+    pairs = a.join(b, ["view", "value"]).where("src < dst").select("src", "dst")
+    large = held.where(F.col("n") > SIMILAR_PAIRS_UP_TO)
+    closer = large.join(large.groupBy("view", "value", "next").agg(F.min_by("node", F.xxhash64("node")).alias("first")), ["view", "value", "next"]).where("node <> first")
+    pairs = pairs.unionByName(closer.select(F.least("node", "first").alias("src"), F.greatest("node", "first").alias("dst")))
+    left = large.select("view", "value", "node")
+    while True:
+        dealt = left.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(n_leaders)), F.lit(n_leaders)))
+        # The same order in all views, so that a group mostly has one leader.
+        leaders = dealt.groupBy("view", "value", "salt").agg(F.min_by("node", F.xxhash64("node")).alias("src")).select("view", "value", "src")
+        led = cut_lineage(left.join(leaders, ["view", "value"]).where("node <> src").select("view", "value", "src", F.col("node").alias("dst")))
+        way = led.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        found = cut_lineage(_verified(pairs.unionByName(way).distinct(), arrays, share))
+        links = found if links is None else links.unionByName(found)
+        met = led.join(found.select(F.col("src").alias("x"), F.col("dst").alias("y")), (F.least("src", "dst") == F.col("x")) & (F.greatest("src", "dst") == F.col("y")))
+        done = met.select("view", "value", F.col("dst").alias("node")).unionByName(leaders.withColumnRenamed("src", "node")).distinct()
+        left = cut_lineage(left.join(done, ["view", "value", "node"], "left_anti"))
+        pairs, n_leaders = pairs.where("false"), 2 * n_leaders
+        if left.isEmpty():
+            return links
+
+
+def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, component, component_id`` of each row of ``docs``: groups joined by texts whose distinct shingles of
+    ``width`` words (A-Z lower-cased) have a similarity of ``share`` or more; component_id is the least doc_id.
+
+    Texts with the same set of shingles are one node. Texts of fewer words have their whole sequence as their one shingle;
+    null and empty texts and those without words are one group. Candidates share a partition of a wide fingerprint (see
+    VIEWS for the chance) and are verified by the exact sets of hashes. Repeated rows come out alike; a null doc_id is never
+    the least unless a group has no other. An empty table gives no rows; other columns are left out.
     """
     marked = docs.withColumn("__text", F.xxhash64("text"))
-    grouped = _grouped(marked, width, reach, ("doc_id", "__text"))
-    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("x"))
-    kept = least.select(F.col("x.doc_id").alias("__kept"), F.col("x.__text").alias("__row"))
-    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__row")), "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+    wide = cut_lineage(_wide(marked, tuple(dict.fromkeys((*keys, "doc_id", "__text"))), width))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text"))
+    nodes = cut_lineage(wide.groupBy("node").agg(one.alias("x"), F.first("views").alias("views")).select("node", "x.doc_id", F.col("x.__text").alias("row"), "views"))
+
+    def sets(asked: DataFrame) -> DataFrame:
+        texts = nodes.join(asked, "node", "left_semi").select("node", F.col("doc_id").alias("own"), "row")
+        held = marked.select("doc_id", "text", "__text").join(texts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("__text") == F.col("row"))).select("node", "text")
+        return _shingle_arrays(held, width)
+
+    rows = nodes.select("node", "views", F.posexplode("views").alias("view", "value")).withColumn("next", F.get("views", F.pmod(F.col("view") + 1, F.lit(VIEWS)))).drop("views")
+    found = connected_components(link_similar(rows, sets, share)).select("node", "component")
+    joined = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = joined.select("node", "component").join(least, "component").select("node", "component", "component_id")
+    return wide.join(known, "node").select(*keys, "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, grouped: Callable[..., DataFrame] = similar_documents, **how) -> DataFrame:
+    """``docs`` with its columns: of each group of near duplicates the row with the least (doc_id, hash of the text), once.
+
+    ``grouped`` (``similar_documents``, or ``bit_groups`` for a distance in bits) takes ``docs`` and ``how``. Rows are told
+    apart by both, so those without doc_id, or with one doc_id on several texts, are documents of their own. A null doc_id
+    is never the least unless a group has no other. Null texts are one text, and a group with the other texts that have no
+    words. Extra columns stay; of repeated rows that differ in them, one is kept.
+    """
+    own = ("__none", "__doc", "__text")
+    marked = docs.withColumns({"__none": F.col("doc_id").isNull(), "__doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__text": F.xxhash64("text")})
+    groups = grouped(marked, keys=("doc_id", *own), **how)
+    least = groups.groupBy("component").agg(F.min(F.struct("__none", "doc_id", "__text", "__doc")).alias("x"))
+    return marked.join(least.select("x.__none", "x.__doc", "x.__text"), list(own), "left_semi").dropDuplicates(list(own)).drop(*own)
 
 
 def as_hex(fp: str = "fp"):
