@@ -47,15 +47,23 @@ def to_feet(lon: Column, lat: Column) -> tuple[Column, Column]:
     return (FALSE_EAST_M + r * F.sin(theta)) / FOOT_M, (FALSE_NORTH_M + _R0 - r * F.cos(theta)) / FOOT_M
 
 
-def to_degrees(x: Column, y: Column, rounds: int = 5) -> tuple[Column, Column]:
-    """Longitude and latitude of an easting and northing; each round of the series gains three digits."""
+# Coefficients of sin(2k chi) in the series that gives the latitude from the conformal latitude chi.
+_E2 = _E * _E
+_SERIES = (
+    _E2 / 2 + 5 * _E2**2 / 24 + _E2**3 / 12 + 13 * _E2**4 / 360,
+    7 * _E2**2 / 48 + 29 * _E2**3 / 240 + 811 * _E2**4 / 11520,
+    7 * _E2**3 / 120 + 81 * _E2**4 / 1120,
+    4279 * _E2**4 / 161280,
+)
+
+
+def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing, by a series (error under 1e-10 degrees)."""
     east, north = x * FOOT_M - FALSE_EAST_M, _R0 - (y * FOOT_M - FALSE_NORTH_M)
-    r = F.sqrt(east * east + north * north)
-    t = F.pow(r / (SEMI_MAJOR_M * _K), F.lit(1 / _N))
-    phi = math.pi / 2 - 2 * F.atan(t)
-    for _ in range(rounds):
-        s = _E * F.sin(phi)
-        phi = math.pi / 2 - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(_E / 2)))
+    chi = math.pi / 2 - 2 * F.atan(F.pow(F.hypot(east, north) / (SEMI_MAJOR_M * _K), F.lit(1 / _N)))
+    phi = chi
+    for k, c in enumerate(_SERIES):
+        phi = phi + c * F.sin((2 * k + 2) * chi)
     return F.degrees(F.atan2(east, north) / _N) + ORIGIN_LON, F.degrees(phi)
 
 

@@ -42,6 +42,11 @@ def all_values(tags: Column) -> Column:
     return F.when(tags.isNotNull(), F.array_join(tags, "|"))
 
 
+def text_code(code: Column) -> Column:
+    """A text code without the spaces around it; null stays null."""
+    return F.trim(code)
+
+
 def _number(text: Column) -> Column:
     return text.try_cast("double")
 

@@ -58,3 +58,18 @@ def weight_holding(df: DataFrame, weight: str, value: str, share: float) -> Data
     total = curve.agg(F.sum("weight").alias("__w"), F.sum("value").alias("__v"))
     reached = curve.crossJoin(F.broadcast(total)).where(F.col("cum_value") >= share * F.col("__v"))
     return reached.agg((F.min(F.col("cum_weight") / F.col("__w"))).alias("share"))
+
+
+def exact_quantiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
+    """One row with the interpolated quantile of the known values for each name of ``wanted``; nulls for an empty table.
+
+    Values are counted and range-partitioned, so that no task holds them all: a rank is found by the running counts.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    summed = checkpoint(running_sums(counts, [F.col("v")], ["n"]))
+    total = summed.agg(F.sum("n").alias("total"))
+    held = summed.crossJoin(F.broadcast(total))  # one row
+    at = lambda rank: F.min(F.when(F.col("cum_n") > rank, F.col("v")))
+    ends = held.agg(*(at(f(q * (F.col("total") - 1))).alias(f"{k}_{n}") for k, q in wanted.items() for n, f in (("low", F.floor), ("high", F.ceil))), F.first("total").alias("total"))
+    part = lambda q: q * (F.col("total") - 1) - F.floor(q * (F.col("total") - 1))
+    return ends.select(*((F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(F.lit(q))).alias(k) for k, q in wanted.items()))

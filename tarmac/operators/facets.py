@@ -146,6 +146,13 @@ def shading_cap(df: DataFrame, value: str, q: float = 0.97) -> DataFrame:
     return df.crossJoin(F.broadcast(cap)).withColumn("shade", F.least(F.col(value).cast("double"), F.col("__cap"))).drop("__cap")
 
 
+def log_classes(df: DataFrame, value: str, classes: int = 5) -> DataFrame:
+    """``class``: 0 to classes - 1 on a logarithmic scale from 0 to the largest value, for counts that are mostly zero."""
+    most = df.agg(F.max(value).alias("__most"))
+    share = F.log1p(F.col(value)) / F.log1p(F.col("__most"))
+    return df.crossJoin(F.broadcast(most)).withColumn("class", F.when(F.col("__most") > 0, F.least(F.floor(share * classes + 1e-9), F.lit(classes - 1))).otherwise(0).cast("int")).drop("__most")
+
+
 def screen(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """Rows within all set bounds; a null value is kept unless a bound of its column is set."""
     out = F.lit(True)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as g
+from tarmac.functions import tags
 from tarmac.operators.graph import checkpoint, connected_components
-from tarmac.operators.spatial import cover
+from tarmac.operators.spatial import cover, nearest_unbounded
 
 LINK_REASON = "link class"
 FRAGMENT_REASON = "unnamed fragment"
@@ -23,6 +24,32 @@ def without_limited_access(edges: DataFrame, classes: Sequence[str] = ("motorway
     return edges.where(~(freeway | frontage))
 
 
+#: The tags that say something about a side of the street.
+SIDEWALK_TAGS = ("sidewalk", "sidewalk:both", "sidewalk:left", "sidewalk:right")
+CYCLEWAY_TAGS = ("cycleway", "cycleway:left", "cycleway:right", "cycleway:both")
+PARKING_TAGS = ("parking:lane:left", "parking:lane:right", "parking:lane:both", "parking:left", "parking:right", "parking:both")
+
+
+def normalised_edges(edges: DataFrame, keep: Sequence[str] = ("u", "v", "key")) -> DataFrame:
+    """The attributes of an edge table whose tags are lists: one projection that applies every tag rule.
+
+    The columns ``keep``, then ``osmid, name, highway, highway_all, oneway, lanes, maxspeed_mph, width_ft, surface, lit,
+    sidewalk, cycleway, parking`` and, if there is a ``geometry``, it and ``length_ft``. A tag that the table lacks, or a
+    null or empty list, gives null (``oneway``: true only if tagged so).
+    """
+    held = set(edges.columns)
+    tag = lambda c: F.col(f"`{c}`") if c in held else F.lit(None).cast("array<string>")
+    one = lambda c: tags.first_value(tag(c))
+    made = {
+        "osmid": tags.all_values(tag("osmid")), "name": one("name"), "highway": one("highway"), "highway_all": tags.all_values(tag("highway")),
+        "oneway": F.coalesce(tags.flag(one("oneway")), F.lit(False)), "lanes": tags.lanes(one("lanes")), "maxspeed_mph": tags.speed_mph(one("maxspeed")),
+        "width_ft": tags.width_feet(one("width")), "surface": one("surface"), "lit": tags.yes_no(tags.flag(one("lit"))),
+        "sidewalk": tags.sidewalk_status(*map(one, SIDEWALK_TAGS)), "cycleway": tags.cycleway_status(*map(one, CYCLEWAY_TAGS)), "parking": tags.parking_status(*map(one, PARKING_TAGS)),
+    }
+    shape = [F.col("geometry"), g.length(F.col("geometry")).alias("length_ft")] if "geometry" in held else []
+    return edges.select(*keep, *(c.alias(n) for n, c in made.items()), *shape)
+
+
 def used_nodes(nodes: DataFrame, edges: DataFrame, node: str = "osmid") -> DataFrame:
     ends = edges.select(F.col("u").alias(node)).unionByName(edges.select(F.col("v").alias(node)))
     return nodes.join(ends.distinct(), node, "left_semi")
@@ -102,15 +129,17 @@ def representatives(sides: DataFrame, lines: DataFrame, line_id: str = "lid") ->
     nearest to their midpoint. Of equally long sides 0 stays. ``lines``: lid, length_ft, pieces, mx, my (midpoint)."""
     info = lines.groupBy(line_id).agg(F.first("length_ft").alias("length_ft"), F.first("mx").alias("mx"), F.first("my").alias("my"))
     placed = sides.join(info, sides.node == info[line_id]).drop("node")
-    length = placed.groupBy("component", "side").agg(F.sum("length_ft").alias("length_ft"))
+    length = placed.groupBy("component", "side").agg(F.round(F.sum("length_ft"), 6).alias("length_ft"))  # sums depend on their order
     kept = length.groupBy("component").agg(F.min_by("side", F.struct(-F.col("length_ft"), "side")).alias("kept"))
     marked = placed.join(kept, "component")
     drops = marked.where("side <> kept").select("component", line_id, "mx", "my")
     reps = marked.where("side = kept").select("component", F.col(line_id).alias("rep_lid"))
     pieces = lines.select(F.col(line_id).alias("rep_lid"), "x0", "y0", "x1", "y1")
-    met = drops.join(reps, "component").join(pieces, "rep_lid")
-    d2 = g.point_piece_d2(F.col("mx"), F.col("my"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return met.groupBy(line_id, "component").agg(F.min(F.struct(d2.alias("d2"), "rep_lid")).alias("best")).select(line_id, "component", "best.rep_lid")
+    # Midpoints meet the pieces in the cells about them, never all of a component; what is farther is looked for farther off.
+    points = drops.select(F.struct("component", line_id).alias("pid"), F.col("mx").alias("px"), F.col("my").alias("py"))
+    kept_pieces = reps.join(pieces, "rep_lid")
+    found = nearest_unbounded(points, kept_pieces, 150.0, "pid", "rep_lid", group=("pid.component", "component"))
+    return found.select(F.col(f"pid.{line_id}").alias(line_id), "pid.component", "rep_lid")
 
 
 def merged_attributes(segments: DataFrame, pointers: DataFrame, line_id: str = "lid", prefer: Sequence[str] = ()) -> DataFrame:

@@ -63,6 +63,18 @@ def nearest(points: DataFrame, pieces: DataFrame, reach: float, keep: Sequence[s
     return best.select(point_id, f"best.{line_id}", "best.d2", *(f"best.{c}" for c in keep))
 
 
+def assign(points: DataFrame, segments: DataFrame, away: DataFrame, reach: float, point_id: str = "pid", line_id: str = "lid", rep_id: str = "rep_seg_id") -> DataFrame:
+    """``pid, lid, d2``: the segment that each point counts for, by the nearest geometry within reach.
+
+    Geometries are the pieces of ``segments`` and of the merged-away halves ``away`` (lid, rep_seg_id and pieces), which
+    count for their representative if it is a segment. Of equal distances the least id of a geometry wins.
+    """
+    cols = ["x0", "y0", "x1", "y1"]
+    halves = away.join(segments.select(F.col(line_id).alias(rep_id)).distinct(), rep_id, "left_semi")
+    targets = segments.select(line_id, *cols, F.col(line_id).alias("__target")).unionByName(halves.select(line_id, *cols, F.col(rep_id).alias("__target")))
+    return nearest(points, targets, reach, ("__target",), point_id, line_id).select(point_id, F.col("__target").alias(line_id), "d2")
+
+
 def nearest_with_ties(points: DataFrame, pieces: DataFrame, reach: float, point_id: str = "pid", line_id: str = "lid") -> DataFrame:
     """All lines at the least distance within reach of each point."""
     pairs = near_pairs(points, pieces, reach, reach, point_id).groupBy(point_id, line_id).agg(F.min("d2").alias("d2"))
@@ -70,16 +82,19 @@ def nearest_with_ties(points: DataFrame, pieces: DataFrame, reach: float, point_
     return pairs.join(best, [point_id, "d2"]).select(point_id, line_id, "d2")
 
 
-def nearest_unbounded(points: DataFrame, pieces: DataFrame, first_reach: float, point_id: str = "pid", line_id: str = "lid", rounds: int = 24) -> DataFrame:
+def nearest_unbounded(points: DataFrame, pieces: DataFrame, first_reach: float, point_id: str = "pid", line_id: str = "lid", rounds: int = 24, group: tuple[str, str] | None = None) -> DataFrame:
     """The nearest line of each point at any distance: the reach is doubled for the points still without one.
 
-    A line found within a reach is final. The rest shrinks round by round, and the loop ends when none is left.
+    A line found within a reach is final. The rest shrinks round by round, and the loop ends when none is left. With
+    ``group``, a column of the points and one of the pieces, only lines of a point's own group count.
     """
+    own = "true" if group is None else f"{group[0]} = {group[1]}"
     if pieces.limit(1).count() == 0:
         return nearest(points, pieces, first_reach, (), point_id, line_id)
     found, rest, reach = None, points, first_reach
     for _ in range(rounds):
-        got = checkpoint(nearest(rest, pieces, reach, (), point_id, line_id))
+        got = near_pairs(rest, pieces, reach, reach, point_id).where(own).groupBy(point_id).agg(F.min(F.struct("d2", line_id)).alias("best"))
+        got = checkpoint(got.select(point_id, f"best.{line_id}", "best.d2"))
         found = got if found is None else found.unionByName(got)
         rest = checkpoint(rest.join(got.select(point_id), point_id, "left_anti"))
         if rest.limit(1).count() == 0:
@@ -178,36 +193,32 @@ def overlap_share(pieces: DataFrame, other: DataFrame, reach: float, line_id: st
     a = cover(own, 0.0, max(reach, 1.0)).select(line_id, "__id", "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
     b = cover(other.select("x0", "y0", "x1", "y1"), reach, max(reach, 1.0)).select("cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     met = a.join(b, ["cx", "cy"]).drop("cx", "cy").distinct()
-    ax, ay, bx, by = F.col("ax0"), F.col("ay0"), F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0")
-    size = bx * bx + by * by
-
-    def circle(cx: Column, cy: Column) -> tuple[Column, Column]:
-        t = ((cx - ax) * bx + (cy - ay) * by) / size
-        cross = (cx - ax) * by - (cy - ay) * bx
-        left = F.lit(reach * reach) - cross * cross / size
-        half = F.sqrt(F.when(left >= 0, left) / size)
-        return t - half, t + half
-
-    def strip() -> tuple[Column, Column]:
-        cx, cy = F.col("bx0"), F.col("by0")
-        ux, uy = F.col("bx1") - cx, F.col("by1") - cy
-        wide = F.sqrt(ux * ux + uy * uy)
-
-        def interval(base: Column, slope: Column, low: Column, high: Column) -> tuple[Column, Column]:
-            flat, inside = slope == 0, (base >= low) & (base <= high)
-            t1, t2 = (low - base) / F.nullif(slope, F.lit(0.0)), (high - base) / F.nullif(slope, F.lit(0.0))
-            return (F.when(flat & inside, F.lit(-1e18)).when(~flat, F.least(t1, t2)), F.when(flat & inside, F.lit(1e18)).when(~flat, F.greatest(t1, t2)))
-
-        along = interval((ax - cx) * ux + (ay - cy) * uy, bx * ux + by * uy, F.lit(0.0), wide * wide)
-        across = interval((ax - cx) * uy - (ay - cy) * ux, bx * uy - by * ux, -reach * wide, reach * wide)
-        low, high = F.greatest(along[0], across[0]), F.least(along[1], across[1])
-        both = along[0].isNotNull() & across[0].isNotNull() & (low <= high) & (wide > 0)
-        return F.when(both, low), F.when(both, high)
-
-    spans = [circle(F.col("bx0"), F.col("by0")), circle(F.col("bx1"), F.col("by1")), strip()]
-    low = F.least(*(s[0] for s in spans))
-    high = F.greatest(*(s[1] for s in spans))
-    clipped = met.where(low.isNotNull()).select(line_id, "__id", F.sqrt(size).alias("long"), F.greatest(low, F.lit(0.0)).alias("t0"), F.least(high, F.lit(1.0)).alias("t1")).where("t0 < t1")
+    # Each step is a projection of its own: products that several later ones use are worked out once.
+    met = met.withColumns({"bx": F.col("ax1") - F.col("ax0"), "by": F.col("ay1") - F.col("ay0"), "ux": F.col("bx1") - F.col("bx0"), "uy": F.col("by1") - F.col("by0")})
+    ax, ay, bx, by, ux, uy = (F.col(c) for c in ("ax0", "ay0", "bx", "by", "ux", "uy"))
+    met = met.withColumns({"size": bx * bx + by * by, "wide": F.sqrt(ux * ux + uy * uy)})
+    for k in (0, 1):  # where the circle about an end of the other piece is crossed
+        cx, cy = F.col(f"bx{k}") - ax, F.col(f"by{k}") - ay
+        met = met.withColumns({f"t{k}": (cx * bx + cy * by) / F.col("size"), f"cross{k}": cx * by - cy * bx})
+        left = F.lit(reach * reach) - F.col(f"cross{k}") * F.col(f"cross{k}") / F.col("size")
+        met = met.withColumn(f"half{k}", F.sqrt(F.when(left >= 0, left) / F.col("size")))
+        met = met.withColumns({f"low{k}": F.col(f"t{k}") - F.col(f"half{k}"), f"high{k}": F.col(f"t{k}") + F.col(f"half{k}")})
+    # The strip along the other piece, between its ends and within reach on both sides.
+    cx, cy = ax - F.col("bx0"), ay - F.col("by0")
+    met = met.withColumns({"base2": cx * ux + cy * uy, "slope2": bx * ux + by * uy, "base3": cx * uy - cy * ux, "slope3": bx * uy - by * ux})
+    for k, low, high in ((2, F.lit(0.0), F.col("wide") * F.col("wide")), (3, -reach * F.col("wide"), reach * F.col("wide"))):
+        base, slope = F.col(f"base{k}"), F.nullif(F.col(f"slope{k}"), F.lit(0.0))
+        met = met.withColumns({f"from{k}": (low - base) / slope, f"to{k}": (high - base) / slope, f"held{k}": (base >= low) & (base <= high)})
+        flat, inside = F.col(f"from{k}").isNull(), F.col(f"held{k}")
+        met = met.withColumns({
+            f"low{k}": F.when(flat & inside, F.lit(-1e18)).when(~flat, F.least(f"from{k}", f"to{k}")),
+            f"high{k}": F.when(flat & inside, F.lit(1e18)).when(~flat, F.greatest(f"from{k}", f"to{k}")),
+        })
+    met = met.withColumns({"low4": F.greatest("low2", "low3"), "high4": F.least("high2", "high3")})
+    strip = F.col("low2").isNotNull() & F.col("low3").isNotNull() & (F.col("low4") <= F.col("high4")) & (F.col("wide") > 0)
+    met = met.withColumns({"low": F.least("low0", "low1", F.when(strip, F.col("low4"))), "high": F.greatest("high0", "high1", F.when(strip, F.col("high4")))})
+    # Pairs without a stretch have an empty one. A filter on it would be pushed down, formula and all, below the steps above.
+    clipped = met.select(line_id, "__id", F.sqrt("size").alias("long"), F.greatest("low", F.lit(0.0)).alias("t0"), F.when(F.col("high").isNull(), F.lit(0.0)).otherwise(F.least("high", F.lit(1.0))).alias("t1"))
     so_far = Window.partitionBy("__id").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
     new = clipped.withColumn("__seen", F.coalesce(F.max("t1").over(so_far), F.lit(0.0)))
     covered = new.groupBy(line_id).agg(F.sum(F.col("long") * F.greatest(F.col("t1") - F.greatest("t0", "__seen"), F.lit(0.0))).alias("near"))
@@ -249,8 +260,21 @@ def side_shares(samples: DataFrame, other: DataFrame, reach_bound: float, line_i
 
 
 def area_weighted_neighbours(pieces: DataFrame, zones: DataFrame, edges: DataFrame, reach: float, category: str, line_id: str = "lid", zone_id: str = "zone_id") -> DataFrame:
-    """``lid, zone_id, category, area`` of all zones (zone_id, category, area) that come within reach of a line."""
-    near = piece_pairs(pieces, edges, reach, reach, line_id, zone_id).select(line_id, zone_id)
+    """``lid, zone_id, category, area`` of all zones (zone_id, category, area) that come within reach of a line.
+
+    Lines meet the boxes of zones first, a row for each cell of a box; the edges of the pairs whose boxes come within
+    reach follow, and a line's start inside a zone counts also where no edge is near.
+    """
+    boxes = edges.groupBy(zone_id).agg(F.min(F.least("x0", "x1")).alias("x0"), F.min(F.least("y0", "y1")).alias("y0"), F.max(F.greatest("x0", "x1")).alias("x1"), F.max(F.greatest("y0", "y1")).alias("y1"))
+    size = max(4 * reach, 1.0)
+    grid = lambda df, by: df.withColumn("cx", F.explode(F.sequence(_cell(F.least("x0", "x1") - by, size), _cell(F.greatest("x0", "x1") + by, size)))).withColumn("cy", F.explode(F.sequence(_cell(F.least("y0", "y1") - by, size), _cell(F.greatest("y0", "y1") + by, size))))
+    b = grid(boxes, reach).select(zone_id, "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+    met = cover(pieces.select(line_id, "x0", "y0", "x1", "y1"), 0.0, size).join(b, ["cx", "cy"])
+    apart = [F.greatest(F.least(f"{c}0", f"{c}1") - F.col(f"b{c}1"), F.col(f"b{c}0") - F.greatest(f"{c}0", f"{c}1"), F.lit(0.0)) for c in "xy"]
+    near = met.where(apart[0] * apart[0] + apart[1] * apart[1] <= reach * reach).select(line_id, zone_id, *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1"))).distinct()
+    sides = edges.select(zone_id, *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+    cols = lambda s: tuple(F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))
+    close = near.join(sides, zone_id).where(g.piece_piece_d2(cols("a"), cols("b")) <= reach * reach).select(line_id, zone_id)
     starts = pieces.groupBy(line_id).agg(F.min_by(F.struct("x0", "y0"), "piece").alias("p")).select(line_id, F.col("p.x0").alias("px"), F.col("p.y0").alias("py"))
     inside = zones_of_points(starts, edges, reach, line_id, zone_id)
-    return near.unionByName(inside).distinct().join(zones.select(zone_id, category, "area"), zone_id)
+    return close.unionByName(inside).distinct().join(zones.select(zone_id, category, "area"), zone_id)

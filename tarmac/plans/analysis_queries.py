@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.operators import concentration as c
 from tarmac.operators import contract as dq
 from tarmac.operators import facets as q
+from tarmac.operators.graph import checkpoint
 from tarmac.plans.registry import query
 from tarmac.plans.spatial_queries import _COUNTS, counted
 from tarmac.plans.sql import sql
@@ -17,6 +18,11 @@ _MILES = _COUNTS + ", v AS (SELECT lid, length_ft / 5280 AS miles, n_severe, CAS
 
 
 def _miles(spark, d):
+    """Segments with counts, kept: shares, totals and curves read them several times."""
+    return checkpoint(_measured(spark, d))
+
+
+def _measured(spark, d):
     return counted(spark, d).select("lid", "name", "state_owned", (F.col("length_ft") / 5280).alias("miles"), "n_severe", (F.col("lanes") * 1000 * F.col("length_ft") / 5280).alias("vmt"))
 
 
@@ -142,7 +148,7 @@ def shading(spark, d):
 
 @query("q13_overlay_comparison", sql(_COUNTS + " SELECT state_owned, round(sum(length_ft) / (SELECT sum(length_ft) FROM g), 6) AS miles_share, round(sum(n_severe) / (SELECT sum(n_severe) FROM g), 6) AS ksi_share FROM g GROUP BY state_owned", "pts", "lns"))
 def overlay(spark, d):
-    g = counted(spark, d)
+    g = checkpoint(counted(spark, d).select("state_owned", "length_ft", "n_severe"))
     total = g.agg(F.sum("length_ft").alias("m"), F.sum("n_severe").alias("s"))
     by = g.groupBy("state_owned").agg(F.sum("length_ft").alias("a"), F.sum("n_severe").alias("b"))
     return by.crossJoin(F.broadcast(total)).select("state_owned", F.round(F.col("a") / F.col("m"), 6).alias("miles_share"), F.round(F.col("b") / F.col("s"), 6).alias("ksi_share"))
@@ -165,8 +171,9 @@ def screen(spark, d):
 
 @query("q18_class_breaks", sql(_COUNTS + ", k AS (SELECT quantile_cont(length_ft, [0.2, 0.4, 0.6, 0.8]) AS b FROM g) SELECT CAST(list_sum(list_transform(b, lambda x: CAST(length_ft >= x AS INT))) AS INT) AS class, count(*) AS n FROM g, k GROUP BY 1", "pts", "lns"))
 def breaks(spark, d):
-    g = counted(spark, d)
-    cuts = g.agg(F.percentile("length_ft", [0.2, 0.4, 0.6, 0.8]).alias("b"))
+    g = checkpoint(counted(spark, d).select("length_ft"))
+    wanted = {f"q{k}": k / 5 for k in range(1, 5)}
+    cuts = c.exact_quantiles(g, "length_ft", wanted).select(F.array(*wanted).alias("b"))
     return g.crossJoin(F.broadcast(cuts)).groupBy(F.size(F.filter("b", lambda x: F.col("length_ft") >= x)).alias("class")).agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from tarmac.operators import network as n
 from tarmac.operators.graph import connected_components
 from tarmac.operators.simplify import simplify
 from tarmac.plans.registry import query
-from tarmac.plans.sql import near_box, piece_d2, sql
+from tarmac.plans.sql import near_box, piece_d2, point_d2, sql
 from tarmac.sources import adapters as fx
 from tarmac.sources import writers
 
@@ -48,7 +48,11 @@ def _sides(spark, d):
     return n.two_sides(n.twin_pairs(_chords(spark, d)))
 
 
-@query("net5_two_sides")
+_WALKS = _TWINS + """, b AS (SELECT src AS a, dst AS b FROM t UNION SELECT dst, src FROM t), w AS (SELECT DISTINCT a AS start, a AS node, 0 AS k FROM b UNION SELECT w.start, b.b, w.k + 1 FROM w JOIN b ON w.node = b.a WHERE w.k < 24),
+c AS (SELECT node, min(start) AS component FROM w GROUP BY node), sides AS (SELECT w.node, c.component, CAST(min(k) % 2 AS INT) AS side, min(k % 2) <> max(k % 2) AS conflict FROM w JOIN c ON c.node = w.node AND c.component = w.start GROUP BY 1, 2)"""
+
+
+@query("net5_two_sides", sql(_WALKS + " SELECT node, component, side, conflict FROM sides", "lns", recursive=True))
 def sides(spark, d):
     return _sides(spark, d)
 
@@ -58,12 +62,17 @@ def _pointers(spark, d):
     return n.representatives(_sides(spark, d), lines)
 
 
-@query("sj16_representatives")
+_REPS = _WALKS + f""", p AS (SELECT s.*, l.length_ft, (l.x0 + l.x1) / 2 AS mx, (l.y0 + l.y1) / 2 AS my FROM sides s JOIN lns l ON l.lid = s.node), len AS (SELECT component, side, round(sum(length_ft), 6) AS long FROM p GROUP BY 1, 2), kept AS (SELECT component, arg_min(side, struct_pack(a := -long, b := side)) AS kept FROM len GROUP BY 1),
+ptr AS (SELECT d.node AS lid, d.component, arg_min(r.node, struct_pack(a := {point_d2('d.mx', 'd.my', 'l')}, b := r.node)) AS rep_lid FROM p d JOIN kept k ON k.component = d.component AND d.side <> k.kept JOIN p r ON r.component = d.component AND r.side = k.kept JOIN lns l ON l.lid = r.node GROUP BY 1, 2)"""
+
+
+@query("sj16_representatives", sql(_REPS + " SELECT lid, component, rep_lid FROM ptr", "lns", recursive=True))
 def representatives(spark, d):
     return _pointers(spark, d)
 
 
-@query("agg8_merged_attributes")
+@query("agg8_merged_attributes", sql(_REPS + """, got AS (SELECT rep_lid, sum(lanes * length_ft) / sum(CASE WHEN lanes IS NOT NULL THEN length_ft END) AS half, count(*) AS n, string_agg(CAST(lid AS VARCHAR), '|' ORDER BY lid) AS ids FROM ptr JOIN lns USING (lid) GROUP BY 1)
+SELECT l.lid, g.rep_lid IS NOT NULL AS merged_dual, coalesce(n, 0) AS n_twins_merged, ids AS twin_ids, round(CASE WHEN g.rep_lid IS NOT NULL THEN lanes + half ELSE lanes END, 6) AS lanes FROM lns l LEFT JOIN got g ON g.rep_lid = l.lid WHERE l.lid NOT IN (SELECT lid FROM ptr)""", "lns", recursive=True))
 def merged(spark, d):
     base = fx.lines(spark, d).select("lid", "length_ft", "lanes", "highway", F.lit(None).cast("double").alias("maxspeed_mph"))
     out = n.merged_attributes(base, _pointers(spark, d).drop("component"), prefer=["highway"])
@@ -84,9 +93,9 @@ def absorbed(spark, d):
 def slivers(spark, d):
     away = fx.lines(spark, d).where("lid % 2 = 1").select("lid", (F.col("lid") - 1).alias("rep_seg_id"))
     tables = n.clean_slivers(_segments(spark, d), away)
-    parts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("layer"), "n") for k, t in tables.items()]
-    orphans = tables["away"].where("orphan").agg(F.count("*").alias("n")).select(F.lit("orphans").alias("layer"), "n")
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(orphans)
+    rows = [t.select(F.lit(k).alias("layer"), "seg_id", F.round("length_ft", 4).alias("length_ft"), F.lit(None).cast("boolean").alias("orphan")) for k, t in tables.items() if k != "away"]
+    away = tables["away"].select(F.lit("away").alias("layer"), F.col("rep_seg_id").alias("seg_id"), F.lit(None).cast("double").alias("length_ft"), "orphan")
+    return rows[0].unionByName(rows[1]).unionByName(away)
 
 
 @query("net2_node_context", sql(f"WITH {_EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node) SELECT key, a.degree AS deg_u, b.degree AS deg_v, CAST(u % 5 = 0 AS INT) + CAST(v % 5 = 0 AS INT) AS n_signals FROM e JOIN d a ON a.node = u JOIN d b ON b.node = v", "lns"))
@@ -96,12 +105,12 @@ def context(spark, d):
     return n.with_node_context(edges, signals).select("key", "deg_u", "deg_v", "n_signals")
 
 
-@query("net1_undirected", sql("SELECT count(*) AS n FROM lns", "lns"))
+@query("net1_undirected", sql(f"WITH {_EDGES} SELECT key, least(u, v) AS a, greatest(u, v) AS b FROM e", "lns"))
 def undirected(spark, d):
     edges = _edges(spark, d)
     back = edges.select("key", F.col("v").alias("u"), F.col("u").alias("v"), F.reverse("geometry").alias("geometry"))
     both = edges.select("key", "u", "v", "geometry").unionByName(back)
-    return n.undirected(both).agg(F.count("*").alias("n"))
+    return n.undirected(both).select("key", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
 @query("flt1_without_limited_access", sql("SELECT lid AS key FROM lns WHERE highway <> 'primary' AND (name IS NULL OR name NOT LIKE 'Street 9%')", "lns"))
@@ -109,13 +118,6 @@ def surface(spark, d):
     return n.without_limited_access(_edges(spark, d), ["primary"], "street 9").select("key")
 
 
-@query("flt2_used_nodes", sql(f"WITH {_EDGES}, k AS (SELECT * FROM e WHERE key % 40 = 0) SELECT DISTINCT osmid FROM (SELECT u AS osmid FROM k UNION SELECT v FROM k)", "lns"))
-def used(spark, d):
-    edges = _edges(spark, d)
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("osmid")).distinct()
-    return n.used_nodes(nodes, edges.where("key % 40 = 0"))
-
-
 @query("flt2_nodes_after_removal", sql(f"WITH {_EDGES}, k AS (SELECT * FROM e WHERE highway <> 'primary' AND (name IS NULL OR name NOT LIKE 'Street 9%')) SELECT DISTINCT osmid FROM (SELECT u AS osmid FROM k UNION SELECT v FROM k)", "lns"))
 def left_nodes(spark, d):
     edges = _edges(spark, d)
@@ -123,10 +125,10 @@ def left_nodes(spark, d):
     return n.used_nodes(nodes, n.without_limited_access(edges, ["primary"], "street 9"))
 
 
-@query("flt9_link_rule", sql("SELECT CASE WHEN highway = 'secondary_link' THEN 'link class' ELSE 'kept' END AS outcome, count(*) AS n FROM lns GROUP BY 1", "lns"))
+@query("flt9_link_rule", sql("SELECT lid, CASE WHEN highway = 'secondary_link' THEN 'link class' ELSE 'kept' END AS outcome FROM lns", "lns"))
 def link_rule(spark, d):
     kept, gone = n.split_by(fx.lines(spark, d), F.col("highway").endswith("_link"), n.LINK_REASON)
-    return kept.select(F.lit("kept").alias("outcome")).unionByName(gone.select(F.col("removal_reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    return kept.select("lid", F.lit("kept").alias("outcome")).unionByName(gone.select("lid", F.col("removal_reason").alias("outcome")))
 
 
 @query("flt10_fragment_rule", sql("SELECT lid FROM lns WHERE name IS NULL AND length_ft < 50", "lns"))

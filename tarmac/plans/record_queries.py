@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.functions import tags
-from tarmac.operators import conflate, records, spatial
+from tarmac.operators import concentration, conflate, records, spatial
 from tarmac.plans.registry import query
 from tarmac.plans.sql import sql
 from tarmac.sources import adapters as fx
@@ -52,10 +52,10 @@ def either_flags(spark, d):
     return marked.withColumn("mode", tags.travel_mode(F.col("ped"), F.col("bike")))
 
 
-@query("jn1_of_parents", sql("SELECT count(*) AS n FROM prs WHERE id IN (SELECT id FROM crs WHERE kabco = 'K')", "prs", "crs"))
+@query("jn1_of_parents", sql("SELECT id AS Crash_ID, nbr AS Prsn_Nbr, price FROM prs WHERE id IN (SELECT id FROM crs WHERE kabco = 'K')", "prs", "crs"))
 def of_parents(spark, d):
     fatal = fx.crashes(spark, d).where(tags.severity_letter(F.col("Crash_Sev_ID")) == "K")
-    return records.of_parents(fx.persons(spark, d), fatal).agg(F.count("*").alias("n"))
+    return records.of_parents(fx.persons(spark, d), fatal).select("Crash_ID", "Prsn_Nbr", "price")
 
 
 _YEARS = _PERSONS + """, y AS (SELECT id, coalesce(sum(greatest(75 - age, 0)), 0.0) AS y FROM p WHERE killed GROUP BY id), m AS (SELECT avg(y) AS mean FROM crs JOIN y USING (id) WHERE kabco = 'K'),
@@ -129,18 +129,6 @@ def rates(spark, d):
     return conflate.demographic_rates(raw).select("id", "median_hh_income", "pct_poverty", "pop_density_sqmi")
 
 
-@query("jn6_left_attributes", sql("SELECT z.zone_id, count(c_custkey) AS people, round(sum(CASE WHEN c_acctbal >= 0 THEN c_acctbal END), 2) AS income FROM zns z LEFT JOIN customer ON c_nationkey = z.zone_id AND c_custkey % 2 = 0 GROUP BY z.zone_id", "zns"))
-def left_attributes(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("zone_id"), tags.no_sentinel(F.col("c_acctbal")).alias("v"))
-    by = c.groupBy("zone_id").agg(F.count("*").alias("people"), F.round(F.sum("v"), 2).alias("income"))
-    return fx.zones(spark, d).select("zone_id").join(by, "zone_id", "left").na.fill(0, ["people"])
-
-
-@query("jn7_zone_income_by_street", sql("SELECT lid % 25 AS zone_id, min(lanes) AS income FROM lns WHERE lid % 3 = 0 GROUP BY 1", "lns"))
-def zone_income(spark, d):
-    return fx.lines(spark, d).where("lid % 3 = 0").groupBy((F.col("lid") % 25).alias("zone_id")).agg(F.min("lanes").alias("income"))
-
-
 @query("jn6_all_attributes", sql("SELECT z.zone_id, count(c_custkey) AS people, round(sum(CASE WHEN c_acctbal >= 0 THEN c_acctbal END), 2) AS income FROM zns z LEFT JOIN customer ON c_nationkey = z.zone_id GROUP BY z.zone_id", "zns"))
 def all_attributes(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("zone_id"), tags.no_sentinel(F.col("c_acctbal")).alias("v"))
@@ -193,9 +181,12 @@ def weekdays(spark, d):
     return fx.crashes(spark, d).groupBy(F.weekday(tags.day(F.col("Crash_Date"))).alias("weekday")).agg(F.count("*").alias("n"))
 
 
-@query("map3_land_use_area", sql("SELECT lu, count(*) AS n, sum(area) AS area FROM pcl GROUP BY lu", "pcl"))
+@query("map3_land_use_area", """SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'Residential' WHEN 'AUTOMOBILE' THEN 'Commercial' WHEN 'MACHINERY' THEN 'Industrial' WHEN 'HOUSEHOLD' THEN 'Unknown' ELSE 'Other' END AS lu, count(*) AS n, CAST(sum((20 + c_custkey % 60) * (20 + c_custkey % 60)) AS DOUBLE) AS area FROM customer GROUP BY 1""")
 def parcel_use(spark, d):
-    return fx.parcels(spark, d).groupBy("lu").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+    named = {"BUILDING": "Multi-Family Residential", "AUTOMOBILE": "Office", "MACHINERY": "Industrial", "HOUSEHOLD": "Not a group", "FURNITURE": "Agriculture Production"}
+    group = tags.coded(F.col("c_mktsegment"), named, None)
+    p = spark.read.parquet(f"{d}/customer.parquet").select(group.alias("group"), F.expr("cast((20 + c_custkey % 60) * (20 + c_custkey % 60) as double)").alias("area"))
+    return p.groupBy(tags.land_use(F.col("group")).alias("lu")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
 
 
 @query("prj1_rounded", sql("SELECT sid, CAST(round_even(x0 / 7, 0) AS BIGINT) AS x0, round_even(y0 / 7, 1) AS y0 FROM vls", "vls"))
@@ -217,7 +208,8 @@ def class_miles(spark, d):
 
 @query("agg5_quantiles", sql("SELECT " + ", ".join(f"round(quantile_cont(length_ft, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95, 99)) + " FROM lns", "lns"))
 def quantiles(spark, d):
-    return fx.lines(spark, d).agg(*(F.round(F.percentile("length_ft", q / 100), 6).alias(f"p{q}") for q in (5, 25, 50, 75, 95, 99)))
+    wanted = {f"p{q}": q / 100 for q in (5, 25, 50, 75, 95, 99)}
+    return concentration.exact_quantiles(fx.lines(spark, d), "length_ft", wanted).select(*(F.round(k, 6).alias(k) for k in wanted))
 
 
 @query("agg7_weighted_lanes", sql("SELECT name, round(sum(lanes * length_ft) / sum(CASE WHEN lanes IS NOT NULL THEN length_ft END), 6) AS lanes FROM lns WHERE name IS NOT NULL GROUP BY name", "lns"))
@@ -247,10 +239,10 @@ def orphans(spark, d):
     return fx.readings(spark, d).select("station_id").distinct().join(fx.stations(spark, d).where("station_id % 3 <> 0"), "station_id", "left_anti").select("station_id")
 
 
-@query("set1_union_layers", sql("SELECT layer, count(*) AS n FROM (SELECT 'part' AS layer FROM lns UNION ALL SELECT 'customer' FROM vls) GROUP BY layer", "lns", "vls"))
+@query("set1_union_layers", sql("SELECT 'part' AS layer, lid AS id, x0, y0 FROM lns UNION ALL SELECT 'customer', sid, x0, y0 FROM vls", "lns", "vls"))
 def layers(spark, d):
-    both = fx.lines(spark, d).select(F.lit("part").alias("layer")).unionByName(fx.value_lines(spark, d).select(F.lit("customer").alias("layer")))
-    return both.groupBy("layer").agg(F.count("*").alias("n"))
+    part, city = fx.lines(spark, d).withColumnRenamed("lid", "id"), fx.value_lines(spark, d).withColumnRenamed("sid", "id")
+    return part.select(F.lit("part").alias("layer"), "id", "x0", "y0").unionByName(city.select(F.lit("customer").alias("layer"), "id", "x0", "y0"))
 
 
 @query("snk2_idempotent_enrichment", sql("SELECT lid AS seg_id, name, lanes * 2 AS twice FROM lns", "lns"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as g
 from tarmac.functions import tags
+from tarmac.operators import concentration as c
 from tarmac.operators import conflate, facets, records
 from tarmac.operators import spatial as s
 from tarmac.plans.registry import query
@@ -55,10 +56,13 @@ def worst_streets(spark, d):
 
 @query("rpt3_assignment_integrity", sql(_COUNTS + " SELECT (SELECT count(*) FROM b) AS assigned, CAST(sum(n_crash) AS BIGINT) AS counted, round(avg(CAST(n_severe > 0 AS INT)), 6) AS share_severe, max(n_severe) AS most, round((SELECT quantile_cont(sqrt(d2), 0.5) FROM b), 4) AS p50, round((SELECT quantile_cont(sqrt(d2), 0.99) FROM b), 4) AS p99 FROM g", "pts", "lns"))
 def assignment_integrity(spark, d):
-    near = s.nearest(fx.points(spark, d).select("pid", "px", "py"), _pieces(spark, d), REACH)
-    left = near.agg(F.count("*").alias("assigned"), F.round(F.percentile(F.sqrt("d2"), 0.5), 4).alias("p50"), F.round(F.percentile(F.sqrt("d2"), 0.99), 4).alias("p99"))
-    right = counted(spark, d).agg(F.sum("n_crash").alias("counted"), F.round(F.avg((F.col("n_severe") > 0).cast("int")), 6).alias("share_severe"), F.max("n_severe").alias("most"))
-    return left.crossJoin(right)
+    p = fx.points(spark, d)
+    crashes = p.join(s.nearest(p.select("pid", "px", "py"), _pieces(spark, d), REACH), "pid")
+    crashes = s.checkpoint(crashes.select("pid", "lid", F.sqrt("d2").alias("feet"), "any_injury", "severe", "fatal", "ped", "bike"))  # read three times
+    counts = records.with_counts(fx.lines(spark, d), records.counts_per_segment(crashes))
+    right = counts.agg(F.sum("n_crash").alias("counted"), F.round(F.avg((F.col("n_severe") > 0).cast("int")), 6).alias("share_severe"), F.max("n_severe").alias("most"))
+    middle = c.exact_quantiles(crashes, "feet", {"p50": 0.5, "p99": 0.99}).select(F.round("p50", 4).alias("p50"), F.round("p99", 4).alias("p99"))
+    return crashes.agg(F.count("*").alias("assigned")).crossJoin(middle).crossJoin(right)  # a row each
 
 
 @query("sj5_nearest_line_unbounded", sql(f"WITH m AS (SELECT station_id, lid, {point_d2('p.px', 'p.py', 'l')} AS d2 FROM stn p, lns l) SELECT station_id, arg_min(lid, struct_pack(d2 := d2, lid := lid)) AS lid, round(min(d2), 6) AS d2 FROM m GROUP BY station_id", "stn", "lns"))
@@ -150,9 +154,9 @@ def lanes_width_median(spark, d):
 @query("agg6_station_volumes", sql(f"""WITH v AS (SELECT * FROM rdg WHERE ok AND adt > 0), n AS (SELECT station_id, arg_max(adt, struct_pack(a := date, b := order_key, c := line_no, d := part_key, e := adt)) AS adt, year(arg_max(date, struct_pack(a := date, b := order_key, c := line_no, d := part_key, e := adt))) AS y FROM v GROUP BY 1),
 o AS (SELECT station_id, arg_max(op_speed, struct_pack(a := date, b := order_key, c := line_no, d := part_key, e := adt)) AS op_speed FROM v WHERE op_speed IS NOT NULL GROUP BY 1),
 m AS (SELECT station_id, lid, {point_d2('p.px', 'p.py', 'l')} AS d2 FROM stn p, lns l), r AS (SELECT *, rank() OVER (PARTITION BY station_id ORDER BY d2) AS k FROM m WHERE d2 <= 22500)
-SELECT lid, max(y) AS adt_year, count(*) AS n_stations, round(avg(op_speed), 2) AS op_speed FROM r JOIN n USING (station_id) LEFT JOIN o USING (station_id) WHERE k = 1 GROUP BY lid""", "stn", "rdg", "lns"))
+SELECT lid, round_even(avg(adt), 0) AS adt, max(y) AS adt_year, count(*) AS n_stations, round(avg(op_speed), 2) AS op_speed FROM r JOIN n USING (station_id) LEFT JOIN o USING (station_id) WHERE k = 1 GROUP BY lid""", "stn", "rdg", "lns"))
 def station_volumes(spark, d):
-    return conflate.station_volumes(fx.stations(spark, d), fx.readings(spark, d), _pieces(spark, d)).select("lid", "adt_year", "n_stations", F.round("op_speed", 2).alias("op_speed"))
+    return conflate.station_volumes(fx.stations(spark, d), fx.readings(spark, d), _pieces(spark, d)).select("lid", "adt", "adt_year", "n_stations", F.round("op_speed", 2).alias("op_speed"))
 
 
 @query("agg16_latest_reading", sql("SELECT station_id, arg_max(adt, struct_pack(a := date, b := order_key, c := line_no, d := part_key, e := adt)) AS adt FROM rdg WHERE ok AND adt > 0 GROUP BY 1", "rdg"))
@@ -172,16 +176,18 @@ def lines_in_zones(spark, d):
     return s.lines_in_zones(_pieces(spark, d), _zone_edges(spark, d), 500.0)
 
 
-_ALONG = "(l.x1 - l.x0)", "(l.y1 - l.y0)"
-_SIZE = f"({_ALONG[0]} * {_ALONG[0]} + {_ALONG[1]} * {_ALONG[1]})"
-
+_OVERLAP = f"""WITH m AS (SELECT DISTINCT l.lid, l.x0 AS ax, l.y0 AS ay, l.x1 - l.x0 AS bx, l.y1 - l.y0 AS by_, v.x0 AS cx, v.y0 AS cy, v.x1 AS dx, v.y1 AS dy, v.x1 - v.x0 AS ux, v.y1 - v.y0 AS uy FROM lns l JOIN vls v ON {near_box('l', 'v', 50)}),
+s AS (SELECT *, bx * bx + by_ * by_ AS size, sqrt(ux * ux + uy * uy) AS wide, (ax - cx) * ux + (ay - cy) * uy AS b2, bx * ux + by_ * uy AS s2, (ax - cx) * uy - (ay - cy) * ux AS b3, bx * uy - by_ * ux AS s3,
+ (cx - ax) * by_ - (cy - ay) * bx AS c0, (dx - ax) * by_ - (dy - ay) * bx AS c1 FROM m),
+t AS (SELECT *, ((cx - ax) * bx + (cy - ay) * by_) / size AS t0, ((dx - ax) * bx + (dy - ay) * by_) / size AS t1, CASE WHEN 2500 - c0 * c0 / size >= 0 THEN sqrt((2500 - c0 * c0 / size) / size) END AS h0, CASE WHEN 2500 - c1 * c1 / size >= 0 THEN sqrt((2500 - c1 * c1 / size) / size) END AS h1,
+ CASE WHEN s2 <> 0 THEN least(-b2 / s2, (wide * wide - b2) / s2) WHEN b2 BETWEEN 0 AND wide * wide THEN -1e18 END AS l2, CASE WHEN s2 <> 0 THEN greatest(-b2 / s2, (wide * wide - b2) / s2) WHEN b2 BETWEEN 0 AND wide * wide THEN 1e18 END AS g2,
+ CASE WHEN s3 <> 0 THEN least((-50 * wide - b3) / s3, (50 * wide - b3) / s3) WHEN b3 BETWEEN -50 * wide AND 50 * wide THEN -1e18 END AS l3, CASE WHEN s3 <> 0 THEN greatest((-50 * wide - b3) / s3, (50 * wide - b3) / s3) WHEN b3 BETWEEN -50 * wide AND 50 * wide THEN 1e18 END AS g3 FROM s),
+r AS (SELECT lid, size, least(t0 - h0, t1 - h1, CASE WHEN l2 IS NOT NULL AND l3 IS NOT NULL AND greatest(l2, l3) <= least(g2, g3) AND wide > 0 THEN greatest(l2, l3) END) AS low, greatest(t0 + h0, t1 + h1, CASE WHEN l2 IS NOT NULL AND l3 IS NOT NULL AND greatest(l2, l3) <= least(g2, g3) AND wide > 0 THEN least(g2, g3) END) AS high FROM t),
+c AS (SELECT lid, greatest(low, 0) AS t0, least(high, 1) AS t1 FROM r WHERE low IS NOT NULL AND greatest(low, 0) < least(high, 1)), w AS (SELECT lid, t0, t1, coalesce(max(t1) OVER (PARTITION BY lid ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM c),
+n AS (SELECT lid, sum(greatest(t1 - greatest(t0, seen), 0)) AS share FROM w GROUP BY lid) SELECT l.lid, round(coalesce(share, 0), 6) AS share FROM lns l LEFT JOIN n USING (lid)"""
 
-def _circle(x: str, y: str, sign: str) -> str:
-    cross = f"(({x} - l.x0) * {_ALONG[1]} - ({y} - l.y0) * {_ALONG[0]})"
-    return f"(CASE WHEN 2500 - {cross} * {cross} / {_SIZE} >= 0 THEN (({x} - l.x0) * {_ALONG[0]} + ({y} - l.y0) * {_ALONG[1]}) / {_SIZE} {sign} sqrt((2500 - {cross} * {cross} / {_SIZE}) / {_SIZE}) END)"
 
-
-@query("sj10_overlap_share")
+@query("sj10_overlap_share", sql(_OVERLAP, "lns", "vls"))
 def overlap(spark, d):
     return s.overlap_share(_pieces(spark, d), fx.value_lines(spark, d), 50.0).withColumn("share", F.round("share", 6))
 
@@ -200,7 +206,15 @@ def _side_samples(spark, d):
     return k.select("lid", "k", F.round(F.col("x0") + f * (F.col("x1") - F.col("x0")), 4).alias("px"), F.round(F.col("y0") + f * (F.col("y1") - F.col("y0")), 4).alias("py"), (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy"), reach.alias("reach"))
 
 
-@query("sj12_side_shares")
+_SIDES = f"""WITH k AS (SELECT unnest(range(11)) AS k), p AS (SELECT lid, k, round(x0 + (0.05 + k * 0.09) * (x1 - x0), 4) AS px, round(y0 + (0.05 + k * 0.09) * (y1 - y0), 4) AS py, x1 - x0 AS dx, y1 - y0 AS dy, least(greatest(coalesce(lanes * 12, 24) / 2 + 25, 30), 60) AS reach FROM lns, k),
+m AS (SELECT p.*, v.x0, v.y0, v.x1, v.y1, ((p.px - v.x0) * (v.x1 - v.x0) + (p.py - v.y0) * (v.y1 - v.y0)) / nullif((v.x1 - v.x0) * (v.x1 - v.x0) + (v.y1 - v.y0) * (v.y1 - v.y0), 0) AS t FROM p JOIN vls v ON abs(p.px - v.x0) <= 250 AND abs(p.py - v.y0) <= 250 WHERE {point_d2('p.px', 'p.py', 'v')} <= reach * reach),
+q AS (SELECT lid, k, dx * (y0 + least(greatest(coalesce(t, 0), 0), 1) * (y1 - y0) - py) - dy * (x0 + least(greatest(coalesce(t, 0), 0), 1) * (x1 - x0) - px) >= 0 AS is_left FROM m),
+s AS (SELECT lid, k, bool_or(is_left) AS l, bool_or(NOT is_left) AS r FROM q GROUP BY lid, k), n AS (SELECT lid, count(*) FILTER (l) AS l, count(*) FILTER (r) AS r FROM s GROUP BY lid),
+f AS (SELECT a.lid, round_even(coalesce(l, 0) / 11, 2) AS left_share, round_even(coalesce(r, 0) / 11, 2) AS right_share FROM lns a LEFT JOIN n USING (lid))
+SELECT *, CASE WHEN left_share >= 0.5 AND right_share >= 0.5 THEN 'both' WHEN left_share >= 0.5 OR right_share >= 0.5 THEN 'one_side' WHEN left_share + right_share = 0 THEN 'none' ELSE 'partial' END AS presence FROM f"""
+
+
+@query("sj12_side_shares", sql(_SIDES, "lns", "vls"))
 def sides(spark, d):
     got = s.side_shares(_side_samples(spark, d), fx.value_lines(spark, d), 60.0)
     return got.withColumn("presence", tags.side_class(F.col("left_share"), F.col("right_share")))
@@ -216,14 +230,16 @@ def land_use(spark, d):
     return conflate.land_use_profile(fx.lines(spark, d), hits).select("lid", "dominant", "pct_residential", "n_parcels")
 
 
-@query("agg14_equity_split", sql(f"""WITH z AS (SELECT p.pid, p.severe, min(z.income) AS income FROM pts p LEFT JOIN zns z ON {_HELD} GROUP BY p.pid, p.severe), m AS (SELECT median(income) AS med FROM z)
-SELECT count(*) FILTER (severe AND income < med) AS low_severe, count(*) FILTER (severe) AS severe, round(100 * count(*) FILTER (severe AND income < med) / count(*) FILTER (severe), 4) AS pct FROM z, m""", "pts", "zns"))
+@query("agg14_equity_split", sql(_COUNTS + """, i AS (SELECT l.lid, min(z.income) AS income FROM lns l LEFT JOIN zns z ON l.x0 >= z.xa AND l.x0 < z.xb AND l.y0 >= z.ya AND l.y0 < z.yb GROUP BY l.lid), k AS (SELECT g.n_severe, i.income FROM g JOIN i USING (lid) WHERE income IS NOT NULL), mid AS (SELECT median(income) AS med FROM k)
+SELECT CAST(med AS BIGINT) AS median_income, CAST(sum(n_severe) FILTER (income < med) AS BIGINT) AS low_severe, CAST(sum(n_severe) AS BIGINT) AS severe, round(100.0 * sum(n_severe) FILTER (income < med) / sum(n_severe), 4) AS pct FROM k, mid GROUP BY med""", "pts", "lns", "zns"))
 def equity(spark, d):
-    p = fx.points(spark, d)
-    tagged = p.select("pid", "severe").join(s.zone_of_point(p.select("pid", "px", "py"), _zone_edges(spark, d), 500.0), "pid").join(fx.zones(spark, d).select("zone_id", "income"), "zone_id", "left")
-    held = tagged.crossJoin(F.broadcast(tagged.agg(F.median("income").alias("med"))))
-    low, all_ = F.count_if(F.col("severe") & (F.col("income") < F.col("med"))), F.count_if("severe")
-    return held.agg(low.alias("low_severe"), all_.alias("severe"), F.round(100 * low / all_, 4).alias("pct"))
+    """Severe crashes on segments below the median income of segments, among those on segments with an income."""
+    starts = _pieces(spark, d).select(F.col("lid").alias("pid"), F.col("x0").alias("px"), F.col("y0").alias("py"))
+    income = s.zone_of_point(starts, _zone_edges(spark, d), 500.0).join(fx.zones(spark, d).select("zone_id", "income"), "zone_id").where("income is not null")
+    held = s.checkpoint(counted(spark, d).join(income.select(F.col("pid").alias("lid"), "income"), "lid").select("n_severe", "income"))
+    held = held.crossJoin(F.broadcast(c.exact_quantiles(held, "income", {"med": 0.5})))
+    low, every = F.sum(F.when(F.col("income") < F.col("med"), F.col("n_severe"))), F.sum("n_severe")
+    return held.agg(F.first("med").cast("long").alias("median_income"), low.alias("low_severe"), every.alias("severe"), F.round(100 * low / every, 4).alias("pct"))
 
 
 @query("map4_income_tier", sql(f"SELECT p.pid, CASE WHEN min(z.income) < 50000 THEN 0 WHEN min(z.income) < 100000 THEN 1 WHEN min(z.income) < 150000 THEN 2 WHEN min(z.income) >= 150000 THEN 3 END AS tier FROM pts p LEFT JOIN zns z ON {_HELD} GROUP BY p.pid", "pts", "zns"))

@@ -54,11 +54,25 @@ def near_box(a: str, b: str, reach: float) -> str:
     return " AND ".join(f"least({p}.{c}0, {p}.{c}1) - {reach} <= greatest({q}.{c}0, {q}.{c}1)" for c in "xy" for p, q in ((a, b), (b, a)))
 
 
-def sql(body: str, *tables: str) -> str:
+def degrees(table: str, x: str = "x", y: str = "y") -> str:
+    """The columns of ``table`` with ``lon, lat`` of an easting and northing, by the series of ``functions.projection``."""
+    from tarmac.functions import projection as p
+
+    out = f"SELECT *, {x} * {p.FOOT_M!r} - {p.FALSE_EAST_M!r} AS ee, {p._R0!r} - ({y} * {p.FOOT_M!r} - {p.FALSE_NORTH_M!r}) AS nn FROM {table}"
+    out = f"SELECT *, pow(sqrt(ee * ee + nn * nn) / {p.SEMI_MAJOR_M * p._K!r}, {1 / p._N!r}) AS tt FROM ({out})"
+    out = f"SELECT *, pi() / 2 - 2 * atan(tt) AS phi0 FROM ({out})"
+    for k in range(5):
+        s = f"{p._E!r} * sin(phi{k})"
+        out = f"SELECT *, pi() / 2 - 2 * atan(tt * pow((1 - {s}) / (1 + {s}), {p._E / 2!r})) AS phi{k + 1} FROM ({out})"
+    return f"SELECT *, degrees(atan2(ee, nn) / {p._N!r}) + {p.ORIGIN_LON!r} AS lon, degrees(phi5) AS lat FROM ({out})"
+
+
+def sql(body: str, *tables: str, recursive: bool = False) -> str:
     """A query over the named adapters; ``body`` may begin with further tables after WITH."""
     head = ", ".join(f"{t} AS (SELECT * FROM ({FX[t]}))" for t in tables)
     body = body.strip()
     more = body[5:] if body.upper().startswith("WITH ") else None
     if not head:
         return body
-    return f"WITH {head}, {more}" if more else f"WITH {head} {body}"
+    start = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{start} {head}, {more}" if more else f"{start} {head} {body}"
