@@ -69,11 +69,15 @@ def words(data: np.ndarray, offsets: np.ndarray, drop_marks: bool) -> tuple[np.n
                 high = min(high + stop, int(bound))
                 if high == bound:
                     break
-            h, d = words(data[low:high], np.clip(offsets, low, high) - low, drop_marks)
+            h, d = _block_words(data[low:high], np.clip(offsets, low, high) - low, drop_marks)
             hashes.append(h)
             docs.append(d)
             low = high
         return np.concatenate(hashes), np.concatenate(docs)
+    return _block_words(data, offsets, drop_marks)
+
+
+def _block_words(data: np.ndarray, offsets: np.ndarray, drop_marks: bool) -> tuple[np.ndarray, np.ndarray]:
     if drop_marks:
         held = ~MARK[data]
         offsets = np.concatenate([[0], np.cumsum(held)])[offsets]

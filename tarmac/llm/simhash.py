@@ -314,43 +314,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return held.select("src", "dst", shared.alias("n"), (F.size("a") + F.size("b")).alias("both")).where(F.col("n") >= share * (F.col("both") - F.col("n")) - 1e-9).select("src", "dst")
 
 
-def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float) -> DataFrame:
-    """``src, dst``: verified links between nodes that share a bucket (``rows``: view, value, node, and ``next``, the value
-    of another view).
+def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float, rounds: int = 2) -> DataFrame:
+    """``src, dst``: verified links between nodes that share a bucket (``rows``: view, value, node).
 
     Buckets of up to SIMILAR_PAIRS_UP_TO nodes are verified pair by pair. In a larger one all nodes are verified against
-    leaders, one at first, and against the first of those that also share the next view; those that are similar to no
-    leader go on to the next round with twice as many, until none is left.
-    So every node is a leader, or linked to one, and no two leaders that are similar stay unlinked; rounds grow with the
-    logarithm of the groups in a bucket, and a group of k copies costs k pairs. Two groups of a large bucket that are
-    similar in non-leaders alone may stay apart, unless another partition, with other members, joins them. ``sets`` gives the shingle arrays of nodes.
+    its leader, the node whose buckets are the most crowded (of copies of one text, mostly the text itself). Nodes that are
+    not similar to the leader go on to the next round: two of them that are similar share a shingle that the leader lacks
+    (see ``_beyond_leader``), so they meet again in buckets by such shingles. A group of k copies thus costs k pairs, not k
+    squared. Links that only a further round would show, between texts that differ from the leaders of all their large
+    buckets, are not looked for, so that of such a group more than one text may stay. ``sets`` gives the shingle arrays.
     """
-    links, n_leaders = None, 1
     sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n")).where("n > 1")
-    held = cut_lineage(rows.join(sizes, ["view", "value"]))
-    # Every round asks for sets of the nodes that share a bucket, so these are kept.
-    arrays = cut_lineage(sets(held.select("node").distinct()))
-    small = held.where(F.col("n") <= SIMILAR_PAIRS_UP_TO)
-    a, b = (small.select("view", "value", F.col("node").alias(x)) for x in ("src", "dst"))
-    pairs = a.join(b, ["view", "value"]).where("src < dst").select("src", "dst")
-    large = held.where(F.col("n") > SIMILAR_PAIRS_UP_TO)
-    closer = large.join(large.groupBy("view", "value", "next").agg(F.min_by("node", F.xxhash64("node")).alias("first")), ["view", "value", "next"]).where("node <> first")
-    pairs = pairs.unionByName(closer.select(F.least("node", "first").alias("src"), F.greatest("node", "first").alias("dst")))
-    left = large.select("view", "value", "node")
-    while True:
-        dealt = left.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(n_leaders)), F.lit(n_leaders)))
-        # The same order in all views, so that a group mostly has one leader.
-        leaders = dealt.groupBy("view", "value", "salt").agg(F.min_by("node", F.xxhash64("node")).alias("src")).select("view", "value", "src")
-        led = cut_lineage(left.join(leaders, ["view", "value"]).where("node <> src").select("view", "value", "src", F.col("node").alias("dst")))
-        way = led.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    held = cut_lineage(rows.join(sizes, ["view", "value"]).withColumn("open", F.lit(True)))
+    arrays = cut_lineage(sets(held.select("node").distinct()))  # nodes of later rounds are among these
+    links = None
+    for k in range(rounds):
+        small, large = held.where(F.col("n") <= SIMILAR_PAIRS_UP_TO), held.where(F.col("n") > SIMILAR_PAIRS_UP_TO)
+        a, b = (small.select("view", "value", F.col("node").alias(x), F.col("open").alias(f"open_{x}")) for x in ("src", "dst"))
+        pairs = a.join(b, ["view", "value"]).where("src < dst and (open_src or open_dst)").select("src", "dst")
+        crowd = large.groupBy("node").agg(F.sum("n").alias("crowd"))
+        best = F.max_by("node", F.struct("crowd", F.xxhash64("node")))
+        leaders = large.join(crowd, "node").groupBy("view", "value").agg(best.alias("leader"))
+        led = cut_lineage(large.join(leaders, ["view", "value"]).where("node <> leader").groupBy("leader", "node").agg(F.max("open").alias("open")))
+        way = led.where("open").select(F.least("leader", "node").alias("src"), F.greatest("leader", "node").alias("dst"))
         found = cut_lineage(_verified(pairs.unionByName(way).distinct(), arrays, share))
         links = found if links is None else links.unionByName(found)
-        met = led.join(found.select(F.col("src").alias("x"), F.col("dst").alias("y")), (F.least("src", "dst") == F.col("x")) & (F.greatest("src", "dst") == F.col("y")))
-        done = met.select("view", "value", F.col("dst").alias("node")).unionByName(leaders.withColumnRenamed("src", "node")).distinct()
-        left = cut_lineage(left.join(done, ["view", "value", "node"], "left_anti"))
-        pairs, n_leaders = pairs.where("false"), 2 * n_leaders
-        if left.isEmpty():
+        met = found.select("src", "dst").unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("leader"), F.col("dst").alias("node"), F.lit(True).alias("met"))
+        if k == rounds - 1:
             return links
+        led = led.join(met, ["leader", "node"], "left").withColumn("open", F.col("open") & F.col("met").isNull()).drop("met")
+        keys = cut_lineage(_beyond_leader(led, arrays, share))
+        sizes = keys.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").drop("any")
+        held = cut_lineage(keys.join(sizes, ["view", "value"]))
+    return links
+
+
+def _beyond_leader(led: DataFrame, arrays: DataFrame, share: float) -> DataFrame:
+    """``view, value, node, open``: buckets of nodes (leader, node, open) of one leader by shingles that it lacks.
+
+    If a and b are similar and b is the larger, they share 2 s / (1 + s) of the shingles of a. If a has fewer in common with
+    the leader, one of those shared is not among the leader's. As they share at least s times the size of either, it is
+    found among the first that each has beyond the leader, in one order for all, when as many are looked at as could be
+    missed and one more. Only if a longer leader holds the smaller of the two nearly whole may the two miss each other here.
+    """
+    own, head = arrays.select("node", "shingles"), arrays.select(F.col("node").alias("leader"), F.col("shingles").alias("held"))
+    met = led.join(own, "node").join(head, "leader").select("leader", "node", "open", F.size("shingles").alias("n"), F.array_sort(F.array_except("shingles", "held")).alias("beyond"))
+    common = F.col("n") - F.size("beyond")
+    least = F.greatest(F.ceil(share * F.col("n") - 1e-9) - common, F.lit(1))
+    first = F.slice("beyond", F.lit(1), F.greatest(F.size("beyond") - least.cast("int") + 1, F.lit(0)))
+    keys = met.select("leader", "node", "open", F.explode(first).alias("key"))
+    return keys.select(F.lit(0).alias("view"), F.xxhash64("leader", "key").alias("value"), "node", "open")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -372,7 +385,7 @@ def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, keys:
         held = marked.select("doc_id", "text", "__text").join(texts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("__text") == F.col("row"))).select("node", "text")
         return _shingle_arrays(held, width)
 
-    rows = nodes.select("node", "views", F.posexplode("views").alias("view", "value")).withColumn("next", F.get("views", F.pmod(F.col("view") + 1, F.lit(VIEWS)))).drop("views")
+    rows = nodes.select("node", F.posexplode("views").alias("view", "value"))
     found = connected_components(link_similar(rows, sets, share)).select("node", "component")
     joined = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
