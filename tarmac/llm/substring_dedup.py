@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import cut_lineage, raw_bytes, steps, text_column
+from tarmac.llm.common import STEP_BYTES, cut_lineage, raw_bytes, steps, text_column
 from tarmac.llm.shingles import prefix_hash, slice_hash
 from tarmac.llm.suffix_sort import common_prefixes, suffix_order
 
@@ -92,6 +92,26 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return start, stop, slice_hash(prefix, anchor, anchor + ANCHOR), slice_hash(prefix, start, stop), left, right
 
 
+def _in_blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """``segments`` of few texts at once, or of a long one in blocks: (where a block starts, its segments).
+
+    Segments depend on the bytes about them alone. The last of a block may go on, so the next block starts with it.
+    """
+    if len(data) <= 2 * STEP_BYTES:
+        yield 0, segments(data, offsets, length)
+        return
+    for k in range(len(offsets) - 1):
+        low, end = int(offsets[k]), int(offsets[k + 1])
+        while True:
+            part = data[low : min(low + STEP_BYTES, end)]
+            found = segments(part, np.array([0, len(part)]), length)
+            if low + len(part) == end or len(found[0]) < 2:
+                yield low, found
+                break
+            yield low, tuple(x[:-1] for x in found)
+            low += int(found[0][-1])
+
+
 def _digests(length: int, buckets: int):
     """Segments of each batch, dealt to buckets by anchor: a row of packed columns for each bucket."""
 
@@ -100,40 +120,41 @@ def _digests(length: int, buckets: int):
         size = 0
 
         def dealt() -> pa.RecordBatch:
-            doc, start, stop, anchor, whole, left, right = (np.concatenate(x) for x in zip(*held))
+            doc, variant, start, stop, anchor, whole, left, right = (np.concatenate(x) for x in zip(*held))
             bucket = (anchor >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else np.empty(0, np.int64)
             rows = []
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
                 own = order[a:b]
-                rows.append((int(bucket[own[0]]), _pack(doc[own]), _low(start[own], 4), _low(stop[own] - start[own], 1), _low(anchor[own], 5), _low(whole[own], 6), _low(left[own], 2), _low(right[own], 2)))
+                rows.append((int(bucket[own[0]]), _pack(doc[own]), _pack(variant[own]), _low(start[own], 4), _low(stop[own] - start[own], 1), _low(anchor[own], 5), _low(whole[own], 6), _low(left[own], 2), _low(right[own], 2)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.binary()) for k in range(8)], _DIGEST.names)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.binary()) for k in range(9)], _DIGEST.names)
 
         for whole in batches:
-            texts, ids = text_column(whole), pc.fill_null(whole.column("doc_id").cast(pa.int64()), _NONE).to_numpy()
+            texts = text_column(whole)
+            ids, variants = (whole.column(x).to_numpy(zero_copy_only=False) for x in ("number", "variant"))
             for a, b in steps(np.asarray(pc.binary_length(texts), np.int64)):
                 data, offsets = raw_bytes(texts.slice(a, b - a))
-                start, stop, *hashes = segments(data, offsets, length)
-                doc = np.searchsorted(offsets, start, side="right") - 1
-                held.append((ids[a + doc], start - offsets[doc], stop - offsets[doc], *hashes))
-                size += len(data)
-                if size >= BUCKET_BYTES:
-                    yield dealt()
-                    size = 0
+                for low, (start, stop, *hashes) in _in_blocks(data, offsets, length):
+                    doc = np.searchsorted(offsets, low + start, side="right") - 1
+                    held.append((ids[a + doc], variants[a + doc], low + start - offsets[doc], low + stop - offsets[doc], *hashes))
+                    size += min(len(data), STEP_BYTES)
+                    if size >= BUCKET_BYTES:
+                        yield dealt()
+                        size = 0
         if held:
             yield dealt()
 
     return run
 
 
-_DIGEST = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "start", "size", "anchor", "whole", "left", "right"))])
-_REPLY = T.StructType([T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "start", "size", "where"))])
+_DIGEST = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "variant", "start", "size", "anchor", "whole", "left", "right"))])
+_REPLY = T.StructType([T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "variant", "start", "size", "where"))])
 
 
-def _parts(doc: np.ndarray, parts: int) -> np.ndarray:
-    number = doc.astype(np.int64).view(np.uint64)
+def _parts(doc: np.ndarray, variant: np.ndarray, parts: int) -> np.ndarray:
+    number = (doc.astype(np.int64) ^ variant.astype(np.int64)).view(np.uint64)
     return (number ^ (number >> np.uint64(13)) ^ (number >> np.uint64(29))).view(np.int64) % parts
 
 
@@ -141,18 +162,18 @@ def _column(table: pa.Table, name: str) -> bytes:
     return b"".join(table.column(name).to_pylist())
 
 
-def _ids(table: pa.Table) -> np.ndarray:
-    return np.concatenate([_unpack(x) for x in table.column("doc").to_pylist()] or [np.empty(0, np.int64)])
+def _ids(table: pa.Table, name: str = "doc") -> np.ndarray:
+    return np.concatenate([_unpack(x) for x in table.column(name).to_pylist()] or [np.empty(0, np.int64)])
 
 
-def _replies(kind: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, where: np.ndarray, parts: int) -> list[tuple]:
-    part = _parts(doc, parts)
+def _replies(kind: np.ndarray, doc: np.ndarray, variant: np.ndarray, start: np.ndarray, size: np.ndarray, where: np.ndarray, parts: int) -> list[tuple]:
+    part = _parts(doc, variant, parts)
     order = np.lexsort((kind, part))
     cuts = np.flatnonzero(np.concatenate([[True], (np.diff(part[order]) != 0) | (np.diff(kind[order]) != 0)])) if len(order) else np.empty(0, np.int64)
     rows = []
     for a, b in zip(cuts, [*cuts[1:], len(order)]):
         own = order[a:b]
-        rows.append((int(part[own[0]]), int(kind[own[0]]), _pack(doc[own]), _low(start[own], 4), _low(size[own], 4), _low(where[own], 4)))
+        rows.append((int(part[own[0]]), int(kind[own[0]]), _pack(doc[own]), _pack(variant[own]), _low(start[own], 4), _low(size[own], 4), _low(where[own], 4)))
     return rows
 
 
@@ -174,10 +195,10 @@ def _settle(parts: int, arrays: int, most: int):
     """Of a bucket's segments, which are covered as a whole and which are contested."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, start, size = _ids(table), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
+        doc, variant, start, size = _ids(table), _ids(table, "variant"), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
         anchor, whole, left, right = (_high(_column(table, x), w) for x, w in (("anchor", 5), ("whole", 6), ("left", 2), ("right", 2)))
         order = np.lexsort((doc, whole, anchor))
-        doc, start, size, anchor, whole, left, right = (x[order] for x in (doc, start, size, anchor, whole, left, right))
+        doc, variant, start, size, anchor, whole, left, right = (x[order] for x in (doc, variant, start, size, anchor, whole, left, right))
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
@@ -194,12 +215,12 @@ def _settle(parts: int, arrays: int, most: int):
         kind = np.where(covered, _COVERED, np.where(hot[group], _CONTESTED_HOT, _CONTESTED))
         held = np.flatnonzero(covered | contested[group])
         where = (anchor % np.uint64(arrays)).astype(np.int64)
-        return _table(_replies(kind[held], doc[held], start[held], size[held], where[held], parts), _REPLY)
+        return _table(_replies(kind[held], doc[held], variant[held], start[held], size[held], where[held], parts), _REPLY)
 
     return run
 
 
-_STRINGS = T.StructType([T.StructField("array", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "start", "size", "settled", "data"))])
+_STRINGS = T.StructType([T.StructField("array", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "variant", "start", "size", "settled", "data"))])
 
 
 def _stretches(places: list[int]) -> Iterator[tuple[int, int]]:
@@ -223,13 +244,13 @@ def _fetch(length: int, arrays: int):
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows or not texts.num_rows:
             return _table([], _STRINGS)
-        held = dict(zip(pc.fill_null(texts.column("doc_id").cast(pa.int64()), _NONE).to_pylist(), texts.column("text").cast(pa.large_binary()).to_pylist()))
-        doc, start, size = _ids(asked), _high(_column(asked, "start"), 4).astype(np.int64), _high(_column(asked, "size"), 4).astype(np.int64)
+        held = _texts(texts)
+        doc, variant, start, size = _ids(asked), _ids(asked, "variant"), _high(_column(asked, "start"), 4).astype(np.int64), _high(_column(asked, "size"), 4).astype(np.int64)
         where = _high(_column(asked, "where"), 4).astype(np.int64)
         kind = np.repeat(asked.column("kind").to_numpy(), [len(x) // 8 for x in asked.column("doc").to_pylist()])
-        sent: dict[int, list[tuple[int, int, int, bytes]]] = {}
-        singles: dict[bytes, list[tuple[int, int]]] = {}
-        for d, s, z, w, k in zip(doc.tolist(), start.tolist(), size.tolist(), where.tolist(), kind.tolist()):
+        sent: dict[int, list[tuple[tuple[int, int], int, int, bytes]]] = {}
+        singles: dict[bytes, list[tuple[tuple[int, int], int]]] = {}
+        for d, s, z, w, k in zip(zip(doc.tolist(), variant.tolist()), start.tolist(), size.tolist(), where.tolist(), kind.tolist()):
             text = held.get(d, b"")
             if len(text) < s + z:
                 continue
@@ -238,26 +259,27 @@ def _fetch(length: int, arrays: int):
             else:
                 for i in range(s, s + z - length + 1):
                     singles.setdefault(text[i : i + length], []).append((d, i))
-        gone: dict[int, list[int]] = {}
+        gone: dict[tuple[int, int], list[int]] = {}
         if singles:
             at = np.arange(len(singles)) * length
             digests = slice_hash(prefix_hash(np.frombuffer(b"".join(singles), np.uint8)), at, at + length)
             packed = digests.astype("<u8").tobytes()
             for k, (places, w) in enumerate(zip(singles.values(), (digests % np.uint64(arrays)).tolist())):
-                least = min(places)[0]
+                least = min(places)[0][0]
                 for d, i in places:
-                    if d == least:
+                    if d[0] == least:
                         sent.setdefault(w, []).append((d, i, _DIGEST_ONLY, packed[8 * k : 8 * k + 8]))
                     else:
                         gone.setdefault(d, []).append(i)
         for d, places in gone.items():
             for i, n in _stretches(sorted(places)):
-                sent.setdefault(d % arrays, []).append((d, i, _SETTLED, n + length - 1))
+                sent.setdefault((d[0] ^ d[1]) % arrays, []).append((d, i, _SETTLED, n + length - 1))
         rows = []
         for w, own in sent.items():
             d, s, done, data = zip(*own)
             sizes = [x if k == _SETTLED else length if k == _DIGEST_ONLY else len(x) for x, k in zip(data, done)]
-            rows.append((w, _pack(np.array(d)), _low(np.array(s), 4), _low(np.array(sizes), 1), bytes(done), b"".join(x for x, k in zip(data, done) if k != _SETTLED)))
+            of, row = np.array(d, np.int64).T
+            rows.append((w, _pack(of), _pack(row), _low(np.array(s), 4), _low(np.array(sizes), 1), bytes(done), b"".join(x for x, k in zip(data, done) if k != _SETTLED)))
         return _table(rows, _STRINGS)
 
     return run
@@ -267,7 +289,7 @@ def _compare(length: int, parts: int):
     """By the suffix array of all strings sent, the places whose string stands in a smaller doc_id."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, start, size = _ids(table), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
+        doc, variant, start, size = _ids(table), _ids(table, "variant"), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
         sent = np.frombuffer(_column(table, "settled"), np.uint8)
         data = np.frombuffer(_column(table, "data"), np.uint8)
         owner = np.repeat(sent, np.choose(sent, [size, 0, 8]))
@@ -294,53 +316,80 @@ def _compare(length: int, parts: int):
         least = np.full(len(digest), np.iinfo(np.int64).max)
         np.minimum.at(least, same, doc[single])
         also = single[least[same] < doc[single]]
-        place, of = np.concatenate([start[of] + at - begin[segment[gone]], start[also]]), doc[np.concatenate([of, also])]
+        place, of = np.concatenate([start[of] + at - begin[segment[gone]], start[also]]), np.concatenate([of, also])
+        row, of = variant[of], doc[of]
         # Neighbouring places of a document are one stretch.
-        order = np.lexsort((place, of))
-        place, of = place[order], of[order]
-        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (place[1:] > place[:-1] + 1)])) if len(of) else np.empty(0, np.int64)
+        order = np.lexsort((place, row, of))
+        place, row, of = place[order], row[order], of[order]
+        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (row[1:] != row[:-1]) | (place[1:] > place[:-1] + 1)])) if len(of) else np.empty(0, np.int64)
         last = np.append(new[1:], len(of)) - 1 if len(of) else new
-        d, s = np.concatenate([of[new], doc[settled]]), np.concatenate([place[new], start[settled]])
+        d, v, s = np.concatenate([of[new], doc[settled]]), np.concatenate([row[new], variant[settled]]), np.concatenate([place[new], start[settled]])
         z = np.concatenate([place[last] - place[new] + length, size[settled]])
         none = np.zeros(len(d), np.int64)
-        return _table(_replies(none, d, s, z, none, parts), _REPLY)
+        return _table(_replies(none, d, v, s, z, none, parts), _REPLY)
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, length: int = 50, hot: int = HOT) -> tuple[DataFrame, int]:
-    """Stretches of bytes to remove, packed by group of documents, and the number of groups.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``number``, whose order is that of doc_id (null: the smallest), and ``variant``, which tells apart the
+    texts of rows that share a doc_id (a hash of the text; 0 in tables where no id has two texts).
 
-    See ``remove_repeats`` for what goes.
+    An integer is its own number. Other ids are ranked: distinct ones in range partitions, the partitions' sizes added up.
     """
     spark = docs.sparkSession
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row")).groupBy("doc_id").agg((F.min("row") != F.max("row")).alias("several"))
+    shared = not texts.where("several").isEmpty()
+    out = docs.select("doc_id", "text").withColumn("variant", F.xxhash64("text") if shared else F.lit(0).cast("long"))
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return out.withColumn("number", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = cut_lineage(docs.where("doc_id is not null").select("doc_id").distinct().repartitionByRange(parts, "doc_id").withColumn("block", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("block").orderBy("doc_id"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ids.groupBy("block").agg(F.count("*").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    ranks = ids.withColumn("inside", inside).join(F.broadcast(starts), "block").select("doc_id", (F.col("inside") + F.col("earlier")).alias("number"))  # a row a partition
+    return out.join(ranks, "doc_id", "left").withColumn("number", F.coalesce("number", F.lit(_NONE)))
+
+
+def duplicate_spans(numbered: DataFrame, length: int = 50, hot: int = HOT) -> tuple[DataFrame, int]:
+    """Stretches of bytes to remove, packed by group of documents, and the number of groups.
+
+    ``numbered``: see ``_numbered``; see ``remove_repeats`` for what goes.
+    """
+    spark = numbered.sparkSession
+    volume = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(shuffle, int(volume / BUCKET_BYTES)) | 1  # odd, so that ids in even steps are spread too
     arrays = max(shuffle, int(volume / (8 * BUCKET_BYTES)) + 1)
-    digests = docs.select("doc_id", "text").mapInArrow(_digests(length, parts), _DIGEST)
+    digests = numbered.select("number", "variant", "text").mapInArrow(_digests(length, parts), _DIGEST)
     replies = cut_lineage(digests.groupBy("bucket").applyInArrow(_settle(parts, arrays, hot), _REPLY))
     asked = replies.where(F.col("kind") != _COVERED)
-    strings = _with_texts(docs, parts).cogroup(asked.groupBy("part")).applyInArrow(_fetch(length, arrays), _STRINGS)
+    strings = _with_texts(numbered, parts).cogroup(asked.groupBy("part")).applyInArrow(_fetch(length, arrays), _STRINGS)
     found = strings.groupBy("array").applyInArrow(_compare(length, parts), _REPLY)
-    return replies.where(F.col("kind") == _COVERED).unionByName(found).select("part", "doc", "start", "size"), parts
+    return replies.where(F.col("kind") == _COVERED).unionByName(found).select("part", "doc", "variant", "start", "size"), parts
 
 
-def _with_texts(docs: DataFrame, parts: int):
+def _with_texts(numbered: DataFrame, parts: int):
     """Documents in groups by the number that ``_parts`` gives."""
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
+    number = F.col("number").bitwiseXOR(F.col("variant"))
     spread = number.bitwiseXOR(F.shiftrightunsigned(number, 13)).bitwiseXOR(F.shiftrightunsigned(number, 29))
-    return docs.select(F.pmod(spread, F.lit(parts)).alias("part"), "doc_id", "text").groupBy("part")
+    return numbered.select(F.pmod(spread, F.lit(parts)).alias("part"), "number", "variant", "doc_id", "text").groupBy("part")
+
+
+def _texts(texts: pa.Table) -> dict[tuple[int, int], bytes]:
+    """The bytes of each text by its number and variant."""
+    return dict(zip(zip(texts.column("number").to_pylist(), texts.column("variant").to_pylist()), texts.column("text").cast(pa.large_binary()).to_pylist()))
 
 
 def _cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
-    gone: dict[int, list[tuple[int, int]]] = {}
+    gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
     if spans.num_rows:
         start, size = _high(_column(spans, "start"), 4).tolist(), _high(_column(spans, "size"), 4).tolist()
-        for d, a, z in zip(_ids(spans).tolist(), start, size):
-            gone.setdefault(d, []).append((a, a + z))
+        for d, v, a, z in zip(_ids(spans).tolist(), _ids(spans, "variant").tolist(), start, size):
+            gone.setdefault((d, v), []).append((a, a + z))
     kept, counts = [], []
-    keys = pc.fill_null(texts.column("doc_id").cast(pa.int64()), _NONE).to_pylist()
+    keys = zip(texts.column("number").to_pylist(), texts.column("variant").to_pylist())
     for key, text in zip(keys, texts.column("text").cast(pa.large_binary()).to_pylist()):
         text = text or b""
         parts, at, removed, runs = [], 0, 0, 0
@@ -365,12 +414,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
     in a document with a smaller doc_id, judged on the input. ``n_spans`` counts the maximal removed runs. Matches never
     cross documents; a string that repeats inside one document alone stays.
 
-    A null or empty text has no bytes. doc_id is an integer; a null one counts as the smallest. Repeated rows are one
-    document and come out alike (rows that share an id are taken to share the text). An empty table gives no rows; columns
-    other than doc_id and text are left out.
+    A null or empty text has no bytes. doc_id may be of any type that can be ordered; a null one counts as the smallest.
+    Repeated rows come out alike. Rows that share an id are one document with several texts: they take nothing from each
+    other, and each loses what stands in documents of smaller ids. An empty table gives no rows; columns other than doc_id
+    and text are left out.
     """
     if not 2 * ANCHOR + 4 <= length <= 127:
         raise ValueError("length must be 36 to 127")
-    spans, parts = duplicate_spans(docs, length, hot)
+    numbered = _numbered(docs)
+    spans, parts = duplicate_spans(numbered, length, hot)
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return _with_texts(docs, parts).cogroup(spans.groupBy("part")).applyInArrow(_cut, schema)
+    return _with_texts(numbered, parts).cogroup(spans.groupBy("part")).applyInArrow(_cut, schema)

@@ -567,6 +567,42 @@ def test_substring_dedup(docs):
             assert (r.n_bytes, r.n_removed, r.n_spans) == (len(text), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]))
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_substring_dedup_of_shared_and_text_ids(spark, kind):
+    """Rows that share an id, ids that are texts, a null id on several texts; a text is judged whatever row it is."""
+    passage = "".join(f"word {i} of a passage of some length; " for i in range(4))
+    rows = [(1, passage), (5, "0123456789" + passage + "tail"), (5, "another text of number five"), (5, passage * 2), (7, None), (7, ""), (9, "x" + passage), (None, passage[3:90]), (None, "z" * 80), (12, "z" * 70), (12, passage[:60] + "z" * 55)]
+    if kind == "string":
+        rows = [(None if i is None else f"id-{i:03d}", t) for i, t in rows]
+    df = spark.createDataFrame([*rows, rows[0]], f"doc_id {kind}, text string").repartition(4)
+    order = lambda d: (d is not None, d or 0)
+    first = {}
+    for d, t in sorted(rows, key=lambda r: order(r[0])):
+        for i in range(len(t or "") - 49):
+            first.setdefault(t[i : i + 50], d)
+    want = []
+    for d, t in [*rows, rows[0]]:
+        gone = bytearray(len(t or ""))
+        for i in range(len(t or "") - 49):
+            if order(first[t[i : i + 50]]) < order(d):
+                gone[i : i + 50] = b"\1" * 50
+        want.append((d, len(t or ""), sum(gone), "".join(c for c, g in zip(t or "", gone) if not g)))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in substring_dedup.remove_repeats(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_long_texts_are_cut_into_the_same_segments(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 102, n).astype(np.uint8) for n in (5000, 49, 0, 50, 3000)] + [np.full(900, 97, np.uint8)]
+    data, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    whole = substring_dedup.segments(data, offsets, 50)
+    monkeypatch.setattr(substring_dedup, "STEP_BYTES", 400)
+    found = list(substring_dedup._in_blocks(data, offsets, 50))
+    assert len(found) > 20
+    parts = [np.concatenate([low + x[k] if k < 2 else x[k] for low, x in found]) for k in range(6)]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 def test_suffix_order_and_prefixes():
     from tarmac.llm.suffix_sort import common_prefixes, suffix_order
 
