@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.operators.graph import checkpoint as cut_lineage
+from tarmac.operators.graph import shared_folder
+
+__all__ = ["STEP_BYTES", "cut_lineage", "raw_bytes", "read_documents", "same", "shared_folder", "steps", "text_column"]
+
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -19,23 +23,6 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) is a temporary one made.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column with null as the empty string."""
     return pc.fill_null(batch.column(name), "")

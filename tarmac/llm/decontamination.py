@@ -60,7 +60,7 @@ class _Index:
     owners: list[list[int]]
     exact: list[set[bytes]]
     need: list[int]
-    short: bool
+    short: dict[bytes, list[int]]  # items that are one shingle of fewer than n words, by it
     first: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -82,7 +82,12 @@ class _Index:
                 owners.setdefault(x, []).append(i)
         keys = sorted(owners)
         need = [sketch_length(len(x), share) - (len(x) - _few(len(x), share)) for x in exact]
-        return cls(np.array(keys, np.uint64), [owners[k] for k in keys], exact, need, any(s.count(b" ") < n - 1 for x in exact for s in x))
+        short: dict[bytes, list[int]] = {}
+        for i, own in enumerate(exact):
+            for shingle in own:
+                if shingle.count(b" ") < n - 1:
+                    short.setdefault(shingle, []).append(i)
+        return cls(np.array(keys, np.uint64), [owners[k] for k in keys], exact, need, short)
 
     def candidates(self, hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
         """Pairs (document, item) of which enough sketch hashes meet."""
@@ -141,7 +146,7 @@ def _search(spark, texts: list[str], share: float, n: int):
                 pairs = set(index.candidates(*shingle_hashes(word, doc, n)))
                 if index.short:
                     few = np.flatnonzero(np.bincount(doc, minlength=stop - start) < n).tolist()
-                    pairs |= {(d, i) for d in few for i, x in enumerate(index.exact) if len(x) == 1}
+                    pairs |= {(d, i) for d in few for x in shingle_set(texts[start + d].as_py(), n) for i in index.short.get(x, ())}
                 own: dict[int, set[bytes]] = {}
                 for d, i in sorted(pairs):
                     if d not in own:
