@@ -7,8 +7,10 @@ import numpy as np
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xBF58476D1CE4E5B9)
 _WORD = np.uint64(0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
-#: Bytes that are hashed at once; longer data is taken in blocks that end between words, so memory stays bounded.
-BLOCK_BYTES = 2 << 20
+#: Bytes of words that are hashed at once; longer data is taken in blocks that end between words, so memory stays bounded.
+BLOCK_BYTES = 1 << 19
+#: Powers that a worker keeps of a base, 10 MB.
+KEPT_POWERS = 5 << 18
 
 #: Bytes that end words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -22,13 +24,13 @@ MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; kept for later calls up to the length of a block."""
+    """base**0 ... base**(n-1) modulo 2**64; kept for later calls up to KEPT_POWERS."""
     held = _powers.get(base)
     if held is None or len(held) < n:
         held = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
         held[0] = 1
         held = np.cumprod(held, dtype=np.uint64)
-        if n <= 2 * BLOCK_BYTES:
+        if len(held) <= KEPT_POWERS:
             _powers[base] = held
     return held[:n]
 

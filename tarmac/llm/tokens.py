@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 
 from tarmac.llm.common import raw_bytes, steps, text_column
 
-#: Units in each of the two generations of a worker's cache, about 40 MB each.
-CACHE_UNITS = 200_000
+#: Units in each of the two generations of a worker's cache, about 25 MB each.
+CACHE_UNITS = 120_000
 #: Bytes of text whose units are told apart in one step; a longer text takes several.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: New units that the library takes at once.
 CALL_UNITS = 8192
 _SPACE, _LINE = "Ġ", "Ċ"  # the space and the line end in a byte-level vocabulary
