@@ -4,7 +4,8 @@ Every string of ``length`` bytes has an anchor: the run of ANCHOR bytes in it wh
 with the same anchor make one segment, so each text is a chain of short overlapping segments, and equal strings always
 lie in segments of the same anchor. Segments are met by anchor, in three steps:
 
-1. Digests of all segments go to buckets of anchors. An equal segment of a smaller doc_id covers a segment as a whole.
+1. Digests of segments go to buckets of anchors. An equal segment of a smaller doc_id covers a segment as a whole; where
+   both stand in one batch of texts that is known at once, so of a passage in many texts each batch sends few digests.
    Segments that agree with a different one of their anchor in enough context to share a string are contested; all
    others are settled.
 2. The bytes of contested segments, each distinct one once, are fetched from their texts.
@@ -121,15 +122,22 @@ def _digests(length: int, buckets: int):
 
         def dealt() -> pa.RecordBatch:
             doc, variant, start, stop, anchor, whole, left, right = (np.concatenate(x) for x in zip(*held))
-            bucket = (anchor >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else np.empty(0, np.int64)
+            order = np.lexsort((doc, whole, anchor))
+            doc, variant, start, stop, anchor, whole, left, right = (x[order] for x in (doc, variant, start, stop, anchor, whole, left, right))
+            new = np.ones(len(doc), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+            covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            bucket = np.where(covered, _parts(doc, variant, buckets), (anchor >> np.uint64(40)).astype(np.int64) % buckets)
+            order = np.lexsort((covered, bucket))
+            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(bucket[order]) != 0) | (np.diff(covered[order]) != 0)])) if len(order) else np.empty(0, np.int64)
             rows = []
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
                 own = order[a:b]
-                rows.append((int(bucket[own[0]]), _pack(doc[own]), _pack(variant[own]), _low(start[own], 4), _low(stop[own] - start[own], 1), _low(anchor[own], 5), _low(whole[own], 6), _low(left[own], 2), _low(right[own], 2)))
+                row = (int(bucket[own[0]]), bool(covered[own[0]]), _pack(doc[own]), _pack(variant[own]), _low(start[own], 4), _low(stop[own] - start[own], 1))
+                rows.append((*row, b"", b"", b"", b"") if row[1] else (*row, _low(anchor[own], 5), _low(whole[own], 6), _low(left[own], 2), _low(right[own], 2)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.binary()) for k in range(9)], _DIGEST.names)
+            kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 8]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], _DIGEST.names)
 
         for whole in batches:
             texts = text_column(whole)
@@ -149,7 +157,7 @@ def _digests(length: int, buckets: int):
     return run
 
 
-_DIGEST = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "variant", "start", "size", "anchor", "whole", "left", "right"))])
+_DIGEST = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("covered", T.BooleanType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "variant", "start", "size", "anchor", "whole", "left", "right"))])
 _REPLY = T.StructType([T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("doc", "variant", "start", "size", "where"))])
 
 
@@ -191,15 +199,26 @@ def _differ(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (least != most)[group]
 
 
+def _places(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Document, variant, start and size (of a byte each) of packed rows."""
+    return _ids(table), _ids(table, "variant"), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
+
+
 def _settle(parts: int, arrays: int, most: int):
     """Of a bucket's segments, which are covered as a whole and which are contested."""
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, variant, start, size = _ids(table), _ids(table, "variant"), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
+    def run(whole_table: pa.Table) -> pa.Table:
+        known = whole_table.filter(whole_table.column("covered"))
+        done = _places(known)
+        none = np.zeros(len(done[0]), np.int64)
+        replies = _replies(np.full(len(none), _COVERED), *done, none, parts)
+        table = whole_table.filter(pc.invert(whole_table.column("covered")))
+        doc, variant, start, size = _places(table)
         anchor, whole, left, right = (_high(_column(table, x), w) for x, w in (("anchor", 5), ("whole", 6), ("left", 2), ("right", 2)))
         order = np.lexsort((doc, whole, anchor))
         doc, variant, start, size, anchor, whole, left, right = (x[order] for x in (doc, variant, start, size, anchor, whole, left, right))
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
+        new = np.ones(len(doc), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         covered = doc > doc[first][group]
@@ -215,7 +234,7 @@ def _settle(parts: int, arrays: int, most: int):
         kind = np.where(covered, _COVERED, np.where(hot[group], _CONTESTED_HOT, _CONTESTED))
         held = np.flatnonzero(covered | contested[group])
         where = (anchor % np.uint64(arrays)).astype(np.int64)
-        return _table(_replies(kind[held], doc[held], variant[held], start[held], size[held], where[held], parts), _REPLY)
+        return _table(replies + _replies(kind[held], doc[held], variant[held], start[held], size[held], where[held], parts), _REPLY)
 
     return run
 
@@ -289,7 +308,7 @@ def _compare(length: int, parts: int):
     """By the suffix array of all strings sent, the places whose string stands in a smaller doc_id."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, variant, start, size = _ids(table), _ids(table, "variant"), _high(_column(table, "start"), 4).astype(np.int64), _high(_column(table, "size"), 1).astype(np.int64)
+        doc, variant, start, size = _places(table)
         sent = np.frombuffer(_column(table, "settled"), np.uint8)
         data = np.frombuffer(_column(table, "data"), np.uint8)
         owner = np.repeat(sent, np.choose(sent, [size, 0, 8]))
