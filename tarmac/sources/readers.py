@@ -48,7 +48,11 @@ _FEATURE = T.StructType([T.StructField("properties", T.MapType(T.StringType(), T
 
 def geojson_features(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
     """Features of GeoJSON documents: the properties as text, ``type``, and ``coordinates`` as JSON text."""
-    documents = spark.read.text(path, wholetext=True)
+    return features_of(spark.read.text(path, wholetext=True), properties)
+
+
+def features_of(documents: DataFrame, properties: Sequence[str]) -> DataFrame:
+    """The same of documents that are rows (``value``)."""
     parsed = documents.select(F.from_json("value", T.StructType([T.StructField("features", T.ArrayType(_FEATURE))])).alias("d"))
     flat = parsed.select(F.explode("d.features").alias("f"))
     return flat.select(*(F.try_element_at("f.properties", F.lit(p)).alias(p) for p in properties), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))
