@@ -172,11 +172,16 @@ def absorb_short(segments: DataFrame, below: float = 100.0, passes: int = 5) ->
     """Named pieces shorter than ``below`` go into the longest line of their street that shares an end and is at least as
     long: (segments that stay, pointers ``seg_id, absorbed_into``).
 
-    ``segments``: seg_id, name, u, v, length_ft (other columns stay with their row). Streets are independent, so each
-    name is worked through by itself: in up to ``passes`` passes, shortest first, ties by seg_id, always with the lengths
-    as they are then. Unnamed rows never enter a group. Only the five columns go through the Python job.
+    ``segments``: seg_id, name, u, v, length_ft (other columns stay with their row). Absorption never leaves the pieces of
+    a name that hang together, so each such group is worked through by itself, however common its name is elsewhere: in up
+    to ``passes`` passes, shortest first, ties by seg_id, always with the lengths as they are then. Unnamed rows never
+    enter a group. Only the columns that matter go through the Python job.
     """
     named = segments.where("name is not null").select("seg_id", "name", "u", "v", "length_ft")
+    ends = named.select("name", "seg_id", F.explode(F.array("u", "v")).alias("end"))
+    hung = ends.join(ends.groupBy("name", "end").agg(F.min("seg_id").alias("first")), ["name", "end"]).where("seg_id <> first")
+    groups = connected_components(hung, "first", "seg_id")
+    named = named.join(groups, named.seg_id == groups.node, "left").withColumn("component", F.coalesce("component", "seg_id")).drop("node", "name")
 
     def street(rows: pd.DataFrame) -> pd.DataFrame:
         live = {r.seg_id: [r.u, r.v, r.length_ft] for r in rows.sort_values("seg_id").itertuples()}
@@ -217,7 +222,7 @@ def absorb_short(segments: DataFrame, below: float = 100.0, passes: int = 5) ->
 
     kind = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     schema = f"seg_id {kind['seg_id']}, u {kind['u']}, v {kind['v']}, length_ft double, absorbed_into {kind['seg_id']}"
-    done = checkpoint(named.groupBy("name").applyInPandas(street, schema))
+    done = checkpoint(named.groupBy("component").applyInPandas(street, schema))
     stay = done.where("absorbed_into is null").drop("absorbed_into")
     rest = segments.where("name is null")
     updated = segments.drop("u", "v", "length_ft").join(stay, "seg_id").select(segments.columns)
