@@ -132,7 +132,7 @@ class Encoder:
             found[k] = x
         return found
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, step: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose UTF-8 bytes lie end to end at ``offsets`` (n+1), and the n+1 offsets of each text's ids."""
         special = any(x in data.tobytes() for x in self.special)  # such a token is not to be cut
         mark = np.zeros(len(data) + 1, bool)
@@ -146,7 +146,7 @@ class Encoder:
         if special:
             alone[:] = False
         made, sizes = [], []
-        for a, b in steps(np.diff(bounds), STEP_BYTES):
+        for a, b in steps(np.diff(bounds), step or STEP_BYTES):
             own = bounds[a : b + 1]
             places = (own - own[0]).astype(np.int32)
             units = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[own[0] : own[-1]]))]).dictionary_encode()
@@ -168,17 +168,17 @@ class Encoder:
         return ids, ends[np.searchsorted(bounds, offsets)] if sizes else np.zeros(len(offsets), np.int64)
 
 
-def encoded_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None, step: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches of documents (column ``text``), their ids (unsigned 32-bit) end to end and the n+1 offsets of these.
 
-    ``end_id``, where given, stands after the ids of each document.
+    ``end_id``, where given, stands after the ids of each document. ``step``: bytes of text taken at once (STEP_BYTES).
     """
     encoder = Encoder.of(vocabulary)
     for whole in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0), np.int64)
-        for start, stop in steps(sizes, STEP_BYTES):
+        for start, stop in steps(sizes, step or STEP_BYTES):
             batch = whole.slice(start, stop - start)
-            ids, ends = encoder.encode(*raw_bytes(text_column(batch)))
+            ids, ends = encoder.encode(*raw_bytes(text_column(batch)), step)
             if end_id is None:
                 yield batch, ids.astype("<u4"), ends
                 continue

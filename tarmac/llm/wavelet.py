@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.llm.common import shared_folder
-from tarmac.llm.tokens import default_vocabulary, encoded_batches, id_column
+from tarmac.llm.tokens import STEP_BYTES, default_vocabulary, encoded_batches, id_column
 
 MAGIC = b"TWM2"
 #: Ids in a shard at most, unless a single document has more.
@@ -55,8 +55,8 @@ def build(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         for bits, sums, own in zip(plane, inside, count):
             parts.append(pa.compress((sums - own).astype("<u4").tobytes() + bits.tobytes(), "zstd", asbytes=True))
         zeros = n - int(before[-1][-1])
-        parted[zeros:] = left[bit]
-        np.compress(~bit, left, out=parted[:zeros])
+        np.take(left, np.flatnonzero(bit), out=parted[zeros:])
+        np.take(left, np.flatnonzero(~bit), out=parted[:zeros])
         left, parted = parted, left
     sizes = np.array([len(x) for x in parts], "<u8")
     return _HEAD.pack(MAGIC, width, n, len(lengths), len(parts)) + sizes.tobytes() + b"".join(x.tobytes() for x in before) + b"".join(parts)
@@ -103,8 +103,8 @@ class WaveletMatrix:
             parts = [np.frombuffer(self._part(1 + level * self.chunks + c, _DIRECTORY + _BITS), np.uint8, _BITS, _DIRECTORY) for c in range(self.chunks)]
             bit = np.unpackbits(np.concatenate(parts), count=self.n).view(bool) if parts else np.empty(0, bool)
             zeros = int(self.zeros[level])
-            whole[~bit] = out[:zeros]
-            whole[bit] = out[zeros:] | out.dtype.type(1 << k)
+            whole[np.flatnonzero(~bit)] = out[:zeros]
+            whole[np.flatnonzero(bit)] = out[zeros:] | out.dtype.type(1 << k)
             out, whole = whole, out
         return out
 
@@ -208,7 +208,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
             data = build(np.concatenate(held), np.concatenate(lengths))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size]), pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined), pa.array([data], pa.binary())], schema.names)
 
-        for batch, ids, ends in encoded_batches(batches, vocabulary, end_id):
+        for batch, ids, ends in encoded_batches(batches, vocabulary, end_id, 2 * STEP_BYTES):
             a = 0
             while a < batch.num_rows:
                 b = int(np.searchsorted(ends, ends[a] + shard_ids - size, side="right")) - 1
