@@ -15,6 +15,8 @@ from tarmac.operators.spatial import cover, nearest_unbounded
 
 LINK_REASON = "link class"
 FRAGMENT_REASON = "unnamed fragment"
+#: Pieces of a street name that one task works through at most.
+STREET_PIECES = 20_000
 
 
 def without_limited_access(edges: DataFrame, classes: Sequence[str] = ("motorway", "motorway_link"), names: str = "frontage|feeder|service road") -> DataFrame:
@@ -173,15 +175,18 @@ def absorb_short(segments: DataFrame, below: float = 100.0, passes: int = 5) ->
     long: (segments that stay, pointers ``seg_id, absorbed_into``).
 
     ``segments``: seg_id, name, u, v, length_ft (other columns stay with their row). Absorption never leaves the pieces of
-    a name that hang together, so each such group is worked through by itself, however common its name is elsewhere: in up
-    to ``passes`` passes, shortest first, ties by seg_id, always with the lengths as they are then. Unnamed rows never
-    enter a group. Only the columns that matter go through the Python job.
+    a name that hang together, so names, or where one has more than STREET_PIECES its hanging groups, are worked through by
+    themselves, with the same result: in up to ``passes`` passes, shortest first, ties by seg_id, always with the lengths as
+    they are then. Unnamed rows never enter a group. Only the columns that matter go through the Python job.
     """
     named = segments.where("name is not null").select("seg_id", "name", "u", "v", "length_ft")
-    ends = named.select("name", "seg_id", F.explode(F.array("u", "v")).alias("end"))
-    hung = ends.join(ends.groupBy("name", "end").agg(F.min("seg_id").alias("first")), ["name", "end"]).where("seg_id <> first")
-    groups = connected_components(hung, "first", "seg_id")
-    named = named.join(groups, named.seg_id == groups.node, "left").withColumn("component", F.coalesce("component", "seg_id")).drop("node", "name")
+    if named.groupBy("name").count().where(F.col("count") > STREET_PIECES).isEmpty():
+        named = named.withColumnRenamed("name", "component")
+    else:
+        ends = named.select("name", "seg_id", F.explode(F.array("u", "v")).alias("end"))
+        hung = ends.join(ends.groupBy("name", "end").agg(F.min("seg_id").alias("first")), ["name", "end"]).where("seg_id <> first")
+        groups = connected_components(hung, "first", "seg_id")
+        named = named.join(groups, named.seg_id == groups.node, "left").withColumn("component", F.coalesce("component", "seg_id")).drop("node", "name")
 
     def street(rows: pd.DataFrame) -> pd.DataFrame:
         live = {r.seg_id: [r.u, r.v, r.length_ft] for r in rows.sort_values("seg_id").itertuples()}

@@ -240,3 +240,17 @@ def test_pieces_and_samples(spark):
     df = spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0}, {"x": 10.0, "y": 0.0}, {"x": 10.0, "y": 10.0}])], "lid long, geometry array<struct<x: double, y: double>>")
     assert pairs(g.explode_pieces(df), "piece", "x0", "y0", "x1", "y1") == [(0, 0.0, 0.0, 10.0, 0.0), (1, 10.0, 0.0, 10.0, 10.0)]
     assert pairs(spatial.sample_points(df, (0.25, 0.75)), "k", "px", "py") == [(0, 5.0, 0.0), (1, 10.0, 5.0)]
+
+
+def test_hanging_groups_absorb_as_names_do(spark, monkeypatch):
+    import random
+
+    from tarmac.operators import network
+
+    rng = random.Random(3)
+    rows = [(i, f"Street {rng.randint(0, 4)}", rng.randint(0, 60), rng.randint(0, 60), float(rng.randint(10, 400))) for i in range(200)] + [(500, None, 1, 2, 20.0)]
+    df = spark.createDataFrame(rows, "seg_id long, name string, u long, v long, length_ft double")
+    held = lambda: [sorted(map(tuple, t.collect()), key=repr) for t in network.absorb_short(df)]
+    by_name = held()
+    monkeypatch.setattr(network, "STREET_PIECES", 5)
+    assert held() == by_name and by_name[1]
