@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_rules, wavelet
+from tarmac.llm import conversation_trie, decontamination, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_rules, wavelet
 from tarmac.llm.common import read_documents
 
 #: The rules by which pages are judged.
@@ -60,6 +60,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversation_trie.grafted_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, op10_suffix_dedup, pipeline)
+    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, op10_suffix_dedup, op13_conversation_trie, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -128,6 +133,27 @@ SELECT t.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT)
  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
 
 
+# CRC-32 bit by bit. Prefixes are named by all digests of their turns, end to end.
+_OP13 = """
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, length(coalesce(text, '')) AS points,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT crc.conv_id, 0 AS own, pos, turn, points FROM crc JOIN t ON t.conv_id = base WHERE pos <= h
+  UNION ALL SELECT crc.conv_id, 1, pos, turn, points FROM crc JOIN t USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(turn, '') OVER w AS key, points FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM crc),
+n AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(points) AS own FROM p GROUP BY key, depth),
+c AS (SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+u AS (SELECT left(key, 32 * e) AS key, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved_tokens
+  FROM (SELECT n.*, c.key IS NULL AS leaf, unnest(range(depth + 1)) AS e FROM n LEFT JOIN c USING (key)) GROUP BY 1),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+z AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM p JOIN l USING (conv_id, depth) GROUP BY key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN n up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.key = left(n.key, 32 * (n.depth - 1)) LEFT JOIN c ON c.key = n.key JOIN u ON u.key = n.key LEFT JOIN z ON z.key = n.key"""
+
+
 def oracle_sql() -> dict[str, str]:
     """No SQL for encoded texts, models and fingerprints: tests hold those against brute force."""
-    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6, "op10_suffix_dedup": _OP10}
+    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6, "op10_suffix_dedup": _OP10, "op13_conversation_trie": _OP13}
