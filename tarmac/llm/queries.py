@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import conversation_trie, decontamination, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_rules, wavelet
+from tarmac.llm import conversation_trie, decontamination, line_dedup, packing, passage_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_rules, wavelet
 from tarmac.llm.common import read_documents
 
 #: The rules by which pages are judged.
@@ -60,6 +60,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passage_dedup.remove_passages(read_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = conversation_trie.grafted_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, op10_suffix_dedup, op13_conversation_trie, pipeline)
+    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, op10_suffix_dedup, op12_passage_dedup, op13_conversation_trie, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -133,6 +138,15 @@ SELECT t.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT)
  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
 
 
+_OP12 = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS i FROM g JOIN f USING (s) WHERE first < doc_id),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL) AS kept, count(c.i) AS n_removed
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
 # CRC-32 bit by bit. Prefixes are named by all digests of their turns, end to end.
 _OP13 = """
 WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, length(coalesce(text, '')) AS points,
@@ -156,4 +170,4 @@ FROM n LEFT JOIN n up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.key = lef
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for encoded texts, models and fingerprints: tests hold those against brute force."""
-    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6, "op10_suffix_dedup": _OP10, "op13_conversation_trie": _OP13}
+    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6, "op10_suffix_dedup": _OP10, "op12_passage_dedup": _OP12, "op13_conversation_trie": _OP13}

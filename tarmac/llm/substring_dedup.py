@@ -350,7 +350,7 @@ def _compare(length: int, parts: int):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def with_numbers(docs: DataFrame) -> DataFrame:
     """``docs`` with ``number``, whose order is that of doc_id (null: the smallest), and ``variant``, which tells apart the
     texts of rows that share a doc_id (a hash of the text; 0 in tables where no id has two texts).
 
@@ -374,7 +374,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def duplicate_spans(numbered: DataFrame, length: int = 50, hot: int = HOT) -> tuple[DataFrame, int]:
     """Stretches of bytes to remove, packed by group of documents, and the number of groups.
 
-    ``numbered``: see ``_numbered``; see ``remove_repeats`` for what goes.
+    ``numbered``: see ``with_numbers``; see ``remove_repeats`` for what goes.
     """
     spark = numbered.sparkSession
     volume = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -440,7 +440,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
     """
     if not 2 * ANCHOR + 4 <= length <= 127:
         raise ValueError("length must be 36 to 127")
-    numbered = _numbered(docs)
+    numbered = with_numbers(docs)
     spans, parts = duplicate_spans(numbered, length, hot)
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     return _with_texts(numbered, parts).cogroup(spans.groupBy("part")).applyInArrow(_cut, schema)
