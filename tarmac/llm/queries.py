@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import conversation_trie, decontamination, line_dedup, packing, passage_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_rules, wavelet
+from tarmac.llm import conversation_trie, decontamination, line_dedup, packing, passage_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_rules, vector_codes, wavelet
 from tarmac.llm.common import read_documents
 
 #: The rules by which pages are judged.
@@ -60,6 +60,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.lit(vector_codes.books_digest(books))
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passage_dedup.remove_passages(read_documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -77,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, op10_suffix_dedup, op12_passage_dedup, op13_conversation_trie, pipeline)
+    own = (op1_decontamination, op2_packing, op3_token_counts, op4_quality_classifier, op5_line_dedup, op6_url_rules, op7_wavelet, op8_simhash, op9_quality_rules, op10_suffix_dedup, op11_vector_codes, op12_passage_dedup, op13_conversation_trie, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -138,6 +144,31 @@ SELECT t.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT)
  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
 
 
+def _op11() -> str:
+    """Six rounds, each from the last one's codebooks. Inner products of these integers are exact as doubles."""
+    nearest = "arg_min(k, [list_inner_product(c, c) - 2 * list_inner_product(v, c), k])"
+    steps = []
+    for r in range(1, 8):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, p, any_value(v) AS v, {nearest} AS k FROM x JOIN b{r - 1} USING (p) GROUP BY vec_id, label, p)")
+        if r < 7:
+            steps.append(
+                f"""s{r} AS MATERIALIZED (SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c
+  FROM (SELECT p, k, i, CAST(sum(CAST(u AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, k, unnest(v) AS u, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY p, k, i) GROUP BY p, k),
+b{r} AS MATERIALIZED (SELECT p, k, coalesce(s{r}.c, b{r - 1}.c) AS c FROM b{r - 1} LEFT JOIN s{r} USING (p, k))"""
+            )
+    rounds = ",\n".join(steps)
+    return f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS v FROM e, range(8) r(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v AS c FROM x QUALIFY k < 16),
+{rounds},
+f AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(k AS BIGINT)), '' ORDER BY p) AS code,
+  CAST(sum(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)) AS BIGINT) AS error FROM a7 JOIN b6 USING (p, k) GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda z: CAST(CAST(z AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f, h"""
+
+
 _OP12 = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
@@ -170,4 +201,4 @@ FROM n LEFT JOIN n up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.key = lef
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for encoded texts, models and fingerprints: tests hold those against brute force."""
-    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6, "op10_suffix_dedup": _OP10, "op12_passage_dedup": _OP12, "op13_conversation_trie": _OP13}
+    return {"op1_decontamination": _OP1, "op5_line_dedup": _OP5, "op6_url_rules": _OP6, "op10_suffix_dedup": _OP10, "op11_vector_codes": _op11(), "op12_passage_dedup": _OP12, "op13_conversation_trie": _OP13}
