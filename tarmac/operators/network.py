@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as g
 from tarmac.functions import tags
-from tarmac.operators.graph import checkpoint, connected_components
+from tarmac.operators.graph import checkpoint, two_colours
+from tarmac.operators.graph import stored as _stored
 from tarmac.operators.spatial import cover, nearest_unbounded
 
 LINK_REASON = "link class"
@@ -99,31 +100,13 @@ def twin_pairs(lines: DataFrame, reach: float = 150.0, line_id: str = "lid") ->
 def two_sides(pairs: DataFrame) -> DataFrame:
     """``node, component, side`` (0 or 1), ``conflict``: the two colours of each component of twins.
 
-    Components of the double cover, in which each pair joins opposite colours, give the colours in as many rounds as
-    plain components need. In a component with an odd cycle both copies fall together: it is marked as a conflict, and
-    its sides are the parity of the number of steps from its least node.
+    Sides are parities of steps along a spanning tree (``two_colours``), the least node's is 0. A component in which the
+    ends of some pair fall on one side has an odd cycle: it is marked as a conflict, and keeps the tree's sides.
     """
-    cover_edges = pairs.select((2 * F.col("src")).alias("src"), (2 * F.col("dst") + 1).alias("dst")).unionByName(pairs.select((2 * F.col("src") + 1).alias("src"), (2 * F.col("dst")).alias("dst")))
-    doubled = connected_components(cover_edges).select(F.floor(F.col("node") / 2).alias("node"), (F.col("node") % 2).alias("copy"), F.col("component").alias("label"))
-    labels = doubled.groupBy("node").agg(F.min(F.when(F.col("copy") == 0, F.col("label"))).alias("zero"), F.min(F.when(F.col("copy") == 1, F.col("label"))).alias("one"))
-    found = labels.select("node", F.floor(F.least("zero", "one") / 2).alias("component"), (F.col("zero") > F.col("one")).cast("int").alias("side"), (F.col("zero") == F.col("one")).alias("conflict"))
-    odd = found.where("conflict").select("node", "component")
-    if odd.limit(1).count() == 0:
-        return found
-    return found.where("not conflict").unionByName(_by_steps(pairs, checkpoint(odd)))
-
-
-def _by_steps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    both = pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    held = checkpoint(nodes.withColumn("steps", F.when(F.col("node") == F.col("component"), 0)))
-    step = 0
-    while True:
-        edge = held.where(F.col("steps") == step).select(F.col("node").alias("src"))
-        reached = both.join(edge, "src").select(F.col("dst").alias("node")).distinct().withColumn("__new", F.lit(step + 1))
-        new = checkpoint(held.join(reached, "node", "left").withColumn("steps", F.coalesce("steps", "__new")).drop("__new"))
-        held, step = new, step + 1
-        if held.where(F.col("steps") == step).limit(1).count() == 0:
-            return held.select("node", "component", (F.col("steps") % 2).cast("int").alias("side"), F.lit(True).alias("conflict"))
+    sides = checkpoint(two_colours(pairs))
+    of = lambda end: sides.select(F.col("node").alias(end), F.col("side").alias(f"side_{end}"), *(["component"] if end == "src" else []))
+    odd = pairs.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst").where("side_src = side_dst").select("component").distinct()
+    return sides.join(odd.withColumn("__odd", F.lit(True)), "component", "left").select("node", "component", "side", F.col("__odd").isNotNull().alias("conflict"))
 
 
 def representatives(sides: DataFrame, lines: DataFrame, line_id: str = "lid") -> DataFrame:
@@ -170,23 +153,34 @@ def split_by(df: DataFrame, condition, reason: str) -> tuple[DataFrame, DataFram
     return df.where(~met), df.where(met).withColumn("removal_reason", F.lit(reason))
 
 
-def absorb_short(segments: DataFrame, below: float = 100.0, passes: int = 5) -> tuple[DataFrame, DataFrame]:
+def absorb_short(segments: DataFrame, below: float = 100.0, passes: int = 5, street_pieces: int = STREET_PIECES) -> tuple[DataFrame, DataFrame]:
     """Named pieces shorter than ``below`` go into the longest line of their street that shares an end and is at least as
     long: (segments that stay, pointers ``seg_id, absorbed_into``).
 
-    ``segments``: seg_id, name, u, v, length_ft (other columns stay with their row). Absorption never leaves the pieces of
-    a name that hang together, so names, or where one has more than STREET_PIECES its hanging groups, are worked through by
-    themselves, with the same result: in up to ``passes`` passes, shortest first, ties by seg_id, always with the lengths as
-    they are then. Unnamed rows never enter a group. Only the columns that matter go through the Python job.
+    ``segments``: seg_id, name, u, v, length_ft (other columns stay with their row). A street is worked through in up to
+    ``passes`` passes, shortest first (lengths as the pass began), ties by seg_id, always into lines as they are then.
+    Streets are independent. Those of up to ``street_pieces`` pieces are groups of one task each (``_street``); larger ones
+    are worked through in parallel rounds (``absorb_in_rounds``), with the same result. Unnamed rows stay as they are.
+    Only the columns that matter go through the jobs.
     """
-    named = segments.where("name is not null").select("seg_id", "name", "u", "v", "length_ft")
-    if named.groupBy("name").count().where(F.col("count") > STREET_PIECES).isEmpty():
-        named = named.withColumnRenamed("name", "component")
-    else:
-        ends = named.select("name", "seg_id", F.explode(F.array("u", "v")).alias("end"))
-        hung = ends.join(ends.groupBy("name", "end").agg(F.min("seg_id").alias("first")), ["name", "end"]).where("seg_id <> first")
-        groups = connected_components(hung, "first", "seg_id")
-        named = named.join(groups, named.seg_id == groups.node, "left").withColumn("component", F.coalesce("component", "seg_id")).drop("node", "name")
+    named = segments.where("name is not null").select("seg_id", "name", "u", "v", F.col("length_ft").cast("double").alias("length_ft"))
+    kind = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    schema = f"seg_id {kind['seg_id']}, u {kind['u']}, v {kind['v']}, length_ft double, absorbed_into {kind['seg_id']}"
+    large = checkpoint(named.groupBy("name").count().where(F.col("count") > street_pieces).select("name"))
+    done = None
+    if not large.isEmpty():
+        done = absorb_in_rounds(named.join(large, "name", "left_semi"), below, passes)
+        named = named.join(large, "name", "left_anti")
+    small = named.groupBy("name").applyInPandas(_street(below, passes), schema)
+    done = checkpoint(small if done is None else small.unionByName(done))
+    stay = done.where("absorbed_into is null").drop("absorbed_into")
+    rest = segments.where("name is null")
+    updated = segments.drop("u", "v", "length_ft").join(stay, "seg_id").select(segments.columns)
+    return updated.unionByName(rest), done.where("absorbed_into is not null").select("seg_id", "absorbed_into")
+
+
+def _street(below: float, passes: int):
+    """The pieces of one street, one after the other."""
 
     def street(rows: pd.DataFrame) -> pd.DataFrame:
         live = {r.seg_id: [r.u, r.v, r.length_ft] for r in rows.sort_values("seg_id").itertuples()}
@@ -225,13 +219,72 @@ def absorb_short(segments: DataFrame, below: float = 100.0, passes: int = 5) ->
         gone = [(s, None, None, None, o) for s, o in into.items()]
         return pd.DataFrame(kept + gone, columns=["seg_id", "u", "v", "length_ft", "absorbed_into"]).astype(object).where(lambda x: x.notna(), None)
 
-    kind = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    schema = f"seg_id {kind['seg_id']}, u {kind['u']}, v {kind['v']}, length_ft double, absorbed_into {kind['seg_id']}"
-    done = checkpoint(named.groupBy("component").applyInPandas(street, schema))
-    stay = done.where("absorbed_into is null").drop("absorbed_into")
-    rest = segments.where("name is null")
-    updated = segments.drop("u", "v", "length_ft").join(stay, "seg_id").select(segments.columns)
-    return updated.unionByName(rest), done.where("absorbed_into is not null").select("seg_id", "absorbed_into")
+    return street
+
+
+def absorb_in_rounds(pieces: DataFrame, below: float = 100.0, passes: int = 5) -> DataFrame:
+    """``seg_id, u, v, length_ft, absorbed_into`` of named pieces, the order-dependent merge of ``absorb_short`` in rounds.
+
+    What a piece does reads the lines at its ends, and changes one of them: its ends stay among those of the two. So two
+    pieces of a pass can only matter to each other while a line has ends in common with both, and a piece may act as soon
+    as it is the least (length, seg_id) of all waiting pieces as near as that; those that are act at once. No two of them
+    meet in a line, and whatever is less has acted before, as in the sequence. Each round is a few joins by street and node,
+    minima first, so neither a long street nor a crowded node gathers in one task. Rounds follow the longest chain of
+    falling lengths among neighbouring short pieces; some dozen where lengths are in no order.
+    """
+    state = _stored(pieces.withColumns({"absorbed_into": F.lit(None).cast(pieces.schema["seg_id"].dataType)}))
+    gone = None
+    for _ in range(passes):
+        turn = F.when(F.col("length_ft") < below, F.struct(F.col("length_ft").alias("size"), F.col("seg_id").alias("of")))
+        live = _stored(state.drop("absorbed_into").withColumn("turn", turn))
+        acted = False
+        while not live.where("turn is not null").isEmpty():
+            merges = _stored(_merges(live))
+            some = not merges.where("best is not null").isEmpty()
+            acted = acted or some
+            if some:
+                into = merges.where("best is not null").select("seg_id", F.col("best.seg_id").alias("absorbed_into"))
+                gone = into if gone is None else gone.unionByName(into)
+            live = _stored(_after(live, merges))
+        state = live.drop("turn").withColumn("absorbed_into", F.lit(None).cast(pieces.schema["seg_id"].dataType))
+        if not acted:
+            break
+    kept = state.select("seg_id", "u", "v", "length_ft", "absorbed_into")
+    return kept if gone is None else kept.unionByName(gone, allowMissingColumns=True)
+
+
+def _at_ends(live: DataFrame, *columns: str) -> DataFrame:
+    return live.select("name", F.explode(F.array_distinct(F.array("u", "v"))).alias("end"), *columns)
+
+
+def _merges(live: DataFrame) -> DataFrame:
+    """``name, seg_id, u, v, length_ft, best``: the pieces whose turn it is, and the line that each goes into, if any."""
+
+    def least(rows: DataFrame, value: str, out: str) -> DataFrame:
+        """``rows`` with the least ``value`` among all lines at its two ends."""
+        by_end = _at_ends(rows, value).where(f"{value} is not null").groupBy("name", "end").agg(F.min(value).alias("__least"))
+        for end in "uv":
+            rows = rows.join(by_end.select("name", F.col("end").alias(end), F.col("__least").alias(f"__{end}")), ["name", end], "left")
+        return rows.withColumn(out, F.least("__u", "__v")).drop("__u", "__v")
+
+    near = least(least(live, "turn", "next_door"), "next_door", "within_two")
+    ready = near.where("turn is not null and turn = within_two").select("name", "seg_id", "u", "v", "length_ft")
+    others = _at_ends(live, F.col("seg_id").alias("o"), F.col("length_ft").alias("d"), F.col("u").alias("ou"), F.col("v").alias("ov"))
+    met = _at_ends(ready, "seg_id", "length_ft").join(others, ["name", "end"]).where("o <> seg_id and d >= length_ft")
+    best = met.groupBy("name", "seg_id").agg(F.min(F.struct((-F.col("d")).alias("less"), F.col("o").alias("seg_id"), "ou", "ov")).alias("best"))
+    return ready.join(best, ["name", "seg_id"], "left")
+
+
+def _after(live: DataFrame, merges: DataFrame) -> DataFrame:
+    """The lines after the merges: those that went are out, those that have had their turn have none any more."""
+    done = merges.select("seg_id", F.lit(True).alias("done"), F.col("best").isNotNull().alias("went"))
+    own, other = F.array("best.ou", "best.ov"), F.array("u", "v")
+    ends = F.array_sort(F.array_distinct(F.concat(F.array_except(own, other), F.array_except(other, own))))
+    grown = merges.where("best is not null").select(F.col("best.seg_id").alias("seg_id"), ends.alias("ends"), F.col("length_ft").alias("more"))
+    held = live.join(done, "seg_id", "left").where("went is null or not went").join(grown, "seg_id", "left")
+    two = F.coalesce(F.size("ends") == 2, F.lit(False))
+    moved = {"u": F.when(two, F.col("ends")[0]).otherwise(F.col("u")), "v": F.when(two, F.col("ends")[1]).otherwise(F.col("v"))}
+    return held.select("seg_id", "name", *(c.alias(k) for k, c in moved.items()), (F.col("length_ft") + F.coalesce("more", F.lit(0.0))).alias("length_ft"), F.when(F.col("done").isNull(), F.col("turn")).alias("turn"))
 
 
 def follow_pointers(pointers: DataFrame, node: str = "seg_id", to: str = "absorbed_into", rounds: int = 40) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Pieces are rows ``x0, y0, x1, y1``. The side that is searched is written to every cell that its inflated box meets, the
 other side to its own cell, so that each pair meets at least once and a join never compares all with all. Cells are as
-wide as the search radius; long pieces are covered in parts. Crowded cells are what Spark's adaptive skew join splits.
+wide as the search radius; long pieces are covered in parts. A crowded cell is cut into blocks of bounded numbers of both
+sides, each a key of its own. Searches without a radius go down a pyramid of cells.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from tarmac.operators.graph import checkpoint
 
 #: Ring edges that are sent to every executor at most; larger zone tables are joined by a shuffle.
 BROADCAST_EDGES = 100_000
+#: Rows of a side in a cell, at least, from which the cell is cut into blocks of so many.
+CROWD = 20_000
+#: A level of the pyramid has cells of 2**_STEP times the width of those below.
+_STEP = 3
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -40,15 +45,45 @@ def cover(pieces: DataFrame, reach: Column | float, size: float) -> DataFrame:
     return cells.drop("__n")
 
 
-def near_pairs(points: DataFrame, pieces: DataFrame, reach: Column | float, size: float, point_id: str = "pid") -> DataFrame:
+def _crowded(rows: DataFrame, crowd: int) -> DataFrame:
+    """``cx, cy, n``: the thousand most crowded cells of more rows than ``crowd``; any other holds less than a thousandth."""
+    counts = rows.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > crowd).orderBy(F.col("n").desc(), "cx", "cy").limit(1000)
+
+
+def blocks(left: DataFrame, right: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Both sides (with cx, cy) with the numbers ``__l, __r`` of a block of their cell, by which they are to be joined.
+
+    The rows of a side in a crowded cell are dealt to blocks, and the other side's rows of that cell are written once for
+    each: every pair meets exactly once, and a block holds about ``crowd`` rows of each side. A thousand cells a side are
+    looked after, so what is broadcast is bounded.
+    """
+    sides = {"__l": left, "__r": right}
+    for own, rows in (("__l", left), ("__r", right)):
+        hot = _crowded(rows, crowd).select("cx", "cy", F.ceil(F.col("n") / crowd).cast("int").alias("__n"))
+        for name in sides:
+            held = sides[name].join(F.broadcast(hot), ["cx", "cy"], "left")
+            n = F.coalesce("__n", F.lit(1))
+            dealt = F.when(n > 1, F.pmod(F.xxhash64(*rows.columns), n)).otherwise(0).cast("int")
+            sides[name] = held.withColumn(own, dealt if name == own else F.explode(F.sequence(F.lit(0), n - 1))).drop("__n")
+    return sides["__l"], sides["__r"]
+
+
+def cell_join(left: DataFrame, right: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Rows of both sides that share a cell (cx, cy), in tasks of bounded size however crowded a cell is."""
+    a, b = blocks(left, right, crowd)
+    return a.join(b, ["cx", "cy", "__l", "__r"]).drop("__l", "__r")
+
+
+def near_pairs(points: DataFrame, pieces: DataFrame, reach: Column | float, size: float, point_id: str = "pid", crowd: int = CROWD) -> DataFrame:
     """Point, piece and ``d2`` (squared distance) of all pairs within reach; ``reach`` may be a column of the points.
 
     ``size`` bounds the reach. A long piece, covered in parts, may meet a point in more than one; minima and flags over
-    pairs are not changed by that.
+    pairs are not changed by that. Points without coordinates are near nothing.
     """
     bound = size if isinstance(reach, Column) else float(reach)
     limit = reach if isinstance(reach, Column) else F.lit(float(reach))
-    met = with_cell(points, size).join(cover(pieces, bound, size), ["cx", "cy"])
+    met = cell_join(with_cell(points, size), cover(pieces, bound, size), crowd)
     d2 = g.point_piece_d2(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return met.withColumn("d2", d2).where(F.col("d2") <= limit * limit).drop("cx", "cy")
 
@@ -82,45 +117,97 @@ def nearest_with_ties(points: DataFrame, pieces: DataFrame, reach: float, point_
     return pairs.join(best, [point_id, "d2"]).select(point_id, line_id, "d2")
 
 
-def nearest_unbounded(points: DataFrame, pieces: DataFrame, first_reach: float, point_id: str = "pid", line_id: str = "lid", rounds: int = 24, group: tuple[str, str] | None = None) -> DataFrame:
-    """The nearest line of each point at any distance: the reach is doubled for the points still without one.
+def nearest_unbounded(points: DataFrame, pieces: DataFrame, first_reach: float, point_id: str = "pid", line_id: str = "lid", group: tuple[str, str] | None = None) -> DataFrame:
+    """``pid, lid, d2``: the nearest line of each point at any distance; of equals the least id.
+
+    Points with a line within ``first_reach`` are settled by one join. The others go down a pyramid of cells (see
+    ``_descend``), whose levels grow with the logarithm of the lines' extent, however far a point is off. With ``group``, a
+    column of the points and one of the pieces, only lines of a point's own group count.
 
-    A line found within a reach is final. The rest shrinks round by round, and the loop ends when none is left. With
-    ``group``, a column of the points and one of the pieces, only lines of a point's own group count.
+    A point without coordinates (null or NaN) comes out with null lid and d2; one whose group has no line is left out.
     """
-    own = "true" if group is None else f"{group[0]} = {group[1]}"
-    if pieces.limit(1).count() == 0:
-        return nearest(points, pieces, first_reach, (), point_id, line_id)
-    found, rest, reach = None, points, first_reach
-    for _ in range(rounds):
-        got = near_pairs(rest, pieces, reach, reach, point_id).where(own).groupBy(point_id).agg(F.min(F.struct("d2", line_id)).alias("best"))
-        got = checkpoint(got.select(point_id, f"best.{line_id}", "best.d2"))
-        found = got if found is None else found.unionByName(got)
-        rest = checkpoint(rest.join(got.select(point_id), point_id, "left_anti"))
-        if rest.limit(1).count() == 0:
-            break
-        reach *= 2
-    return found
+    own, of = group or ("__own", "__of")
+    known = ~F.isnan("px") & ~F.isnan("py")
+    held = points if group else points.withColumn("__own", F.lit(0))
+    lines = (pieces if group else pieces.withColumn("__of", F.lit(0))).select(line_id, F.col(of).alias("__of"), "x0", "y0", "x1", "y1")
+    held = held.select(F.col(point_id).alias("__pid"), F.col(own).alias("__own"), F.when(known, F.col("px")).alias("px"), F.when(known, F.col("py")).alias("py"))
+    least = F.min(F.struct("d2", line_id)).alias("best")
+    got = near_pairs(held, lines, first_reach, first_reach, "__pid").where("__own = __of").groupBy("__pid").agg(least)
+    got = checkpoint(got.select("__pid", f"best.{line_id}", "best.d2"))
+    rest = checkpoint(held.join(got.select("__pid"), "__pid", "left_anti"))
+    found = got
+    if not rest.where("px is not null and py is not null").isEmpty():
+        found = got.unionByName(_descend(rest.where("px is not null and py is not null"), lines, first_reach, line_id))
+    none = {line_id: lines.schema[line_id].dataType, "d2": "double"}
+    nowhere = rest.where("px is null or py is null").select("__pid", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    return found.unionByName(nowhere).withColumnRenamed("__pid", point_id)
+
+
+def _descend(points: DataFrame, pieces: DataFrame, size: float, line_id: str) -> DataFrame:
+    """The nearest piece of each point of its group (``__own``, ``__of``): ``__pid``, line, d2.
+
+    Each cell of a level knows the start of one piece that it holds, at most so far off the nearest piece can be. From the
+    top, where a group has four cells at most, points go down to the children of the cells that are not farther off than
+    that, until those of the lowest level give up their pieces. So a point meets few cells a level and few pieces, and
+    points far off do not meet all lines.
+    """
+    base = cover(pieces, 0.0, size)
+    cell = lambda df: df.groupBy("__of", "cx", "cy").agg(F.min(F.struct("x0", "y0")).alias("at"))
+    levels = [checkpoint(cell(base))]
+    span = levels[0].agg(*(F.coalesce(F.max(c) - F.min(c), F.lit(0)).alias(c) for c in ("cx", "cy")), F.count("*").alias("n")).first()
+    wide = max(span.cx, span.cy)
+    while wide >> (_STEP * (len(levels) - 1)):
+        up = levels[-1].select("__of", *(F.shiftright(c, _STEP).alias(c) for c in ("cx", "cy")), F.col("at.x0").alias("x0"), F.col("at.y0").alias("y0"))
+        levels.append(cell(up))
+    front = points
+    for k in range(len(levels) - 1, -1, -1):
+        top = k == len(levels) - 1
+        up = [] if top else [F.shiftright(c, _STEP).alias(f"u{c}") for c in ("cx", "cy")]
+        kids = levels[k].select(F.col("__of").alias("__own"), *up, "cx", "cy", "at")
+        if span.n <= BROADCAST_EDGES or levels[k].limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:  # no level has more cells than the lowest
+            kids = F.broadcast(kids)
+        met = front.join(kids, ["__own"] if top else ["__own", "ucx", "ucy"])
+        width = size * (1 << (_STEP * k))
+        off = [F.greatest(F.col(c) * width - F.col(p), F.col(p) - (F.col(c) + 1) * width, F.lit(0.0)) for c, p in (("cx", "px"), ("cy", "py"))]
+        to = [F.col("px") - F.col("at.x0"), F.col("py") - F.col("at.y0")]
+        met = met.withColumns({"low": off[0] * off[0] + off[1] * off[1], "high": to[0] * to[0] + to[1] * to[1]})
+        met = met.withColumn("high", F.min("high").over(Window.partitionBy("__pid")))
+        left = met.where(F.col("low") <= F.col("high") * (1 + 1e-9) + 1e-6)
+        front = left.select("__pid", "__own", "px", "py", *([F.col(c).alias(f"u{c}") for c in ("cx", "cy")] if k else ["cx", "cy"]))
+    d2 = g.point_piece_d2(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    met = cell_join(front, base).where("__own = __of").withColumn("d2", d2)
+    return met.groupBy("__pid").agg(F.min(F.struct("d2", line_id)).alias("best")).select("__pid", f"best.{line_id}", "best.d2")
 
 
 def _edge_bands(edges: DataFrame, band: float, zone_id: str) -> DataFrame:
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    return edges.where("y0 <> y1").select(zone_id, "x0", "y0", "x1", "y1", F.explode(F.sequence(_cell(low, band), _cell(high, band))).alias("band"))
+    return edges.select(zone_id, "x0", "y0", "x1", "y1", F.explode(F.sequence(_cell(low, band), _cell(high, band))).alias("band"))
 
 
-def zones_of_points(points: DataFrame, edges: DataFrame, band: float, point_id: str = "pid", zone_id: str = "zone_id") -> DataFrame:
+def zones_of_points(points: DataFrame, edges: DataFrame, band: float, point_id: str = "pid", zone_id: str = "zone_id", boundary: str = "half_open") -> DataFrame:
     """``pid, zone_id`` of all zones that hold a point: an odd number of ring edges to its right.
 
     Edges are spread over bands of y, so that a large boundary is never one row and a point meets only the edges at its
-    height. An edge counts by the half-open rule, so holes and touching rings come out right.
+    height. An edge counts by the half-open rule, so holes and touching rings come out right. ``boundary`` says what holds
+    for points on an edge or a corner, of a hole too: ``outside`` (strict interior), ``inside`` (closed), or ``half_open``,
+    which gives a point on a shared border to one of its zones (west and south sides count). On an edge means exactly so:
+    in its box, and in one line with its ends by the arithmetic of doubles.
     """
-    banded = _edge_bands(edges, band, zone_id)
+    if boundary not in ("half_open", "outside", "inside"):
+        raise ValueError("boundary must be half_open, outside or inside")
+    banded = _edge_bands(edges if boundary != "half_open" else edges.where("y0 <> y1"), band, zone_id)
     if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
         banded = F.broadcast(banded)
     met = points.withColumn("band", _cell(F.col("py"), band)).join(banded, "band")
     px, py, x0, y0, x1, y1 = (F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1"))
-    right = ((y0 <= py) != (y1 <= py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
-    return met.where(right).groupBy(point_id, zone_id).agg(F.count("*").alias("n")).where("n % 2 = 1").select(point_id, zone_id)
+    right = ((y0 <= py) != (y1 <= py)) & (px < (x1 - x0) * (py - y0) / F.nullif(y1 - y0, F.lit(0.0)) + x0)
+    right = F.coalesce(right, F.lit(False))
+    if boundary == "half_open":
+        return met.where(right).groupBy(point_id, zone_id).agg(F.count("*").alias("n")).where("n % 2 = 1").select(point_id, zone_id)
+    boxed = px.between(F.least(x0, x1), F.greatest(x0, x1)) & py.between(F.least(y0, y1), F.greatest(y0, y1))
+    on = boxed & ((x1 - x0) * (py - y0) == (y1 - y0) * (px - x0))
+    counted = met.withColumns({"__right": right, "__on": on}).where("__right or __on").groupBy(point_id, zone_id).agg(F.count_if("__right").alias("n"), F.bool_or("__on").alias("edge"))
+    return counted.where("n % 2 = 1 and not edge" if boundary == "outside" else "n % 2 = 1 or edge").select(point_id, zone_id)
 
 
 def zone_of_point(points: DataFrame, edges: DataFrame, band: float, point_id: str = "pid", zone_id: str = "zone_id") -> DataFrame:

@@ -83,13 +83,40 @@ def _segments(spark, d):
     return fx.lines(spark, d).selectExpr("lid as seg_id", "(lid * 7) % 61 as u", "(lid * 13 + lid div 3) % 61 as v", "name", "highway", "length_ft")
 
 
-@query("net6_absorb_short")
+#: Segments between numbered nodes, and the merge of short ones in sequence: a row a street and step, which holds the live
+#: pieces, those still to be looked at in this pass, and where the others went.
+_SEGS = "seg AS (SELECT lid AS seg_id, (lid * 7) % 61 AS u, (lid * 13 + lid // 3) % 61 AS v, name, highway, length_ft FROM lns)"
+_ABSORB = """w AS (
+SELECT name, 0 AS k, 0 AS pass, true AS changed, CAST([] AS BIGINT[]) AS todo, list(struct_pack(s := seg_id, u := u, v := v, d := length_ft) ORDER BY seg_id) AS live, CAST([] AS STRUCT(s BIGINT, b BIGINT)[]) AS gone
+FROM {source} WHERE name IS NOT NULL GROUP BY name
+UNION ALL
+SELECT name, k + 1, CASE WHEN len(todo) = 0 THEN pass + 1 ELSE pass END, len(todo) > 0 AND (changed OR best IS NOT NULL),
+ CASE WHEN len(todo) > 0 THEN todo[2:] ELSE list_transform(list_sort(list_transform(list_filter(live, lambda x: x.d < 100), lambda x: struct_pack(d := x.d, s := x.s))), lambda x: x.s) END,
+ CASE WHEN best IS NULL THEN live ELSE list_transform(list_filter(live, lambda x: x.s <> me.s), lambda x: CASE WHEN x.s <> best.s THEN x
+   ELSE struct_pack(s := x.s, u := CASE WHEN len(ends) = 2 THEN ends[1] ELSE x.u END, v := CASE WHEN len(ends) = 2 THEN ends[2] ELSE x.v END, d := x.d + me.d) END) END,
+ CASE WHEN best IS NULL THEN gone ELSE list_append(gone, struct_pack(s := me.s, b := best.s)) END
+FROM (SELECT *, list_sort(list_distinct(list_concat(list_filter([best.u, best.v], lambda x: x <> me.u AND x <> me.v), list_filter([me.u, me.v], lambda x: x <> best.u AND x <> best.v)))) AS ends
+ FROM (SELECT *, list_sort(list_transform(list_filter(live, lambda x: x.s <> me.s AND x.d >= me.d AND (x.u = me.u OR x.u = me.v OR x.v = me.u OR x.v = me.v)), lambda x: struct_pack(less := -x.d, s := x.s, u := x.u, v := x.v)))[1] AS best
+  FROM (SELECT *, list_filter(live, lambda x: x.s = todo[1])[1] AS me FROM w WHERE len(todo) > 0 OR (changed AND pass < 5)))))
+, z AS (SELECT name, arg_max(live, k) AS live, arg_max(gone, k) AS gone FROM w GROUP BY name),
+kept AS (SELECT x.s AS seg_id, x.d AS length_ft FROM (SELECT unnest(live) AS x FROM z) UNION ALL SELECT seg_id, length_ft FROM {source} WHERE name IS NULL),
+went AS (SELECT x.s AS seg_id, x.b AS absorbed_into FROM (SELECT unnest(gone) AS x FROM z))"""
+
+
+@query("net6_absorb_short", sql(f"WITH {_SEGS}, {_ABSORB.format(source='seg')} SELECT seg_id, round(length_ft, 4) AS length_ft, NULL AS absorbed_into FROM kept UNION ALL SELECT seg_id, NULL, absorbed_into FROM went", "lns", recursive=True))
 def absorbed(spark, d):
     kept, into = n.absorb_short(_segments(spark, d))
     return kept.select("seg_id", F.round("length_ft", 4).alias("length_ft"), F.lit(None).cast("long").alias("absorbed_into")).unionByName(into.select("seg_id", F.lit(None).cast("double").alias("length_ft"), "absorbed_into"))
 
 
-@query("net7_clean_slivers")
+_CLEANED = f"""WITH {_SEGS}, links AS (SELECT * FROM seg WHERE ends_with(highway, '_link')), rest AS (SELECT * FROM seg WHERE NOT ends_with(highway, '_link')), {_ABSORB.format(source='rest')},
+c AS (SELECT seg_id AS first, absorbed_into AS last FROM went UNION ALL SELECT c.first, went.absorbed_into FROM c JOIN went ON went.seg_id = c.last), e AS (SELECT first, last FROM c WHERE last NOT IN (SELECT seg_id FROM went)),
+junk AS (SELECT k.* FROM kept k JOIN seg USING (seg_id) WHERE seg.name IS NULL AND k.length_ft < 50), removed AS (SELECT seg_id, length_ft FROM links UNION ALL SELECT seg_id, length_ft FROM junk),
+away AS (SELECT coalesce(e.last, lid - 1) AS rep FROM lns LEFT JOIN e ON e.first = lid - 1 WHERE lid % 2 = 1)"""
+
+
+@query("net7_clean_slivers", sql(_CLEANED + """ SELECT 'segments' AS layer, seg_id, round(length_ft, 4) AS length_ft, NULL AS orphan FROM kept WHERE seg_id NOT IN (SELECT seg_id FROM junk)
+UNION ALL SELECT 'removed', seg_id, round(length_ft, 4), NULL FROM removed UNION ALL SELECT 'away', rep, NULL, rep IN (SELECT seg_id FROM removed) FROM away""", "lns", recursive=True))
 def slivers(spark, d):
     away = fx.lines(spark, d).where("lid % 2 = 1").select("lid", (F.col("lid") - 1).alias("rep_seg_id"))
     tables = n.clean_slivers(_segments(spark, d), away)

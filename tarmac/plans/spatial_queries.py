@@ -78,6 +78,7 @@ def nearest_ties(spark, d):
 
 
 _INSIDE = "p.px > z.xa AND p.px < z.xb AND p.py > z.ya AND p.py < z.yb"
+_CLOSED = "p.px >= z.xa AND p.px <= z.xb AND p.py >= z.ya AND p.py <= z.yb"
 #: The half-open rule at the sides of a rectangle.
 _HELD = "p.px >= z.xa AND p.px < z.xb AND p.py >= z.ya AND p.py < z.yb"
 
@@ -91,10 +92,14 @@ def zone_of_point(spark, d):
     return s.zone_of_point(fx.points(spark, d).select("pid", "px", "py"), _zone_edges(spark, d), 500.0)
 
 
-@query("sj1_clip_to_area", sql(f"SELECT p.pid FROM pts p JOIN zns z ON z.zone_id = 12 AND {_HELD}", "pts", "zns"))
-def clip(spark, d):
-    one = _zone_edges(spark, d).where("zone_id = 12")
-    return s.zones_of_points(fx.points(spark, d).select("pid", "px", "py"), one, 500.0).select("pid")
+@query("sj1_strict_interior", sql(f"SELECT p.pid, z.zone_id FROM pts p JOIN zns z ON {_INSIDE}", "pts", "zns"))
+def strict_interior(spark, d):
+    return s.zones_of_points(fx.points(spark, d).select("pid", "px", "py"), _zone_edges(spark, d), 500.0, boundary="outside")
+
+
+@query("sj1_closed_area", sql(f"SELECT p.pid, z.zone_id FROM pts p JOIN zns z ON {_CLOSED}", "pts", "zns"))
+def closed_area(spark, d):
+    return s.zones_of_points(fx.points(spark, d).select("pid", "px", "py"), _zone_edges(spark, d), 500.0, boundary="inside")
 
 
 @query("sj3_nearest_zone", sql(f"WITH m AS (SELECT p.station_id, z.zone_id, CASE WHEN {_HELD} THEN 0.0 ELSE power(greatest(z.xa - p.px, 0, p.px - z.xb), 2) + power(greatest(z.ya - p.py, 0, p.py - z.yb), 2) END AS d2 FROM stn p, zns z) SELECT station_id, arg_min(zone_id, struct_pack(d2 := d2, z := zone_id)) AS zone_id FROM m GROUP BY station_id", "stn", "zns"))
@@ -133,12 +138,19 @@ def modal_speed(spark, d):
     return _snapped(spark, d).groupBy("lid").agg(F.count("*").alias("n"), F.mode("speed", True).alias("speed"))
 
 
-@query("prj4_speed_priority", sql(_SNAP.replace("mode(speed ORDER BY speed)", "min(speed)") + """ SELECT l.lid, CASE WHEN n >= 2 AND speed IS NOT NULL THEN speed WHEN lanes = 4 THEN 35.0 ELSE 30.0 END AS posted_speed_mph,
- CASE WHEN n >= 2 AND speed IS NOT NULL THEN 'city' WHEN lanes = 4 THEN 'osm' WHEN highway IN ('residential', 'unclassified', 'living_street') THEN 'default_30_local' ELSE 'default_30_unposted' END AS speed_source FROM lns l LEFT JOIN a USING (lid)""", "lns", "vls"))
-def speed_priority(spark, d):
-    got = _snapped(spark, d).groupBy("lid").agg(F.count("*").alias("n"), F.min("speed").alias("speed")).select("lid", F.when(F.col("n") >= 2, F.col("speed")).alias("speed_city"))
+#: The most frequent speed among the samples' nearest posted lines, the least of equally frequent ones; null below two of five.
+_MODAL = _SAMPLES + f""", m AS (SELECT s.lid, s.k, v.sid, v.speed, round({point_d2('s.px', 's.py', 'v')}, 4) AS d2 FROM s JOIN vls v ON v.speed > 0 AND abs(s.px - v.x0) <= 250 AND abs(s.py - v.y0) <= 250),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lid, k ORDER BY d2, sid) AS r FROM m WHERE d2 <= 3600) WHERE r = 1),
+c AS (SELECT lid, speed, count(*) AS n FROM b GROUP BY lid, speed), a AS (SELECT lid, CASE WHEN sum(n) >= 2 THEN arg_min(speed, struct_pack(a := -n, b := speed)) END AS city FROM c GROUP BY lid)"""
+
+
+@query("prj4_modal_speed_priority", sql(_MODAL + """ SELECT l.lid, city AS speed_city, CASE WHEN city IS NOT NULL THEN city WHEN lanes = 4 THEN 35.0 ELSE 30.0 END AS posted_speed_mph,
+ CASE WHEN city IS NOT NULL THEN 'city' WHEN lanes = 4 THEN 'osm' WHEN highway IN ('residential', 'unclassified', 'living_street') THEN 'default_30_local' ELSE 'default_30_unposted' END AS speed_source FROM lns l LEFT JOIN a USING (lid)""", "lns", "vls"))
+def modal_speed_priority(spark, d):
+    lines = fx.lines(spark, d).withColumn("geometry", g.line((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))))
+    got = s.snap_match(lines, fx.value_lines(spark, d).where("speed > 0"), {"speed": "mode"}).select("lid", F.col("speed").alias("speed_city"))
     base = fx.lines(spark, d).withColumn("maxspeed_mph", F.when(F.col("lanes") == 4, F.lit(35.0)))
-    return conflate.with_speed(base.join(got, "lid", "left")).select("lid", "posted_speed_mph", "speed_source")
+    return conflate.with_speed(base.join(got, "lid", "left")).select("lid", "speed_city", "posted_speed_mph", "speed_source")
 
 
 @query("prj5_lanes_width_median", sql("""SELECT lid, CASE WHEN lid % 3 = 0 THEN CAST(lid % 4 + 1 AS DOUBLE) WHEN lanes IS NOT NULL THEN lanes WHEN highway IN ('residential', 'unclassified') THEN 2.0 END AS lanes_final,

@@ -254,3 +254,86 @@ def test_hanging_groups_absorb_as_names_do(spark, monkeypatch):
     by_name = held()
     monkeypatch.setattr(network, "STREET_PIECES", 5)
     assert held() == by_name and by_name[1]
+
+
+@pytest.mark.parametrize("boundary", ["outside", "inside", "half_open"])
+def test_points_on_edges(spark, boundary):
+    """All sides, corners and the rim of a hole, of a rectangle and of a triangle with a slanted side."""
+    rings = {1: [[(0, 0), (10, 0), (10, 10), (0, 10)], [(4, 4), (6, 4), (6, 6), (4, 6)]], 2: [[(20, 0), (28, 4), (20, 8)]]}
+    edges = spark.createDataFrame([(z, *map(float, (*a, *b))) for z, all_ in rings.items() for r in all_ for a, b in zip(r, r[1:] + r[:1])], "zone_id long, x0 double, y0 double, x1 double, y1 double")
+    rims = [(0, 5), (10, 5), (5, 0), (5, 10), (0, 0), (10, 0), (10, 10), (0, 10), (4, 5), (6, 5), (5, 4), (5, 6), (4, 4), (6, 6), (24, 2), (26, 5), (28, 4), (20, 3), (20, 8)]
+    inner, outer = [(2, 5), (5, 2), (9.5, 5), (2, 4), (2, 6), (2, 9.999), (22, 4), (24, 4)], [(5, 5), (-1, 5), (11, 5), (5, 11), (-1, 0), (-1, 10), (11, 4), (19, 4), (29, 4), (28, 0)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rims + inner + outer)], "pid long, px double, py double")
+    got = {r.pid for r in spatial.zones_of_points(points, edges, 3.0, boundary=boundary).collect()}
+    n, m = len(rims), len(rims) + len(inner)
+    assert got - set(range(n)) == set(range(n, m))
+    assert got & set(range(n)) == {"outside": set(), "inside": set(range(n)), "half_open": got & set(range(n))}[boundary]
+    with pytest.raises(ValueError):
+        spatial.zones_of_points(points, edges, 3.0, boundary="open")
+
+
+def test_nearest_of_points_far_off(spark):
+    """Millions of feet away, without coordinates, by group; the pyramid has no last round."""
+    rng = random.Random(8)
+    points = {i: (rng.uniform(-5e6, 5e6), rng.choice([0.0, 1e6, -3e6]) + rng.uniform(-50, 50)) for i in range(120)}
+    pieces = {k: (x := rng.uniform(-2000, 2000), y := rng.uniform(-2000, 2000), x + rng.uniform(-90, 90), y + rng.uniform(-90, 90)) for k in range(150)}
+    pieces[999] = (4e6, 4e6, 4.001e6, 4e6)
+    nan = float("nan")
+    p = spark.createDataFrame([*((i, i % 3, *v) for i, v in points.items()), (500, 1, None, 1.0), (501, 1, 1.0, None), (502, 1, nan, 2.0), (503, 7, 0.0, 0.0)], "pid long, g long, px double, py double")
+    s = spark.createDataFrame([(k, k % 3, *v) for k, v in pieces.items()], "lid long, h long, x0 double, y0 double, x1 double, y1 double")
+    got = dict(pairs(spatial.nearest_unbounded(p, s, 5.0), "pid", "lid"))
+    nowhere = dict.fromkeys([500, 501, 502])
+    assert {k: v for k, v in got.items() if k < 500} == brute_nearest(points, pieces, 1e18) and {k: got[k] for k in nowhere} == nowhere
+    by = dict(pairs(spatial.nearest_unbounded(p, s, 5.0, group=("g", "h")), "pid", "lid"))
+    want = {}
+    for h in range(3):
+        want |= brute_nearest({i: v for i, v in points.items() if i % 3 == h}, {k: v for k, v in pieces.items() if k % 3 == h}, 1e18)
+    assert by == want | nowhere
+
+
+def test_crowded_cells_are_cut_into_blocks(spark):
+    """Half of all points in one cell: the pairs stay the same and no key holds more than about a block."""
+    rng = random.Random(9)
+    points = {i: (rng.uniform(0, 20), rng.uniform(0, 20)) if i % 2 else (rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(4000)}
+    pieces = {k: (x := rng.uniform(0, 60), y := rng.uniform(0, 60), x + 9, y - 5) for k in range(300)}
+    p = spark.createDataFrame([(i, *v) for i, v in points.items()], "pid long, px double, py double")
+    s = spark.createDataFrame([(k, *v) for k, v in pieces.items()], "lid long, x0 double, y0 double, x1 double, y1 double")
+    plain, cut = (sorted((r.pid, r.lid) for r in spatial.near_pairs(p, s, 20.0, 20.0, crowd=c).collect()) for c in (10**9, 100))
+    assert plain == cut and len(plain) > 10_000
+    sides = spatial.with_cell(p, 20.0), spatial.cover(s, 20.0, 20.0)
+    keys = {}
+    for r in spatial.cell_join(*sides, crowd=100).groupBy("cx", "cy", "pid").count().collect():
+        keys[r.cx, r.cy] = keys.get((r.cx, r.cy), 0) + 1
+    assert max(keys.values()) > 1900  # the cell is crowded
+    dealt = spatial.blocks(*sides, crowd=100)[0].groupBy("cx", "cy", "__l", "__r").count().collect()
+    assert max(r["count"] for r in dealt) <= 200
+
+
+def test_sides_of_a_long_odd_cycle(spark):
+    """Rounds grow with the logarithm of an odd cycle's length; every component's least node is on side 0."""
+    rng = random.Random(5)
+    n = 10_001
+    ring = rng.sample(range(n), n)
+    even = rng.sample(range(20_000, 20_400), 400)
+    edges = [*zip(ring, ring[1:] + ring[:1]), *zip(even, even[1:] + even[:1])]
+    rows = {r.node: r for r in network.two_sides(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert len(rows) == n + 400 and rows[0].side == 0 and rows[20_000].side == 0
+    assert {r.component for r in rows.values()} == {0, 20_000}
+    assert all(r.conflict == (r.component == 0) for r in rows.values())
+    assert sum(rows[a].side == rows[b].side for a, b in edges) == 1
+
+
+def test_absorption_in_rounds_is_that_in_sequence(spark):
+    """Random streets with loops, parallel lines, equal lengths, falling chains and a crowded node."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(500):
+        name = rng.choice(["A", "A", "A", "B", "C", None])
+        u, v = rng.randint(0, 160), rng.randint(0, 160)
+        rows.append((k, name, u, v if rng.random() < 0.9 else u, float(rng.choice([20, 30, 30, 45, 60, 99, 100, 150, 400]))))
+    rows += [(1000 + k, "A", 500 + k, 501 + k, 90.0 - k) for k in range(8)] + [(2000 + k, "B", 900, 901 + k, float(rng.randint(10, 300))) for k in range(60)]
+    df = spark.createDataFrame(rows, "seg_id long, name string, u long, v long, length_ft double")
+    (one, into), (two, also) = (network.absorb_short(df, street_pieces=n) for n in (10_000, 0))
+    assert pairs(one, "seg_id", "name", "u", "v", "length_ft") == pairs(two, "seg_id", "name", "u", "v", "length_ft")
+    assert pairs(into, "seg_id", "absorbed_into") == pairs(also, "seg_id", "absorbed_into") and into.count() > 60
+    assert sum(r.length_ft for r in one.collect()) == sum(r[4] for r in rows)
