@@ -53,18 +53,22 @@ def judge_pages(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     A null URL, or one without ``://``, has an empty host and path. Repeated rows stay as many rows. An empty table gives
     no rows; other columns are left out, so extra ones cannot clash.
     """
-    shapes = rules.select("labels", "width").distinct().collect()  # host labels x path widths of rules, not of pages
+    shapes = rules.groupBy("labels").agg(F.collect_set("width").alias("widths"))  # a row for each number of host labels
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     pages = pages.select("page_id", "url").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    depth, long = F.size(F.split("host", r"\.")), F.length("path")
-    expressions = [F.when((depth >= x.labels) & (long >= x.width) & (F.col("host") != ""), F.concat(F.substring_index("host", ".", -x.labels), F.substring("path", 1, x.width))) for x in shapes]
-    # The first expression, always null, keeps pages that have no other and counts repeated rows.
-    spread = pages.select("*", F.posexplode(F.array(F.lit(None).cast("string"), *expressions)).alias("at", "expression"))
-    spread = spread.where((F.col("at") == 0) | F.col("expression").isNotNull()).withColumn("full", F.sha2("expression", 256))
+    # Suffixes of n labels, each with the prefixes that rules of as many labels have. The suffix of none keeps pages that
+    # have no other expression and counts repeated rows.
+    depth = F.when(F.col("host") != "", F.size(F.split("host", r"\."))).otherwise(0)
+    suffixes = pages.select("*", F.explode(F.sequence(F.lit(0), depth)).alias("n"))
+    shaped = suffixes.join(F.broadcast(shapes) if small else shapes, F.col("n") == F.col("labels"), "left")
+    fitting = F.filter(F.coalesce("widths", F.array().cast("array<int>")), lambda w: w <= F.length("path"))
+    spread = shaped.select("page_id", "url", "host", "path", "n", F.explode(F.when(F.col("n") == 0, F.array(F.lit(0))).otherwise(fitting)).alias("width"))
+    expression = F.when(F.col("n") > 0, F.expr("concat(substring_index(host, '.', -n), substring(path, 1, width))"))
+    spread = spread.withColumn("full", F.sha2(expression, 256))
     known = rules.select("rule", F.col("verdict").alias("said"), "digest", F.substring("digest", 1, PREFIX_DIGITS).alias("short"))
     met = spread.join(F.broadcast(known) if small else known, (F.substring("full", 1, PREFIX_DIGITS) == F.col("short")) & (F.col("full") == F.col("digest")), "left")
     best = met.groupBy("page_id", "url", "host", "path").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("size"), "rule", "said"))).alias("best"),
-        F.count_if(F.col("at") == 0).alias("times"),
+        F.count_if(F.col("n") == 0).alias("times"),
     )
     return best.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
