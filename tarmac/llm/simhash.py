@@ -35,8 +35,9 @@ PAIRS_UP_TO = 64
 #: Partitions of a wide fingerprint, and shingles drawn for each. Texts of similarity s share a partition with a chance of
 #: 1 - (1 - s ** SAMPLE) ** VIEWS: 0.999 at 0.8.
 VIEWS, SAMPLE = 10, 3
-#: Members of a bucket of wide fingerprints that are verified pair by pair at most.
-SIMILAR_PAIRS_UP_TO = 32
+#: Members of a bucket of wide fingerprints that are verified pair by pair at most, and those of a bucket of later rounds,
+#: of which only pairs count that are not joined yet.
+SIMILAR_PAIRS_UP_TO, FURTHER_PAIRS_UP_TO = 32, 256
 _DRAW = np.random.default_rng(8)
 _DRAW_XOR, _DRAW_ODD = (_DRAW.integers(0, 1 << 32, VIEWS * SAMPLE, np.uint32) for _ in range(2))
 _SCATTER = np.uint64(0x9E3779B97F4A7C15)
@@ -320,32 +321,35 @@ def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
     Buckets of up to SIMILAR_PAIRS_UP_TO nodes are verified pair by pair. In a larger one all nodes are verified against
     its leader, the node whose buckets are the most crowded (of copies of one text, mostly the text itself). Nodes that are
     not similar to the leader go on to the next round: two of them that are similar share a shingle that the leader lacks
-    (see ``_beyond_leader``), so they meet again in buckets by such shingles. A group of k copies thus costs k pairs, not k
-    squared. Links that only a further round would show, between texts that differ from the leaders of all their large
+    (see ``_beyond_leader``), so they meet again in buckets by such shingles, where pairs that links have joined by then are
+    left out and buckets of up to FURTHER_PAIRS_UP_TO go pair by pair. A group of k copies thus costs k pairs, not k squared. Links that only a further round would show, between texts that differ from the leaders of all their large
     buckets, are not looked for, so that of such a group more than one text may stay. ``sets`` gives the shingle arrays.
     """
     sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n")).where("n > 1")
-    held = cut_lineage(rows.join(sizes, ["view", "value"]).withColumn("open", F.lit(True)))
+    held = cut_lineage(rows.join(sizes, ["view", "value"]).withColumns({"open": F.lit(True), "joined": F.col("node")}))
     arrays = cut_lineage(sets(held.select("node").distinct()))  # nodes of later rounds are among these
     links = None
     for k in range(rounds):
-        small, large = held.where(F.col("n") <= SIMILAR_PAIRS_UP_TO), held.where(F.col("n") > SIMILAR_PAIRS_UP_TO)
-        a, b = (small.select("view", "value", F.col("node").alias(x), F.col("open").alias(f"open_{x}")) for x in ("src", "dst"))
-        pairs = a.join(b, ["view", "value"]).where("src < dst and (open_src or open_dst)").select("src", "dst")
+        most = FURTHER_PAIRS_UP_TO if k else SIMILAR_PAIRS_UP_TO
+        small, large = held.where(F.col("n") <= most), held.where(F.col("n") > most)
+        a, b = (small.select("view", "value", F.col("node").alias(x), F.col("open").alias(f"open_{x}"), F.col("joined").alias(f"joined_{x}")) for x in ("src", "dst"))
+        pairs = a.join(b, ["view", "value"]).where("src < dst and (open_src or open_dst) and joined_src <> joined_dst").select("src", "dst")
         crowd = large.groupBy("node").agg(F.sum("n").alias("crowd"))
-        best = F.max_by("node", F.struct("crowd", F.xxhash64("node")))
-        leaders = large.join(crowd, "node").groupBy("view", "value").agg(best.alias("leader"))
-        led = cut_lineage(large.join(leaders, ["view", "value"]).where("node <> leader").groupBy("leader", "node").agg(F.max("open").alias("open")))
-        way = led.where("open").select(F.least("leader", "node").alias("src"), F.greatest("leader", "node").alias("dst"))
+        best = F.max_by(F.struct("node", "open"), F.struct("crowd", F.xxhash64("node")))
+        leaders = large.join(crowd, "node").groupBy("view", "value").agg(best.alias("x")).select("view", "value", F.col("x.node").alias("leader"), F.col("x.open").alias("leads_open"))
+        led = cut_lineage(large.join(leaders, ["view", "value"]).where("node <> leader").groupBy("leader", "node").agg(F.max("open").alias("open"), F.max("leads_open").alias("leads_open")))
+        way = led.where("open or leads_open").select(F.least("leader", "node").alias("src"), F.greatest("leader", "node").alias("dst"))
         found = cut_lineage(_verified(pairs.unionByName(way).distinct(), arrays, share))
         links = found if links is None else links.unionByName(found)
         met = found.select("src", "dst").unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("leader"), F.col("dst").alias("node"), F.lit(True).alias("met"))
         if k == rounds - 1:
             return links
         led = led.join(met, ["leader", "node"], "left").withColumn("open", F.col("open") & F.col("met").isNull()).drop("met")
-        keys = cut_lineage(_beyond_leader(led, arrays, share))
-        sizes = keys.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").drop("any")
-        held = cut_lineage(keys.join(sizes, ["view", "value"]))
+        groups = connected_components(links)
+        keys = _beyond_leader(led, arrays, share).join(groups, "node", "left").withColumn("joined", F.coalesce("component", "node")).drop("component")
+        keys = cut_lineage(keys)
+        sizes = keys.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("open").alias("any"), (F.min("joined") < F.max("joined")).alias("several")).where("n > 1 and any and several")
+        held = cut_lineage(keys.join(sizes.select("view", "value", "n"), ["view", "value"]))
     return links
 
 
