@@ -38,6 +38,8 @@ VIEWS, SAMPLE = 10, 3
 #: Members of a bucket of wide fingerprints that are verified pair by pair at most, and those of a bucket of later rounds,
 #: of which only pairs count that are not joined yet.
 SIMILAR_PAIRS_UP_TO, FURTHER_PAIRS_UP_TO = 32, 256
+#: Bits that stand for the shingles of a node where pairs are told apart before their shingles are fetched.
+SKETCH = 512
 _DRAW = np.random.default_rng(8)
 _DRAW_XOR, _DRAW_ODD = (_DRAW.integers(0, 1 << 32, VIEWS * SAMPLE, np.uint32) for _ in range(2))
 _SCATTER = np.uint64(0x9E3779B97F4A7C15)
@@ -328,12 +330,14 @@ def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
     sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n")).where("n > 1")
     held = cut_lineage(rows.join(sizes, ["view", "value"]).withColumns({"open": F.lit(True), "joined": F.col("node")}))
     arrays = cut_lineage(sets(held.select("node").distinct()))  # nodes of later rounds are among these
+    sketches = cut_lineage(arrays.select("node", F.size("shingles").alias("size"), _sketch("shingles").alias("bits")))
     links = None
     for k in range(rounds):
         most = FURTHER_PAIRS_UP_TO if k else SIMILAR_PAIRS_UP_TO
         small, large = held.where(F.col("n") <= most), held.where(F.col("n") > most)
-        a, b = (small.select("view", "value", F.col("node").alias(x), F.col("open").alias(f"open_{x}"), F.col("joined").alias(f"joined_{x}")) for x in ("src", "dst"))
-        pairs = a.join(b, ["view", "value"]).where("src < dst and (open_src or open_dst) and joined_src <> joined_dst").select("src", "dst")
+        seen = small.join(sketches, "node")
+        a, b = (seen.select("view", "value", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("open", "joined", "size", "bits"))) for x in ("src", "dst"))
+        pairs = a.join(b, ["view", "value"]).where("src < dst and (open_src or open_dst) and joined_src <> joined_dst").where(_may_be_similar(share)).select("src", "dst")
         crowd = large.groupBy("node").agg(F.sum("n").alias("crowd"))
         best = F.max_by(F.struct("node", "open"), F.struct("crowd", F.xxhash64("node")))
         leaders = large.join(crowd, "node").groupBy("view", "value").agg(best.alias("x")).select("view", "value", F.col("x.node").alias("leader"), F.col("x.open").alias("leads_open"))
@@ -353,6 +357,24 @@ def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
     return links
 
 
+def _sketch(shingles: str) -> F.Column:
+    """SKETCH bits, 64 a number, of which each shingle sets one."""
+
+    def number(k: int) -> F.Column:
+        bit = lambda x: F.when(F.pmod(F.shiftright(x, 6), F.lit(SKETCH // 64)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda held, x: held.bitwiseOR(bit(x)))
+
+    return F.array(*map(number, range(SKETCH // 64)))
+
+
+def _may_be_similar(share: float) -> F.Column:
+    """True for every similar pair (size_src, bits_src, size_dst, bits_dst): similar nodes share so much of both that few
+    shingles of either are missing in the other, and at least as many are as bits of the one not set in the other."""
+    shared = F.ceil(share / (1 + share) * (F.col("size_src") + F.col("size_dst")) - 1e-9)
+    missing = lambda a, b: sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(SKETCH // 64)), F.lit(0))
+    return (missing("bits_src", "bits_dst") <= F.col("size_src") - shared) & (missing("bits_dst", "bits_src") <= F.col("size_dst") - shared)
+
+
 def _beyond_leader(led: DataFrame, arrays: DataFrame, share: float) -> DataFrame:
     """``view, value, node, open``: buckets of nodes (leader, node, open) of one leader by shingles that it lacks.
 
