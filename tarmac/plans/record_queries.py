@@ -106,6 +106,11 @@ def valid_readings(spark, d):
     return fx.readings(spark, d).where("ok and adt > 50000").groupBy("station_id").agg(F.count("*").alias("n"))
 
 
+@query("flt5_complete_readings", sql("SELECT station_id, order_key, line_no, adt FROM rdg WHERE ok AND adt > 0", "rdg"))
+def complete_readings(spark, d):
+    return fx.readings(spark, d).where("ok and adt > 0").select("station_id", "order_key", "line_no", "adt")
+
+
 @query("flt6_posted_lines", sql("SELECT sid, speed FROM vls WHERE speed > 0", "vls"))
 def posted_lines(spark, d):
     return fx.value_lines(spark, d).where("speed is not null and speed > 0").select("sid", "speed")
