@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from tarmac.llm.common import raw_bytes
 from tarmac.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, tokens, url_rules, wavelet
@@ -219,6 +220,37 @@ def test_a_line_in_most_documents_crosses_partitions(spark):
     assert all(line_dedup.kept_lines(bytes(r.keep), r.n_lines).tolist() == [1] for r in bitmaps)
 
 
+def test_lines_by_small_batches(spark):
+    rng = random.Random(11)
+    some = [f"a line of at least twenty marks {i}" for i in range(12)]
+    rows = [(rng.randrange(40), "\n".join(rng.choice(some[: rng.choice((3, 12))]) for _ in range(rng.randrange(12)))) for _ in range(120)]
+    rows += [(None, "\n".join(rng.choice(some) for _ in range(30))) for _ in range(9)] + [(50, "\n".join([some[0]] * 3000)), (51, some[0])] + rows[:9]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = {}
+    for d, text in rows:
+        for x in text.split("\n"):
+            seen.setdefault(x, set()).add(d)
+    order = lambda d: (d is not None, d or 0)
+    stays = lambda d, x: len(x) < 20 or len(seen[x]) < 3 or max(seen[x], key=order) == d
+    want = {(d, text): [k for k, x in enumerate(text.split("\n")) if stays(d, x)] for d, text in rows}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for parts, held in ((1, 10_000), (1, 2), (2, 0), (5, 3), (9, 10_000)):
+            bitmaps = line_dedup.line_keep_bitmaps(df, partitions=parts, most_held=held)
+            found = df.withColumn("row", F.xxhash64("text")).distinct().join(bitmaps.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")) & (bitmaps.row == F.xxhash64("text")), "left").collect()
+            got = {(r.doc_id, r.text): list(range(r.text.count("\n") + 1)) if r.keep is None else line_dedup.kept_lines(bytes(r.keep), r.n_lines).tolist() for r in found}
+            assert got == want and all(r.keep is None or r.n_dropped == r.n_lines - len(got[r.doc_id, r.text]) for r in found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_a_line_many_times_is_one_row(spark):
+    df = spark.createDataFrame([(i, "\n".join(["a line that stands here many times"] * n)) for i, n in ((3, 200_000), (2, 2), (1, 1))], "doc_id long, text string")
+    assert line_dedup.line_hashes(df).count() == 3
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()} == {3: 0, 2: 2, 1: 1}
+
+
 def test_decontamination(spark, docs):
     items = [(0, _PASSAGE.upper() + "!"), (1, None), (2, ""), (3, "one"), (4, "one two"), (5, "nowhere to be found at all in these documents"), (6, "word word word word word word"), (6, "word word word word word word"), (7, _PASSAGE + " followed by seven other words and then some more of them still")]
     df = spark.createDataFrame(items, "item_id long, text string")
