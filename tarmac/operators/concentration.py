@@ -73,3 +73,23 @@ def exact_quantiles(df: DataFrame, value: str, wanted: dict[str, float]) -> Data
     ends = held.agg(*(at(f(q * (F.col("total") - 1))).alias(f"{k}_{n}") for k, q in wanted.items() for n, f in (("low", F.floor), ("high", F.ceil))), F.first("total").alias("total"))
     part = lambda q: q * (F.col("total") - 1) - F.floor(q * (F.col("total") - 1))
     return ends.select(*((F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(F.lit(q))).alias(k) for k, q in wanted.items()))
+
+
+def grouped_medians(df: DataFrame, by: str, value: str, name: str = "median", blocks: int | None = None) -> DataFrame:
+    """``by, name``: the exact median (mean of the middle two) of the known values of each group; groups without any are absent.
+
+    Values are counted, then range-partitioned by group and value, so that a group with most rows lies over many tasks.
+    Counts run up inside the blocks; each block's total of a group, one row for both, places it among the others. A null
+    group is a group.
+    """
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    parted = checkpoint(counts.repartitionByRange(n, "g", "v").withColumn("block", F.spark_partition_id()))
+    group = Window.partitionBy("g")
+    before = group.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parted.groupBy("block", "g").agg(F.sum("n").alias("part"))
+    parts = parts.select(F.col("block").alias("b"), F.col("g").alias("h"), F.coalesce(F.sum("part").over(before), F.lit(0)).alias("start"), F.sum("part").over(group).alias("total"))
+    upto = parted.withColumn("cum", F.sum("n").over(Window.partitionBy("block", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = upto.join(parts, (F.col("block") == F.col("b")) & F.col("g").eqNullSafe(F.col("h")))
+    at = lambda rank: F.min(F.when(F.col("start") + F.col("cum") > rank, F.col("v")))
+    return ranked.groupBy("g").agg(((at(F.floor((F.col("total") - 1) / 2)) + at(F.ceil((F.col("total") - 1) / 2))) / 2).alias(name)).withColumnRenamed("g", by)

@@ -99,3 +99,15 @@ def version_diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str
 def passed(results: DataFrame) -> bool:
     """Whether no error is open; warnings don't count."""
     return results.where("level = 'error' and not ok").limit(1).count() == 0
+
+
+def row_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``key, change`` (added, removed, changed) between two versions with the same columns; rows that are alike are left out.
+
+    Keys are unique; a null key is one. Rows are compared by their values, nulls being alike, after one join on the key.
+    """
+    rest = [c for c in new.columns if c != key]
+    a, b = (df.select(F.col(key).alias(f"__{n}"), F.struct(*rest).alias(n)) for df, n in ((old, "old"), (new, "new")))
+    both = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), F.col("__old").eqNullSafe(F.col("__new")), "full")
+    change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    return both.select(F.when(F.col("__b"), F.col("__new")).otherwise(F.col("__old")).alias(key), change.alias("change")).where("change is not null")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import tags
+from tarmac.operators.concentration import grouped_medians
 
 #: The coordinate box of valid records, inclusive.
 LAT_MIN, LAT_MAX, LON_MIN, LON_MAX = 29.4, 30.2, -95.9, -94.9
@@ -106,7 +107,7 @@ def latest(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str])
 
 def filled_by_group(df: DataFrame, group: str, value: str, filled: str, source: str) -> DataFrame:
     """``filled``: the value, else the median of the group's values; ``source``: measured, street_median, or null."""
-    medians = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group).agg(F.median(value).alias("__median"))
+    medians = grouped_medians(df.where(F.col(group).isNotNull()).select(group, value), group, value, "__median")
     joined = df.join(medians, group, "left")
     where = F.when(F.col(value).isNotNull(), "measured").when(F.col("__median").isNotNull(), "street_median")
     return joined.withColumns({filled: F.coalesce(F.col(value), F.bround("__median", 0)), source: where}).drop("__median")

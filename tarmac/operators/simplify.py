@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _reduced(points: list, most: float) -> list:
+def reduced(points: list, most: float) -> list:
     """Douglas-Peucker without recursion: the points farther than ``most`` from the chords that are kept."""
     keep, open_ = {0, len(points) - 1}, [(0, len(points) - 1)]
     while open_:
@@ -37,7 +37,7 @@ def simplify(df: DataFrame, most: float, points: str = "geometry") -> DataFrame:
             made = []
             for line in batch[points]:
                 flat = [] if line is None else [(p["x"], p["y"]) for p in line]
-                made.append(None if line is None else [{"x": x, "y": y} for x, y in (_reduced(flat, most) if len(flat) > 2 else flat)])
+                made.append(None if line is None else [{"x": x, "y": y} for x, y in (reduced(flat, most) if len(flat) > 2 else flat)])
             yield batch.assign(**{points: pd.Series(made, index=batch.index, dtype=object)})
 
     return df.mapInPandas(run, df.schema)

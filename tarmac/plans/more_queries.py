@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as g
@@ -10,6 +12,9 @@ from tarmac.operators import conflate, records
 from tarmac.operators import contract as dq
 from tarmac.operators import network as n
 from tarmac.operators import spatial as s
+from tarmac.operators.concentration import grouped_medians
+from tarmac.operators.graph import shared_folder
+from tarmac.operators.outlines import shared_outlines
 from tarmac.operators.simplify import simplify
 from tarmac.plans.analysis_queries import facts
 from tarmac.plans.registry import query
@@ -71,7 +76,9 @@ def lowest_mode(spark, d):
 
 @query("agg4_median_mean", sql("SELECT highway, round(median(length_ft), 6) AS mid, round(avg(length_ft), 6) AS mean FROM lns GROUP BY highway", "lns"))
 def median_mean(spark, d):
-    return fx.lines(spark, d).groupBy("highway").agg(F.round(F.median("length_ft"), 6).alias("mid"), F.round(F.avg("length_ft"), 6).alias("mean"))
+    lines = fx.lines(spark, d)
+    means = lines.groupBy("highway").agg(F.round(F.avg("length_ft"), 6).alias("mean"))
+    return grouped_medians(lines, "highway", "length_ft", "mid").select("highway", F.round("mid", 6).alias("mid")).join(means, "highway")
 
 
 @query("mth5_tolerance", sql("SELECT lid, least(greatest(coalesce(lanes * 12, 24) / 2 + 25, 30), 60) AS reach FROM lns", "lns"))
@@ -192,3 +199,35 @@ def sentinels(spark, d):
 def width_source(spark, d):
     base = fx.lines(spark, d).withColumns({"lanes_city": F.lit(None).cast("double"), "lane_width_city": F.lit(None).cast("double")})
     return conflate.with_lanes(base).select("lid", "width_source")
+
+
+def _bordering(spark, d):
+    """Zones side by side in a grid, from nation: every border has a bend in the middle that both its zones have."""
+    n = spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey as zone_id", "n_nationkey % 5 as c", "n_nationkey div 5 as r")
+    up = lambda c: f"((({c}) * 7 + r * 3) % 5 - 2) * 60"  # noqa: E731  an upright border's bend
+    flat = lambda r: f"((c * 5 + ({r}) * 2) % 7 - 3) * 45"
+    ring = [("c * 2000", "r * 2000"), ("c * 2000 + 1000", f"r * 2000 + {flat('r')}"), ("c * 2000 + 2000", "r * 2000"), (f"c * 2000 + 2000 + {up('c + 1')}", "r * 2000 + 1000"), ("c * 2000 + 2000", "r * 2000 + 2000"), ("c * 2000 + 1000", f"r * 2000 + 2000 + {flat('r + 1')}"), ("c * 2000", "r * 2000 + 2000"), (f"c * 2000 + {up('c')}", "r * 2000 + 1000")]
+    start = "cast(zone_id * 3 % 8 as int)"  # each zone's ring begins elsewhere
+    points = "array(" + ", ".join(f"struct(cast({x} as double) as x, cast({y} as double) as y)" for x, y in ring) + ")"
+    return n.selectExpr("zone_id", "0 as ring", f"{points} as p").selectExpr("zone_id", "ring", f"concat(slice(p, {start} + 1, 8), slice(p, 1, {start})) as geometry")
+
+
+@query("geo14_shared_outlines", """WITH n AS (SELECT n_nationkey AS zone_id, n_nationkey % 5 AS c, n_nationkey // 5 AS r FROM nation), k AS (SELECT unnest([0, 1]) AS k),
+b AS (SELECT zone_id, 'upright' AS kind, (c + k) * 2000 AS x, r * 2000 + 1000 AS y, (((c + k) * 7 + r * 3) % 5 - 2) * 60 AS bend FROM n, k UNION ALL SELECT zone_id, 'flat', c * 2000 + 1000, (r + k) * 2000, ((c * 5 + (r + k) * 2) % 7 - 3) * 45 FROM n, k)
+SELECT zone_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (SELECT zone_id, (c + k.k) * 2000 AS x, (r + l.k) * 2000 AS y FROM n, k, k AS l
+ UNION ALL SELECT zone_id, CASE kind WHEN 'upright' THEN x + bend ELSE x END, CASE kind WHEN 'flat' THEN y + bend ELSE y END FROM b WHERE abs(bend) > 100)""")
+def shared_borders(spark, d):
+    made = shared_outlines(_bordering(spark, d), 100.0)
+    return made.select("zone_id", F.explode(F.array_distinct("geometry")).alias("p")).select("zone_id", "p.x", "p.y")
+
+
+@query("snk2_published_versions", sql("SELECT lid, CASE WHEN lid % 7 = 0 THEN 'added' WHEN lid % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM lns WHERE (lid % 7 = 0) <> (lid % 5 = 0) OR (lid % 7 <> 0 AND lanes >= 4)", "lns"))
+def published_versions(spark, d):
+    """Two versions published one after the other, read back, and compared row by row."""
+    folder = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    lines = fx.lines(spark, d).select("lid", "name", "lanes")
+    old = lines.where("lid % 7 <> 0")
+    new = lines.where("lid % 5 <> 0").withColumn("lanes", F.expr("case when lanes >= 4 then lanes - 1 else lanes end"))
+    writers.publish({"segments": old, "streets": old.select("name").distinct()}, folder)
+    writers.publish({"segments": new}, folder)
+    return dq.row_changes(writers.published(spark, folder, 1)["segments"], writers.published(spark, folder)["segments"], "lid")

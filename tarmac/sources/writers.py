@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions import geometry as g
@@ -18,6 +20,47 @@ def write_layers(layers: Mapping[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_version(layers: Mapping[str, DataFrame], folder: str) -> str:
+    """Writes all layers beside the earlier versions and gives the new one's name; readers do not see it yet."""
+    version = uuid.uuid4().hex
+    for name, df in layers.items():
+        df.write.parquet(f"{folder}/data/{version}/{name}")
+    return version
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame:
+    """``number, version, layers`` of what was published in a folder; no rows if nothing was."""
+    kind = "number long, version string, layers array<string>"
+    try:
+        return spark.read.schema(kind).parquet(f"{folder}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kind)
+
+
+def switch_to(spark: SparkSession, folder: str, version: str, layers: Sequence[str]) -> None:
+    """Lets readers see a version: one row in one file, which the committer of the write renames into place at once."""
+    last = versions(spark, folder).agg(F.max("number")).first()[0]
+    row = spark.createDataFrame([((last or 0) + 1, version, list(layers))], "number long, version string, layers array<string>")
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+
+
+def publish(layers: Mapping[str, DataFrame], folder: str) -> str:
+    """All layers as one version: a job that ends early leaves the version before, whole."""
+    version = write_version(layers, folder)
+    switch_to(next(iter(layers.values())).sparkSession, folder, version, list(layers))
+    return version
+
+
+def published(spark: SparkSession, folder: str, back: int = 0) -> dict[str, DataFrame]:
+    """The layers of the newest version, or of the one published ``back`` times before it."""
+    found = versions(spark, folder).orderBy(F.desc("number"), F.desc("version")).limit(back + 1).collect()
+    if len(found) <= back:
+        raise ValueError("no such version")
+    return {name: spark.read.parquet(f"{folder}/data/{found[back].version}/{name}") for name in found[back].layers}
+
+
 def rounded(df: DataFrame, digits: Mapping[str, int | None]) -> DataFrame:
     """The listed columns, rounded half to even; 0 digits gives integers, None leaves a column as it is."""
     return df.select(*(F.col(c) if n is None else (F.bround(c, n).cast("long") if n == 0 else F.bround(c, n)).alias(c) for c, n in digits.items()))

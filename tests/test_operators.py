@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tarmac.functions import geometry as g
-from tarmac.operators import concentration, conflate, contract, facets, network, records, simplify, spatial
+from tarmac.operators import concentration, conflate, contract, facets, network, outlines, records, simplify, spatial
 from tarmac.operators.graph import connected_components
 from tarmac.sources import readers, writers
 
@@ -337,3 +338,103 @@ def test_absorption_in_rounds_is_that_in_sequence(spark):
     assert pairs(one, "seg_id", "name", "u", "v", "length_ft") == pairs(two, "seg_id", "name", "u", "v", "length_ft")
     assert pairs(into, "seg_id", "absorbed_into") == pairs(also, "seg_id", "absorbed_into") and into.count() > 60
     assert sum(r.length_ft for r in one.collect()) == sum(r[4] for r in rows)
+
+
+def _points(*xy):
+    return [{"x": float(x), "y": float(y)} for x, y in xy]
+
+
+def _ragged(rng, a, b, steps=40):
+    """From a to b with noise across; ends stay."""
+    mid = [(a[0] + (b[0] - a[0]) * k / steps + rng.uniform(-30, 30), a[1] + (b[1] - a[1]) * k / steps + rng.uniform(-30, 30)) for k in range(1, steps)]
+    return [a, *mid, b]
+
+
+def test_neighbours_share_their_border(spark):
+    rng = random.Random(4)
+    side = 1000
+    sides = {}
+    for c in range(4):
+        for r in range(4):
+            for a, b in (((c, r), (c + 1, r)), ((c, r), (c, r + 1))):
+                if max(*a, *b) <= 3:
+                    sides[a, b] = _ragged(rng, *((side * x, side * y) for x, y in (a, b)))
+    rings = {}
+    for c in range(3):
+        for r in range(3):
+            south, east = sides[(c, r), (c + 1, r)], sides[(c + 1, r), (c + 1, r + 1)]
+            north, west = sides[(c, r + 1), (c + 1, r + 1)][::-1], sides[(c, r), (c, r + 1)][::-1]
+            ring = [*south[:-1], *east[:-1], *north[:-1], *west[:-1]]
+            turn = rng.randrange(len(ring))
+            ring = ring[turn:] + ring[:turn]
+            rings[c * 3 + r] = ring[::-1] if rng.random() < 0.5 else ring
+    island = [(1500 + 200 * x, 1500 + 200 * y) for x, y in ((0, 0), (0.5, 0.01), (1, 0), (1, 1), (0, 1))]
+    rows = [(z, 0, _points(*ring)) for z, ring in rings.items()] + [(4, 1, _points(*island, island[0])), (9, 0, _points(*island[2:], *island[:2])), (10, 0, None), (11, 0, _points((1, 1), (2, 2))), (None, 0, _points((0, 0), (5, 0), (5, 5), (0, 0)))]
+    df = spark.createDataFrame([*rows, rows[0]], "zone_id long, ring int, geometry array<struct<x: double, y: double>>")
+    got = {(r.zone_id, r.ring): r.geometry and [(p.x, p.y) for p in r.geometry] for r in outlines.shared_outlines(df, 60.0).collect()}
+    assert set(got) == {(z, k) for z, k, _ in rows} and got[10, 0] is None and got[11, 0] == [(1, 1), (2, 2)]
+    edges = {z: {frozenset(e) for e in zip(got[z, 0], got[z, 0][1:])} for z in range(9)}
+    for c in range(3):
+        for r in range(3):
+            z = c * 3 + r
+            assert got[z, 0][0] == got[z, 0][-1] and len(edges[z]) < 60
+            assert not outlines.crosses_itself(np.array(got[z, 0][:-1]))
+            inner = [set(s) for (a, b), s in sides.items() if sum(a in x and b in x for x in [{(i, j), (i + 1, j), (i, j + 1), (i + 1, j + 1)} for i in range(3) for j in range(3)]) == 2]
+            for other in ((z + 3) if c < 2 else None, (z + 1) if r < 2 else None):
+                if other is not None:
+                    border = next(s for s in inner if s <= set(rings[z]) and s <= set(rings[other]))
+                    assert {e for e in edges[z] if e <= border} == {e for e in edges[other] if e <= border} != set()
+    assert set(got[4, 1]) == set(got[9, 0]) == {island[0], *island[2:]}
+    assert len(set(got[None, 0])) == 3
+
+
+def test_rings_that_would_cross_stay(spark):
+    # A spike reaches through a shallow notch: without the notch's point the border would cut the spike.
+    ring = [(0, 0), (1000, 0), (1000, 500), (520, 500), (500, 5), (480, 500), (0, 500)]
+    notched = [(0, 0), (490, 0), (500, -40), (510, 0), *ring[1:4], (500, -30), *ring[5:]]
+    df = spark.createDataFrame([(1, 0, _points(*notched))], "zone_id long, ring int, geometry array<struct<x: double, y: double>>")
+    (row,) = outlines.shared_outlines(df, 50.0).collect()
+
+    assert not outlines.crosses_itself(np.array([(p.x, p.y) for p in row.geometry[:-1]])) and len(row.geometry) == len(notched) + 1
+    assert outlines.crosses_itself(np.array([(0, 0), (2, 2), (2, 0), (0, 2)], float)) and not outlines.crosses_itself(np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float))
+
+
+def test_grouped_medians(spark):
+    import statistics
+
+    rng = random.Random(8)
+    rows = [("Main" if rng.random() < 0.6 else rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(60)), rng.random()])) for _ in range(900)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    want = {}
+    for g_, v in rows:
+        if v is not None:
+            want.setdefault(g_, []).append(v)
+    for blocks in (1, 7):
+        got = {r.g: r.m for r in concentration.grouped_medians(df, "g", "v", "m", blocks).collect()}
+        assert got == {k: pytest.approx(statistics.median(v)) for k, v in want.items()}
+    assert concentration.grouped_medians(df.where("false"), "g", "v").count() == 0
+
+
+def test_facets_in_one_scan(spark):
+    rows = [(y, m, w, h, y % 2 == 0) for y in (2018, 2019) for m in (1, 6) for w in (0, 3) for h in (None, 7)]
+    df = spark.createDataFrame(rows, "year int, month int, weekday int, hour int, severe boolean").selectExpr("*", "false as ped", "false as bike")
+    chosen = facets.Selection(years=frozenset([2018]), hours=frozenset([7]))
+    got = facets.facet_counts(df, chosen)
+    assert pairs(got.where("facet = 'year'"), "bucket", "n", "n_severe") == [(2018, 4, 4), (2019, 4, 0)]
+    assert {(r.bucket, r.n) for r in got.where("facet = 'hour'").collect()} == {(None, 4), (7, 4)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_a_version_is_seen_when_switched_to(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    one, two = spark.range(5).toDF("k").withColumn("v", F.lit("x")), spark.createDataFrame([(3, "x"), (4, None), (9, "y")], "k long, v string")
+    assert writers.versions(spark, folder).count() == 0
+    with pytest.raises(ValueError):
+        writers.published(spark, folder)
+    writers.publish({"t": one}, folder)
+    late = writers.write_version({"t": two}, folder)  # and the job ends here
+    assert writers.published(spark, folder)["t"].count() == 5
+    writers.switch_to(spark, folder, late, ["t"])
+    new, old = writers.published(spark, folder)["t"], writers.published(spark, folder, 1)["t"]
+    assert dict(pairs(contract.row_changes(old, new, "k"), "k", "change")) == {0: "removed", 1: "removed", 2: "removed", 4: "changed", 9: "added"}
+    assert contract.row_changes(new, new, "k").count() == 0
