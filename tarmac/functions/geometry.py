@@ -150,11 +150,16 @@ def opposed(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return (dot < 0) & (2 * dot * dot >= (dx * dx + dy * dy) * (ex * ex + ey * ey))
 
 
-def ring_area(points: Column) -> Column:
-    """Area of a ring by the shoelace rule; the last point need not repeat the first."""
+def signed_ring_area(points: Column) -> Column:
+    """Area of a ring by the shoelace rule, negative if it runs clockwise; the last point need not repeat the first."""
     n = F.size(points)
     shifted = F.concat(F.slice(points, 2, F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))
-    return F.abs(F.aggregate(F.zip_with(points, shifted, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, z: s + z)) / 2
+    return F.aggregate(F.zip_with(points, shifted, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, z: s + z) / 2
+
+
+def ring_area(points: Column) -> Column:
+    """Area of a ring, whatever its direction."""
+    return F.abs(signed_ring_area(points))
 
 
 def merge_touching(a: Column, b: Column) -> Column:

@@ -32,6 +32,18 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return totals.select(F.explode(F.array(*(c.row(F.col(f"v{i}")) for i, c in enumerate(checks)))).alias("x")).select("x.*")
 
 
+def run_checks_by(df: DataFrame, keys: Sequence[str], checks: Sequence[Check]) -> DataFrame:
+    """All checks in each group of a table, in one pass: the keys and ``check, level, value, ok``; nulls are a group."""
+    totals = df.groupBy(*keys).agg(*(c.value.alias(f"__v{i}") for i, c in enumerate(checks)))
+    return totals.select(*keys, F.explode(F.array(*(c.row(F.col(f"__v{i}")) for i, c in enumerate(checks)))).alias("__x")).select(*keys, "__x.*")
+
+
+def statuses(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys and ``errors, warnings`` (open checks of each level) and ``passed``, as ``passed`` says for a whole table."""
+    open_at = lambda error: F.count_if(((F.col("level") == "error") == error) & ~F.col("ok"))
+    return results.groupBy(*keys).agg(open_at(True).alias("errors"), open_at(False).alias("warnings")).withColumn("passed", F.col("errors") == 0)
+
+
 def row_count(low: int, high: int, name: str = "rows") -> Check:
     return Check(name, F.count("*"), low, high)
 

@@ -276,7 +276,7 @@ def overlap_share(pieces: DataFrame, other: DataFrame, reach: float, line_id: st
     Along a piece, the places within reach of another piece are one stretch, as that set is convex: its ends come from
     the circles about the other's ends and the strip along it. Stretches are put together by a running maximum.
     """
-    own = pieces.withColumn("__id", F.struct(line_id, "piece"))
+    own = pieces.where("x0 <> x1 or y0 <> y1").withColumn("__id", F.struct(line_id, "piece"))  # others have no length to share
     a = cover(own, 0.0, max(reach, 1.0)).select(line_id, "__id", "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
     b = cover(other.select("x0", "y0", "x1", "y1"), reach, max(reach, 1.0)).select("cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     met = a.join(b, ["cx", "cy"]).drop("cx", "cy").distinct()

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tarmac.functions import tags
 from tarmac.operators import network as n
 from tarmac.operators.graph import shared_folder
 from tarmac.plans.network_queries import _EDGES, _edges
@@ -29,6 +30,61 @@ def extracts(spark, d):
     return readers.csv_extracts(spark, [f"{folder}/a", f"{folder}/b"], ["Crash_ID", "Crash_Date", "Latitude"]).drop("file")
 
 
+@query("src2_person_kinds", "SELECT CAST(l_orderkey AS VARCHAR) AS Crash_ID, CAST(l_linenumber AS VARCHAR) AS Prsn_Nbr, CAST(l_quantity AS BIGINT) AS age, CASE l_linestatus WHEN 'F' THEN 'primaryperson' ELSE 'person' END AS kind FROM lineitem")
+def person_kinds(spark, d):
+    """Both person tables and the units' in one folder, told apart by the names of their files, which hold each other."""
+    folder = _folder(spark)
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey as Crash_ID", "l_linenumber as Prsn_Nbr", "1 as Prsn_Type_ID", "2 as Prsn_Injry_Sev_ID", "cast(l_quantity as long) as Prsn_Age", "l_linestatus")
+    for name, some in (("extract_primaryperson_1", rows.where("l_linestatus = 'F'")), ("extract_person_1", rows.where("l_linestatus <> 'F'")), ("extract_unit_1", rows)):
+        writers.write_csv(some.drop("l_linestatus"), folder, name)
+    return readers.persons(spark, folder).select("Crash_ID", "Prsn_Nbr", F.col("Prsn_Age").cast("long").alias("age"), "kind")
+
+
+@query("src9_column_case", sql("SELECT CAST(id AS VARCHAR) AS Crash_ID, o_orderstatus AS Status FROM crs", "crs"))
+def column_case(spark, d):
+    """Extracts whose headers spell the columns each in another case."""
+    folder = _folder(spark)
+    c = fx.crashes(spark, d).select("Crash_ID", F.col("o_orderstatus").alias("Status"))
+    for k, spell in enumerate((str.upper, str.lower, str.title)):
+        writers.write_csv(c.where(F.col("Crash_ID") % 3 == k).toDF(*map(spell, c.columns)), f"{folder}/{k}")
+    return readers.csv_extracts(spark, [f"{folder}/{k}" for k in range(3)], ["Crash_ID", "Status"]).drop("file")
+
+
+_PAGES = "WITH c AS (SELECT c_custkey AS k, c_custkey // 100 AS page FROM customer)"
+
+
+@query("src5_feature_pages", "SELECT CAST(c_custkey AS VARCHAR) AS OBJECTID, c_mktsegment AS kind FROM customer")
+def feature_pages(spark, d):
+    """Pages of a feature service, of which some repeat rows of the one before, as a table with each feature once."""
+    return readers.feature_pages(spark, _landed_pages(spark, d), ["OBJECTID", "kind"], "OBJECTID").select("OBJECTID", "kind")
+
+
+@query("src5_page_completeness", _PAGES + " SELECT 'all' AS pages, count(*) AS expected, count(*) AS found, true AS complete FROM c UNION ALL SELECT 'without one', count(*), count(*) FILTER (page <> 1 OR k % 10 = 0), count(*) FILTER (page <> 1 OR k % 10 = 0) >= count(*) FROM c")
+def completeness(spark, d):
+    """Whether all ids came: of all pages, and of those that are left when one is lost."""
+    folder, n = _landed_pages(spark, d), spark.read.parquet(f"{d}/customer.parquet").count()
+    check = lambda name, path: readers.page_completeness(readers.feature_pages(spark, path, ["OBJECTID"], "OBJECTID"), "OBJECTID", n).select(F.lit(name).alias("pages"), F.col("expected").cast("long").alias("expected"), "found", "complete")
+    return check("all", folder).unionByName(check("without one", f"{folder}/page={{[02-9],[1-9][0-9]*}}"))
+
+
+def _landed_pages(spark, d):
+    """A file for each hundred features, every tenth of them on the next page also."""
+    c = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as k", "c_mktsegment as kind", "explode(case when c_custkey % 10 = 0 then array(c_custkey div 100, c_custkey div 100 + 1) else array(c_custkey div 100) end) as page")
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("k").alias("OBJECTID"), "kind").alias("properties")))
+    pages = c.groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list(feature)), F.lit("]}")).alias("value"))
+    folder = _folder(spark)
+    pages.write.partitionBy("page").text(folder)
+    return folder
+
+
+@query("str10_geoid", "SELECT n_nationkey, lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || lpad(CAST(n_nationkey * 100 AS VARCHAR), 6, '0') || CASE WHEN n_nationkey % 4 <> 0 THEN CAST(n_nationkey % 4 AS VARCHAR) END AS geoid FROM nation")
+def geoids(spark, d):
+    """Ids of block groups from their four parts; null where one is missing."""
+    at = lambda e, n: F.lpad(F.expr(e).cast("string"), n, "0")
+    group = F.expr("case when n_nationkey % 4 <> 0 then cast(n_nationkey % 4 as string) end")
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", tags.geoid(at("n_regionkey", 2), at("n_nationkey", 3), at("n_nationkey * 100", 6), group).alias("geoid"))
+
+
 @query("src3_injury_counts", sql("SELECT CAST(id AS VARCHAR) AS Crash_ID, CAST(CASE WHEN id % 3 = 0 THEN 0 ELSE id % 5 END AS INT) AS Death_Cnt, 0 AS Non_Injry_Cnt FROM crs", "crs"))
 def injuries(spark, d):
     folder = _folder(spark)

@@ -34,6 +34,13 @@ def twins(spark, d):
     return n.twin_pairs(_chords(spark, d))
 
 
+@query("sj15_bent_twins", sql(f"""WITH c AS (SELECT b.*, l.name, l.x1 - l.x0 AS dx, l.y1 - l.y0 AS dy FROM bls b JOIN lns l USING (lid))
+SELECT DISTINCT a.lid AS src, b.lid AS dst FROM c a JOIN c b ON a.lid < b.lid AND a.name = b.name AND {near_box('a', 'b', 150)} WHERE a.dx * b.dx + a.dy * b.dy < 0 AND 2 * power(a.dx * b.dx + a.dy * b.dy, 2) >= (a.dx * a.dx + a.dy * a.dy) * (b.dx * b.dx + b.dy * b.dy) AND {piece_d2('a', 'b')} <= 22500""", "lns", "bls"))
+def bent_twins(spark, d):
+    """Twins by the directions of their chords and the distance of their nearest pieces."""
+    return n.twin_pairs(fx.bent_lines(spark, d).join(_chords(spark, d).select("lid", "name", "oneway", "ax", "ay", "bx", "by"), "lid"))
+
+
 @query("net3_twin_candidates", sql(_TWINS + " SELECT src AS lid FROM t UNION SELECT dst FROM t", "lns"))
 def candidates(spark, d):
     return n.twin_pairs(_chords(spark, d)).select(F.explode(F.array("src", "dst")).alias("lid")).distinct()

@@ -9,8 +9,8 @@ from tarmac.functions import tags
 from tarmac.operators import concentration as c
 from tarmac.operators import conflate, facets, records
 from tarmac.operators import spatial as s
-from tarmac.plans.registry import query
-from tarmac.plans.sql import near_box, piece_d2, point_d2, sql
+from tarmac.plans.registry import SQL, query
+from tarmac.plans.sql import FX, near_box, piece_d2, point_d2, sql
 from tarmac.sources import adapters as fx
 
 REACH = 200.0
@@ -210,6 +210,19 @@ def parallel(spark, d):
     return s.parallel_share(_pieces(spark, d), fx.value_lines(spark, d).withColumnRenamed("sid", "oid")).withColumn("share", F.round("share", 6))
 
 
+@query("sj10_bent_overlap", sql(f"""WITH o AS ({_OVERLAP.replace('FROM lns l', 'FROM pcs l').replace('round(coalesce(share, 0), 6)', 'coalesce(share, 0)').replace('WITH m AS', 'WITH pcs AS (SELECT lid * 10 + piece AS lid, x0, y0, x1, y1 FROM bls), m AS')})
+SELECT b.lid, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * share) / sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 6) AS share FROM bls b JOIN o ON o.lid = b.lid * 10 + b.piece WHERE x0 <> x1 OR y0 <> y1 GROUP BY b.lid""", "lns", "bls", "vls").replace("/ size", "/ nullif(size, 0)"))
+def bent_overlap(spark, d):
+    return s.overlap_share(fx.bent_lines(spark, d), fx.value_lines(spark, d), 50.0).withColumn("share", F.round("share", 6))
+
+
+@query("sj11_bent_parallel", sql(f"""WITH m AS (SELECT l.lid, l.piece, v.sid, round({piece_d2('l', 'v')}, 6) AS d2, abs((l.x1 - l.x0) * (v.y1 - v.y0) - (l.y1 - l.y0) * (v.x1 - v.x0)) <= 0.5773502691896257 * abs((l.x1 - l.x0) * (v.x1 - v.x0) + (l.y1 - l.y0) * (v.y1 - v.y0)) AS runs FROM bls l JOIN vls v ON {near_box('l', 'v', 60)}),
+b AS (SELECT lid, piece, arg_min(runs, struct_pack(d := d2, s := sid)) AS runs FROM m WHERE d2 <= 3600 GROUP BY lid, piece), w AS (SELECT lid, piece, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS long FROM bls)
+SELECT w.lid, round(sum(CASE WHEN runs THEN long ELSE 0 END) / sum(long), 6) AS share FROM w LEFT JOIN b USING (lid, piece) GROUP BY w.lid""", "lns", "bls", "vls"))
+def bent_parallel(spark, d):
+    return s.parallel_share(fx.bent_lines(spark, d), fx.value_lines(spark, d).withColumnRenamed("sid", "oid")).withColumn("share", F.round("share", 6))
+
+
 def _side_samples(spark, d):
     lines = fx.lines(spark, d)
     reach = tags.sidewalk_tolerance(F.col("lanes") * 12)
@@ -242,6 +255,13 @@ def land_use(spark, d):
     return conflate.land_use_profile(fx.lines(spark, d), hits).select("lid", "dominant", "pct_residential", "n_parcels")
 
 
+@query("sj13_bent_land_use", SQL["sj13_land_use"].replace("FROM lns l JOIN e ON", "FROM bls l JOIN e ON").replace(", pcl AS", f", bls AS ({FX['bls']}), pcl AS", 1))
+def bent_land_use(spark, d):
+    parcels = fx.parcels(spark, d)
+    hits = s.area_weighted_neighbours(fx.bent_lines(spark, d), parcels, fx.rectangle_edges(parcels), 100.0, "lu")
+    return conflate.land_use_profile(fx.lines(spark, d), hits).select("lid", "dominant", "pct_residential", "n_parcels")
+
+
 @query("agg14_equity_split", sql(_COUNTS + """, i AS (SELECT l.lid, min(z.income) AS income FROM lns l LEFT JOIN zns z ON l.x0 >= z.xa AND l.x0 < z.xb AND l.y0 >= z.ya AND l.y0 < z.yb GROUP BY l.lid), k AS (SELECT g.n_severe, i.income FROM g JOIN i USING (lid) WHERE income IS NOT NULL), mid AS (SELECT median(income) AS med FROM k)
 SELECT CAST(med AS BIGINT) AS median_income, CAST(sum(n_severe) FILTER (income < med) AS BIGINT) AS low_severe, CAST(sum(n_severe) AS BIGINT) AS severe, round(100.0 * sum(n_severe) FILTER (income < med) / sum(n_severe), 4) AS pct FROM k, mid GROUP BY med""", "pts", "lns", "zns"))
 def equity(spark, d):

@@ -29,6 +29,10 @@ FX = {
  CAST(20 + c_custkey % 60 AS DOUBLE) AS side, CASE c_mktsegment WHEN 'BUILDING' THEN 'Residential' WHEN 'AUTOMOBILE' THEN 'Commercial' WHEN 'MACHINERY' THEN 'Industrial' WHEN 'HOUSEHOLD' THEN 'Unknown' ELSE 'Other' END AS lu FROM customer)""",
 }
 
+#: The bent streets, over ``lns``.
+_BEND = {k: {c: f"CASE WHEN {k} = 0 THEN {c}0 WHEN {k} = 2 + lid % 3 THEN {c}1 ELSE {c}0 + floor(({c}1 - {c}0) * {k} / (2 + lid % 3)) + (lid * {m} * {k}) % 41 - 20 END" for c, m in (("x", 17), ("y", 29))} for k in ("piece", "(piece + 1)")}
+FX["bls"] = "SELECT lid, piece, " + ", ".join(f"{e} AS {c}{i}" for i, ends in enumerate(_BEND.values()) for c, e in ends.items()) + " FROM (SELECT *, unnest(range(2 + lid % 3)) AS piece FROM lns)"
+
 
 def point_d2(px: str, py: str, s: str) -> str:
     """Squared distance of a point from the piece of table ``s``."""

@@ -34,6 +34,28 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("length_ft", F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"))
 
 
+def bent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streets in two to four pieces, bent where they meet: lid, piece, x0, y0, x1, y1."""
+    n = "2 + lid % 3"
+    at = lambda k: f"array({', '.join(f'case when {k} = 0 then {c}0 when {k} = {n} then {c}1 else {c}0 + floor(({c}1 - {c}0) * {k} / ({n})) + (lid * {m} * {k}) % 41 - 20 end' for c, m in (('x', 17), ('y', 29)))})"
+    each = lines(spark, sf_dir).withColumn("piece", F.expr("explode(sequence(0, cast(1 + lid % 3 as int)))"))
+    return each.selectExpr("lid", "piece", f"{at('piece')} as a", f"{at('(piece + 1)')} as b").selectExpr("lid", "piece", "a[0] as x0", "a[1] as y0", "b[0] as x1", "b[1] as y1")
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of a grid in five groups, from customer: grp, zone_id, geometry, a row for each ring.
+
+    A third of them are two halves, so that their neighbours' sides have a corner of theirs in the middle, and a third are
+    frames, their openings being zones of their own.
+    """
+    cells = _table(spark, sf_dir, "customer").selectExpr("c_mktsegment as grp", "(c_custkey * 3301) % 10007 div 200 as i", "(c_custkey * 5417) % 10009 div 200 as j").distinct()
+    rect = lambda x0, y0, x1, y1: "array(" + ", ".join(f"struct(cast(i * 200 + {x} as double) as x, cast(j * 200 + {y} as double) as y)" for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))) + ")"
+    whole, hole = rect(0, 0, 200, 200), rect(50, 50, 150, 150)
+    parts = f"""case (i + j) % 3 when 0 then array(struct(0 as part, {rect(0, 0, 200, 100)} as p), struct(1 as part, {rect(0, 100, 200, 200)} as p))
+     when 1 then array(struct(0 as part, {whole} as p), struct(0 as part, {hole} as p), struct(1 as part, {hole} as p)) else array(struct(0 as part, {whole} as p)) end"""
+    return cells.select("grp", "i", "j", F.explode(F.expr(parts)).alias("z")).selectExpr("grp", "concat_ws('-', i, j, z.part) as zone_id", "z.p as geometry")
+
+
 def value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City lines with attributes, from customer."""
     base = _table(spark, sf_dir, "customer").selectExpr("c_custkey as sid", "cast((c_custkey * 3301) % 10007 as double) as x0", "cast((c_custkey * 5417) % 10009 as double) as y0", "*")

@@ -97,3 +97,13 @@ def header_array(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 def street_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a landed street graph."""
     return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+
+
+def stored_in_box(spark: SparkSession, path: str, box: tuple[float, float, float, float], x: tuple[str, str] = ("px", "px"), y: tuple[str, str] = ("py", "py")) -> DataFrame:
+    """Rows of a stored table that meet a box (x0, y0, x1, y1), its rim included.
+
+    The comparisons reach the scan, which skips the row groups whose least and greatest coordinates lie beyond the box:
+    most of them, if the table was written by ``writers.write_by_place``.
+    """
+    meets = (F.col(x[1]) >= box[0]) & (F.col(x[0]) <= box[2]) & (F.col(y[1]) >= box[1]) & (F.col(y[0]) <= box[3])
+    return spark.read.parquet(path).where(meets)

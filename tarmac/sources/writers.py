@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.functions import curve
 from tarmac.functions import geometry as g
 from tarmac.functions import projection
 
@@ -75,8 +76,10 @@ def flat_rows(df: DataFrame, front: Sequence[str], points: str = "geometry") ->
     return placed.select(*front, *rest, "lat", "lon", "map_url")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, name: str | None = None) -> None:
+    """CSV with a header, in files whose names begin with ``name`` if it is given; then they join those in the folder."""
+    to = df.write.mode("overwrite" if name is None else "append").option("header", True)
+    (to if name is None else to.option("mapreduce.output.basename", name)).csv(path)
 
 
 def _coordinates(points: Column, digits: int) -> Column:
@@ -113,3 +116,19 @@ def write_text(df: DataFrame, path: str) -> None:
 def summary_document(df: DataFrame) -> DataFrame:
     """``value``: each row (usually one, of nested structs and maps) as a JSON document."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_by_place(df: DataFrame, path: str, x: tuple[str, str] = ("px", "px"), y: tuple[str, str] = ("py", "py"), files: int | None = None) -> None:
+    """Rows as Parquet in the order of a curve over the map: each row group covers a small part of it, and says which.
+
+    ``x`` and ``y`` name the columns of a row's least and greatest coordinates (for points the same one twice); the curve
+    goes by the middle. Readers that ask for a box (``readers.stored_in_box``) skip the row groups beyond it. Rows without
+    coordinates come first. Rows are range-partitioned, so no task gets more than its share, and not more than ``files``
+    files are written (the session's shuffle partitions if not said).
+    """
+    mid = [(F.col(a) + F.col(b)) / 2 for a, b in (x, y)]
+    low_x, low_y, high_x, high_y = df.agg(F.min(mid[0]), F.min(mid[1]), F.max(mid[0]), F.max(mid[1])).first()
+    box = (0.0, 0.0, 1.0, 1.0) if low_x is None or low_y is None else (low_x, low_y, high_x, high_y)
+    placed = df.withColumn("__place", curve.place(*mid, box))
+    spread = placed.repartitionByRange("__place") if files is None else placed.repartitionByRange(files, "__place")
+    spread.sortWithinPartitions("__place").drop("__place").write.parquet(path)

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tarmac.functions import curve
 from tarmac.functions import geometry as g
-from tarmac.operators import concentration, conflate, contract, facets, network, outlines, records, simplify, spatial
+from tarmac.operators import concentration, conflate, contract, dissolve, facets, network, outlines, records, simplify, spatial
 from tarmac.operators.graph import connected_components
 from tarmac.sources import readers, writers
 
@@ -438,3 +439,125 @@ def test_a_version_is_seen_when_switched_to(spark, tmp_path):
     new, old = writers.published(spark, folder)["t"], writers.published(spark, folder, 1)["t"]
     assert dict(pairs(contract.row_changes(old, new, "k"), "k", "change")) == {0: "removed", 1: "removed", 2: "removed", 4: "changed", 9: "added"}
     assert contract.row_changes(new, new, "k").count() == 0
+
+
+RINGS = "grp string, zone_id int, geometry array<struct<x: double, y: double>>"
+
+
+def ring(*corners):
+    return [{"x": float(x), "y": float(y)} for x, y in corners]
+
+
+def box(x0, y0, x1, y1, start=0, back=False):
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    corners = corners[start:] + corners[:start]
+    return ring(*(corners[::-1] if back else corners))
+
+
+def outlines_of(rows):
+    return sorted((r.grp or "", r.area, tuple((p.x, p.y) for p in r.geometry)) for r in rows)
+
+
+def test_dissolve_by_hand(spark):
+    rows = [
+        ("a", 1, box(0, 0, 2, 2, 1, True)), ("a", 2, box(2, 0, 4, 1)), ("a", 3, [*box(2, 1, 4, 2, 2), box(2, 1, 4, 2, 2)[0]]),  # a corner of two on the side of one
+        ("b", 1, box(0, 0, 9, 9)), ("b", 1, box(3, 3, 6, 6)), ("b", 2, box(9, 9, 10, 10)),  # a hole, and a touch in one point
+        ("c", 1, box(0, 0, 9, 9)), ("c", 1, box(3, 3, 6, 6)), ("c", 2, box(3, 3, 6, 6, 3, True)),  # a hole that another zone fills
+        ("d", 1, box(0, 0, 9, 9)), ("d", 1, box(1, 1, 8, 8)), ("d", 1, box(2, 2, 7, 7)),  # an island in a hole
+        (None, 1, box(0, 0, 1, 1)), (None, None, box(1, 0, 2, 1)), (None, 1, box(0, 0, 1, 1)),  # nulls, and a repeated row
+        ("e", 1, ring((0, 0), (1, 1), (0, 0))), ("e", 2, ring((0, 0), (1, 1), (2, 2))), ("e", 3, None), ("e", 4, []),
+    ]
+    df = spark.createDataFrame(rows, RINGS)
+    got = outlines_of(dissolve.dissolve(df, "grp", size=3.0).collect())
+    closed = lambda x0, y0, x1, y1: tuple((p["x"], p["y"]) for p in [*box(x0, y0, x1, y1), box(x0, y0, x1, y1)[0]])
+    want = [("", 2.0, closed(0, 0, 2, 1)), ("a", 8.0, closed(0, 0, 4, 2)), ("b", 81.0, closed(0, 0, 9, 9)), ("b", 1.0, closed(9, 9, 10, 10)), ("b", -9.0, closed(3, 3, 6, 6)[::-1]), ("c", 81.0, closed(0, 0, 9, 9)),
+            ("d", 81.0, closed(0, 0, 9, 9)), ("d", -49.0, closed(1, 1, 8, 8)[::-1]), ("d", 25.0, closed(2, 2, 7, 7))]
+    assert got == sorted(want)
+    assert dissolve.dissolve(df.where("false"), "grp").collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dissolve_random_cells(spark, seed):
+    """Random cells, some in halves: as many outlines as a flood fill finds areas and openings, and the same area."""
+    rng = random.Random(seed)
+    cells = {(i, j) for i in range(14) for j in range(14) if rng.random() < 0.6}
+    rows = []
+    for n, (i, j) in enumerate(sorted(cells)):
+        halves = [(i, j, i + 0.5, j + 1), (i + 0.5, j, i + 1, j + 1)] if rng.random() < 0.3 else [(i, j, i + 1, j + 1)]
+        rows += [("g", 2 * n + k, box(*h, rng.randrange(4), rng.random() < 0.5)) for k, h in enumerate(halves)]
+    got = dissolve.dissolve(spark.createDataFrame(rows, RINGS), "grp", size=2.0).collect()
+
+    def areas(held, steps):
+        left, n = set(held), 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                x, y = todo.pop()
+                near = {(x + a, y + b) for a, b in steps} & left
+                left -= near
+                todo += near
+        return n
+
+    straight = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    outside = {(i, j) for i in range(-1, 15) for j in range(-1, 15)} - cells
+    assert sum(r.area for r in got) == len(cells)
+    assert sum(r.area > 0 for r in got) == areas(cells, straight)
+    # Openings that touch in a corner are one: the area parts there.
+    assert sum(r.area < 0 for r in got) == areas(outside, [*straight, (1, 1), (1, -1), (-1, 1), (-1, -1)]) - 1
+
+
+def test_dissolve_refuses_overlaps(spark):
+    for rows in ([("g", 1, box(0, 0, 2, 2)), ("g", 2, box(0, 0, 2, 2))], [("g", 1, box(0, 0, 2, 2)), ("g", 2, box(0, 0, 1, 3))]):
+        with pytest.raises(ValueError, match="overlap"):
+            dissolve.dissolve(spark.createDataFrame(rows, RINGS), "grp").collect()
+
+
+def test_places_follow_the_curve(spark):
+    rng = random.Random(3)
+    rows = [(rng.random() * 100, rng.random() * 50) for _ in range(200)] + [(-5.0, 20.0), (200.0, 60.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double, y double").select(curve.place(F.col("x"), F.col("y"), (0.0, 0.0, 100.0, 50.0))).collect()]
+
+    def slow(x, y):
+        at = [int(min(max(v / high, 0), 1) * 65535) for v, high in ((x, 100), (y, 50))]
+        return sum(((at[k % 2] >> (k // 2)) & 1) << k for k in range(32))
+
+    assert got == [slow(x, y) for x, y in rows]
+
+
+def rows_scanned(df):
+    """What the scan of a plan gives to the steps above it, in one run of its own: metrics of a plan add up over its runs."""
+    plan = df.select("*")._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_box_reads_a_part_of_the_rows(spark, tmp_path):
+    n = 40_000
+    at = spark.range(n).selectExpr("id as pid", "cast((id * 7919) % 10007 as double) as px", "cast((id * 6151) % 10009 as double) as py").unionByName(spark.createDataFrame([(-1, None, 3.0), (-2, None, None)], "pid long, px double, py double"))
+    area = (2000.0, 3000.0, 2500.0, 3500.0)
+    writers.write_by_place(at, str(tmp_path / "placed"), files=32)
+    at.write.parquet(str(tmp_path / "plain"))
+    inside = {r.pid for r in at.where("px between 2000 and 2500 and py between 3000 and 3500").collect()}
+    for name, most in (("placed", n // 8), ("plain", 2 * n)):
+        read = readers.stored_in_box(spark, str(tmp_path / name), area)
+        assert {r.pid for r in read.collect()} == inside and inside
+        assert rows_scanned(read) <= most
+    assert rows_scanned(readers.stored_in_box(spark, str(tmp_path / "plain"), area)) > n // 2
+    assert spark.read.parquet(str(tmp_path / "placed")).count() == n + 2
+    writers.write_by_place(at.where("false"), str(tmp_path / "none"))
+    assert readers.stored_in_box(spark, str(tmp_path / "none"), area).collect() == []
+
+
+def test_statuses_of_groups(spark):
+    rows = [("a", 1), ("a", 2), ("b", None), ("b", 1), ("c", -1), (None, 1)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = contract.statuses(contract.run_checks_by(df, ["k"], [contract.none_where("low", F.col("v") < 0), contract.Check("unknown", F.count_if(F.col("v").isNull()), high=0, level="warning")]), ["k"]).collect()
+    assert {r.k: (r.errors, r.warnings, r.passed) for r in got} == {"a": (0, 0, True), "b": (1, 1, False), "c": (1, 0, False), None: (0, 0, True)}
+
+
+def test_pieces_without_length_share_nothing(spark):
+    own = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 0.0), (1, 1, 10.0, 0.0, 10.0, 0.0), (2, 0, 5.0, 5.0, 5.0, 5.0)], "lid int, piece int, x0 double, y0 double, x1 double, y1 double")
+    other = spark.createDataFrame([(0.0, 1.0, 5.0, 1.0)], "x0 double, y0 double, x1 double, y1 double")
+    got = {r.lid: r.share for r in spatial.overlap_share(own, other, 1.0).collect()}
+    assert got == {1: pytest.approx(0.5), 2: None}
