@@ -3,12 +3,16 @@
 Pieces are rows ``x0, y0, x1, y1``. The side that is searched is written to every cell that its inflated box meets, the
 other side to its own cell, so that each pair meets at least once and a join never compares all with all. Cells are as
 wide as the search radius; long pieces are covered in parts. A crowded cell is cut into blocks of bounded numbers of both
-sides, each a key of its own. Searches without a radius go down a pyramid of cells.
+sides, each a key of its own. Searches for the nearest begin with a small radius where lines are dense, and widen it for
+what is not settled. Searches without a radius go down a pyramid of cells.
+
+Covered sides are joined by merge: their rows are many times those of their table, whose size the optimiser goes by, so it
+would send them to every executor through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +26,10 @@ BROADCAST_EDGES = 100_000
 CROWD = 20_000
 #: A level of the pyramid has cells of 2**_STEP times the width of those below.
 _STEP = 3
+#: Pieces in a cell, on average over pieces, up to which a search needs no smaller radius.
+DENSE = 64
+#: Pairs that a round compares, for each row of its covered side, up to which it needs no smaller radius.
+WORTH = 8
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -33,7 +41,10 @@ def with_cell(points: DataFrame, size: float, x: str = "px", y: str = "py") -> D
 
 
 def cover(pieces: DataFrame, reach: Column | float, size: float) -> DataFrame:
-    """Each piece in all cells that lie within ``reach`` of it; pieces longer than four cells are covered in parts."""
+    """Each piece in all cells that lie within ``reach`` of it; pieces longer than four cells are covered in parts.
+
+    Cells of a part's box whose middle is farther from the piece than ``reach`` and half a diagonal are left out.
+    """
     reach = reach if isinstance(reach, Column) else F.lit(float(reach))
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     n = F.greatest(F.ceil(F.hypot(x1 - x0, y1 - y0) / (4 * size)), F.lit(1)).cast("long")
@@ -42,7 +53,9 @@ def cover(pieces: DataFrame, reach: Column | float, size: float) -> DataFrame:
     ends = {axis: [at(a, b, F.col("__k") + d) for d in (0, 1)] for axis, a, b in (("x", x0, x1), ("y", y0, y1))}
     span = {axis: F.sequence(_cell(F.least(*v) - reach, size), _cell(F.greatest(*v) + reach, size)) for axis, v in ends.items()}
     cells = parts.withColumn("cx", F.explode(span["x"])).withColumn("cy", F.explode(span["y"])).drop("__k")
-    return cells.drop("__n")
+    far = reach + size * 0.7072
+    off = g.point_piece_d2((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, x0, y0, x1, y1)
+    return cells.where(off <= far * far * (1 + 1e-9) + 1e-6).drop("__n")
 
 
 def _crowded(rows: DataFrame, crowd: int) -> DataFrame:
@@ -72,7 +85,7 @@ def blocks(left: DataFrame, right: DataFrame, crowd: int = CROWD) -> tuple[DataF
 def cell_join(left: DataFrame, right: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Rows of both sides that share a cell (cx, cy), in tasks of bounded size however crowded a cell is."""
     a, b = blocks(left, right, crowd)
-    return a.join(b, ["cx", "cy", "__l", "__r"]).drop("__l", "__r")
+    return a.join(b.hint("merge"), ["cx", "cy", "__l", "__r"]).drop("__l", "__r")
 
 
 def near_pairs(points: DataFrame, pieces: DataFrame, reach: Column | float, size: float, point_id: str = "pid", crowd: int = CROWD) -> DataFrame:
@@ -93,9 +106,53 @@ def nearest(points: DataFrame, pieces: DataFrame, reach: float, keep: Sequence[s
 
     Points without a line within reach are left out. Minima are made before the second shuffle.
     """
-    pairs = near_pairs(points, pieces, reach, size or reach, point_id)
-    best = pairs.groupBy(point_id).agg(F.min(F.struct("d2", line_id, *keep)).alias("best"))
-    return best.select(point_id, f"best.{line_id}", "best.d2", *(f"best.{c}" for c in keep))
+
+    def won(points: DataFrame, radius: float, width: float, last: bool) -> DataFrame:
+        best = near_pairs(points, pieces, radius, width, point_id).groupBy(point_id).agg(F.min(F.struct("d2", line_id, *keep)).alias("best"))
+        return best.select(point_id, f"best.{line_id}", "best.d2", *(f"best.{c}" for c in keep))
+
+    return _widening(points, pieces, reach, won, point_id, size or reach)
+
+
+def _radii(points: DataFrame, pieces: DataFrame, reach: float, size: float) -> list[tuple[float, float]]:
+    """(width of cells, radius) of the rounds of a search, the widest last: one round unless cells hold many pieces.
+
+    Radii are added, each a quarter of the next, until a cell holds few pieces, or the pairs that a round would compare are
+    no longer many times the rows that covering by its cells writes.
+    """
+    rounds, before, n = [(size, reach)], float("inf"), None
+    while len(rounds) < 8:
+        width, radius = rounds[0]
+        held = cover(pieces.select("x0", "y0", "x1", "y1"), radius, width).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+        got = held.agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).first()
+        if not got.rows or got.crowd <= DENSE or got.crowd > before / 2:
+            break
+        n = points.count() if n is None else n
+        if n * got.crowd <= WORTH * got.rows:
+            break
+        before = got.crowd
+        rounds.insert(0, (width / 4, width / 16))
+    return rounds
+
+
+def _widening(points: DataFrame, pieces: DataFrame, reach: float, won: Callable[[DataFrame, float, float, bool], DataFrame], point_id: str, size: float) -> DataFrame:
+    """What ``won(points, radius, width of cells, last)`` says of each point, where its nearest pieces within reach decide.
+
+    Points that ``won`` returns for a radius are settled by the pieces within it, as these are all that are no farther; the
+    others go on to the next radius. So points do not meet all pieces within reach where many are near.
+    """
+    found, rounds = None, _radii(points, pieces, reach, size)
+    for k, (width, radius) in enumerate(rounds):
+        last = k == len(rounds) - 1
+        got = won(points, radius, width, last)
+        got = got if last else checkpoint(got)
+        found = got if found is None else found.unionByName(got)
+        if not last:
+            ids = got.select(F.col(point_id).alias("__settled"))
+            points = checkpoint(points.join(ids.hint("merge"), F.col(point_id).eqNullSafe(F.col("__settled")), "left_anti"))
+            if points.isEmpty():
+                break
+    return found
 
 
 def assign(points: DataFrame, segments: DataFrame, away: DataFrame, reach: float, point_id: str = "pid", line_id: str = "lid", rep_id: str = "rep_seg_id") -> DataFrame:
@@ -105,16 +162,19 @@ def assign(points: DataFrame, segments: DataFrame, away: DataFrame, reach: float
     count for their representative if it is a segment. Of equal distances the least id of a geometry wins.
     """
     cols = ["x0", "y0", "x1", "y1"]
-    halves = away.join(segments.select(F.col(line_id).alias(rep_id)).distinct(), rep_id, "left_semi")
+    halves = away.join(segments.select(F.col(line_id).alias(rep_id)).distinct().hint("merge"), rep_id, "left_semi")
     targets = segments.select(line_id, *cols, F.col(line_id).alias("__target")).unionByName(halves.select(line_id, *cols, F.col(rep_id).alias("__target")))
     return nearest(points, targets, reach, ("__target",), point_id, line_id).select(point_id, F.col("__target").alias(line_id), "d2")
 
 
 def nearest_with_ties(points: DataFrame, pieces: DataFrame, reach: float, point_id: str = "pid", line_id: str = "lid") -> DataFrame:
     """All lines at the least distance within reach of each point."""
-    pairs = near_pairs(points, pieces, reach, reach, point_id).groupBy(point_id, line_id).agg(F.min("d2").alias("d2"))
-    best = pairs.groupBy(point_id).agg(F.min("d2").alias("d2"))
-    return pairs.join(best, [point_id, "d2"]).select(point_id, line_id, "d2")
+
+    def won(points: DataFrame, radius: float, width: float, last: bool) -> DataFrame:
+        least = F.min("d2").over(Window.partitionBy(point_id))
+        return near_pairs(points, pieces, radius, width, point_id).select(point_id, line_id, "d2").withColumn("__least", least).where("d2 = __least").select(point_id, line_id, "d2").distinct()
+
+    return _widening(points.where(F.col(point_id).isNotNull()), pieces, reach, won, point_id, reach)
 
 
 def nearest_unbounded(points: DataFrame, pieces: DataFrame, first_reach: float, point_id: str = "pid", line_id: str = "lid", group: tuple[str, str] | None = None) -> DataFrame:
@@ -132,8 +192,11 @@ def nearest_unbounded(points: DataFrame, pieces: DataFrame, first_reach: float,
     lines = (pieces if group else pieces.withColumn("__of", F.lit(0))).select(line_id, F.col(of).alias("__of"), "x0", "y0", "x1", "y1")
     held = held.select(F.col(point_id).alias("__pid"), F.col(own).alias("__own"), F.when(known, F.col("px")).alias("px"), F.when(known, F.col("py")).alias("py"))
     least = F.min(F.struct("d2", line_id)).alias("best")
-    got = near_pairs(held, lines, first_reach, first_reach, "__pid").where("__own = __of").groupBy("__pid").agg(least)
-    got = checkpoint(got.select("__pid", f"best.{line_id}", "best.d2"))
+    if group:
+        got = near_pairs(held, lines, first_reach, first_reach, "__pid").where("__own = __of").groupBy("__pid").agg(least)
+        got = checkpoint(got.select("__pid", f"best.{line_id}", "best.d2"))
+    else:
+        got = checkpoint(nearest(held, lines, first_reach, (), "__pid", line_id))
     rest = checkpoint(held.join(got.select("__pid"), "__pid", "left_anti"))
     found = got
     if not rest.where("px is not null and py is not null").isEmpty():
@@ -239,12 +302,15 @@ def lines_in_zones(pieces: DataFrame, edges: DataFrame, size: float, line_id: st
     return inside.unionByName(across).distinct()
 
 
-def piece_pairs(left: DataFrame, right: DataFrame, reach: float, size: float, left_id: str, right_id: str) -> DataFrame:
-    """Pairs of pieces within reach of each other: ``left_id, right_id, d2``, the nearest pieces of two lines."""
-    a = cover(left, 0.0, size).select(left_id, "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = cover(right, reach, size).select(right_id, "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+def piece_pairs(left: DataFrame, right: DataFrame, reach: float, size: float, left_id: str, right_id: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of pieces within reach of each other: ``left_id, right_id, d2``, the nearest pieces of two lines.
+
+    With ``by``, only pairs that agree in these columns of both sides.
+    """
+    a = cover(left, 0.0, size).select(left_id, *by, "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
+    b = cover(right, reach, size).select(right_id, *by, "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     cols = lambda s: tuple(F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))
-    met = a.join(b, ["cx", "cy"]).withColumn("d2", g.piece_piece_d2(cols("a"), cols("b"))).where(F.col("d2") <= reach * reach)
+    met = a.join(b.hint("merge"), ["cx", "cy", *by]).withColumn("d2", g.piece_piece_d2(cols("a"), cols("b"))).where(F.col("d2") <= reach * reach)
     return met.groupBy(left_id, right_id).agg(F.min("d2").alias("d2"))
 
 
@@ -275,11 +341,17 @@ def overlap_share(pieces: DataFrame, other: DataFrame, reach: float, line_id: st
 
     Along a piece, the places within reach of another piece are one stretch, as that set is convex: its ends come from
     the circles about the other's ends and the strip along it. Stretches are put together by a running maximum.
+
+    Where a place of the other layer lies in a cell whose diagonal is the reach, all of the cell is within reach. Pieces that
+    touch such cells only count as a whole, so that few are left to be compared where the other layer is dense.
     """
     own = pieces.where("x0 <> x1 or y0 <> y1").withColumn("__id", F.struct(line_id, "piece"))  # others have no length to share
+    whole = None
+    if reach > 0:
+        own, whole = _within_full_cells(own, other, reach * 0.7071)
     a = cover(own, 0.0, max(reach, 1.0)).select(line_id, "__id", "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
     b = cover(other.select("x0", "y0", "x1", "y1"), reach, max(reach, 1.0)).select("cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-    met = a.join(b, ["cx", "cy"]).drop("cx", "cy").distinct()
+    met = a.join(b.hint("merge"), ["cx", "cy"]).drop("cx", "cy").distinct()
     # Each step is a projection of its own: products that several later ones use are worked out once.
     met = met.withColumns({"bx": F.col("ax1") - F.col("ax0"), "by": F.col("ay1") - F.col("ay0"), "ux": F.col("bx1") - F.col("bx0"), "uy": F.col("by1") - F.col("by0")})
     ax, ay, bx, by, ux, uy = (F.col(c) for c in ("ax0", "ay0", "bx", "by", "ux", "uy"))
@@ -308,23 +380,40 @@ def overlap_share(pieces: DataFrame, other: DataFrame, reach: float, line_id: st
     clipped = met.select(line_id, "__id", F.sqrt("size").alias("long"), F.greatest("low", F.lit(0.0)).alias("t0"), F.when(F.col("high").isNull(), F.lit(0.0)).otherwise(F.least("high", F.lit(1.0))).alias("t1"))
     so_far = Window.partitionBy("__id").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
     new = clipped.withColumn("__seen", F.coalesce(F.max("t1").over(so_far), F.lit(0.0)))
-    covered = new.groupBy(line_id).agg(F.sum(F.col("long") * F.greatest(F.col("t1") - F.greatest("t0", "__seen"), F.lit(0.0))).alias("near"))
+    parts = new.select(line_id, (F.col("long") * F.greatest(F.col("t1") - F.greatest("t0", "__seen"), F.lit(0.0))).alias("near"))
+    parts = parts if whole is None else parts.unionByName(whole.select(line_id, F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("near")))
+    covered = parts.groupBy(line_id).agg(F.sum("near").alias("near"))
     total = pieces.groupBy(line_id).agg(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("total"))
     return total.join(covered, line_id, "left").select(line_id, F.when(F.col("total") > 0, F.coalesce("near", F.lit(0.0)) / F.col("total")).alias("share"))
 
 
+def _within_full_cells(own: DataFrame, other: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """``own`` (with ``__id``) in two: the rest, and pieces of which every cell holds a place of ``other``."""
+    n = F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / size).cast("long")
+    along = other.select("x0", "y0", "x1", "y1").withColumn("__n", F.greatest(n, F.lit(1))).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n"))))
+    share = F.col("__k") / F.col("__n")
+    full = along.select(_cell(F.col("x0") + (F.col("x1") - F.col("x0")) * share, size).alias("cx"), _cell(F.col("y0") + (F.col("y1") - F.col("y0")) * share, size).alias("cy")).distinct()
+    held = cover(own, 0.0, size).select("__id", "cx", "cy").join(full.withColumn("__full", F.lit(True)).hint("merge"), ["cx", "cy"], "left")
+    sure = checkpoint(held.groupBy("__id").agg(F.bool_and(F.coalesce("__full", F.lit(False))).alias("__sure")).where("__sure").select("__id"))
+    return own.join(sure.hint("merge"), "__id", "left_anti"), own.join(sure.hint("merge"), "__id", "left_semi")
+
+
 def parallel_share(pieces: DataFrame, other: DataFrame, reach: float = 60.0, tangent: float = 0.5773502691896257, line_id: str = "lid", other_id: str = "oid") -> DataFrame:
     """``lid, share``: the share of a line's length in pieces whose nearest other piece within reach runs in parallel.
 
     The tangent is that of the largest angle (30 degrees). Of other pieces at equal distance the least (oid, piece) counts.
     """
     own = pieces.withColumn("__id", F.struct(line_id, "piece"))
-    a = cover(own, 0.0, reach).select(line_id, "__id", "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = cover(other, reach, reach).select(other_id, F.col("piece").alias("__p"), "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     cols = lambda s: tuple(F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))
-    met = a.join(b, ["cx", "cy"]).withColumn("d2", g.piece_piece_d2(cols("a"), cols("b"))).where(F.col("d2") <= reach * reach)
-    met = met.withColumn("runs", g.parallel_within(cols("a"), cols("b"), tangent)).withColumn("long", F.hypot(F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0")))
-    best = met.groupBy(line_id, "__id").agg(F.min(F.struct("d2", other_id, "__p", "runs", "long")).alias("best"))
+
+    def won(own: DataFrame, radius: float, width: float, last: bool) -> DataFrame:
+        a = cover(own, 0.0, width).select(line_id, "__id", "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
+        b = cover(other, radius, width).select(other_id, F.col("piece").alias("__p"), "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+        met = a.join(b.hint("merge"), ["cx", "cy"]).withColumn("d2", g.piece_piece_d2(cols("a"), cols("b"))).where(F.col("d2") <= radius * radius)
+        met = met.withColumn("runs", g.parallel_within(cols("a"), cols("b"), tangent)).withColumn("long", F.hypot(F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0")))
+        return met.groupBy(line_id, "__id").agg(F.min(F.struct("d2", other_id, "__p", "runs", "long")).alias("best"))
+
+    best = _widening(own, other, reach, won, "__id", reach)
     got = best.where("best.runs").groupBy(line_id).agg(F.sum("best.long").alias("matched"))
     total = pieces.groupBy(line_id).agg(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("total"))
     return total.join(got, line_id, "left").select(line_id, F.when(F.col("total") > 0, F.coalesce("matched", F.lit(0.0)) / F.col("total")).alias("share"))
@@ -336,10 +425,15 @@ def side_shares(samples: DataFrame, other: DataFrame, reach_bound: float, line_i
     ``samples``: lid, k, px, py, dx, dy (direction of the line), reach (at most reach_bound). A piece is on the left if
     the nearest point of it is not to the right of the direction.
     """
-    pairs = near_pairs(samples.withColumn("pid", F.struct(line_id, "k")), other, F.col("reach"), reach_bound)
-    q = g.nearest_on_piece(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    sided = pairs.withColumn("__q", q).withColumn("left", F.col("dx") * (F.col("__q.y") - F.col("py")) - F.col("dy") * (F.col("__q.x") - F.col("px")) >= 0)
-    point = sided.groupBy(line_id, "k").agg(F.bool_or("left").alias("l"), F.bool_or(~F.col("left")).alias("r"))
+
+    def won(points: DataFrame, radius: float, width: float, last: bool) -> DataFrame:
+        pairs = near_pairs(points, other, radius, width).where("d2 <= reach * reach")
+        q = g.nearest_on_piece(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        sided = pairs.withColumn("__q", q).withColumn("left", F.col("dx") * (F.col("__q.y") - F.col("py")) - F.col("dy") * (F.col("__q.x") - F.col("px")) >= 0)
+        point = sided.groupBy("pid").agg(F.bool_or("left").alias("l"), F.bool_or(~F.col("left")).alias("r"))
+        return point if last else point.where("l and r")
+
+    point = _widening(samples.withColumn("pid", F.struct(line_id, "k")), other, reach_bound, won, "pid", reach_bound).select(f"pid.{line_id}", "l", "r")
     got = point.groupBy(line_id).agg(F.count_if("l").alias("l"), F.count_if("r").alias("r"))
     n = samples.groupBy(line_id).agg(F.count("*").alias("n"))
     share = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0)) / F.col("n"), 2)
@@ -356,12 +450,12 @@ def area_weighted_neighbours(pieces: DataFrame, zones: DataFrame, edges: DataFra
     size = max(4 * reach, 1.0)
     grid = lambda df, by: df.withColumn("cx", F.explode(F.sequence(_cell(F.least("x0", "x1") - by, size), _cell(F.greatest("x0", "x1") + by, size)))).withColumn("cy", F.explode(F.sequence(_cell(F.least("y0", "y1") - by, size), _cell(F.greatest("y0", "y1") + by, size))))
     b = grid(boxes, reach).select(zone_id, "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-    met = cover(pieces.select(line_id, "x0", "y0", "x1", "y1"), 0.0, size).join(b, ["cx", "cy"])
+    met = cover(pieces.select(line_id, "x0", "y0", "x1", "y1"), 0.0, size).join(b.hint("merge"), ["cx", "cy"])
     apart = [F.greatest(F.least(f"{c}0", f"{c}1") - F.col(f"b{c}1"), F.col(f"b{c}0") - F.greatest(f"{c}0", f"{c}1"), F.lit(0.0)) for c in "xy"]
     near = met.where(apart[0] * apart[0] + apart[1] * apart[1] <= reach * reach).select(line_id, zone_id, *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1"))).distinct()
     sides = edges.select(zone_id, *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     cols = lambda s: tuple(F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))
-    close = near.join(sides, zone_id).where(g.piece_piece_d2(cols("a"), cols("b")) <= reach * reach).select(line_id, zone_id)
+    close = near.join(sides.hint("merge"), zone_id).where(g.piece_piece_d2(cols("a"), cols("b")) <= reach * reach).select(line_id, zone_id)
     starts = pieces.groupBy(line_id).agg(F.min_by(F.struct("x0", "y0"), "piece").alias("p")).select(line_id, F.col("p.x0").alias("px"), F.col("p.y0").alias("py"))
     inside = zones_of_points(starts, edges, reach, line_id, zone_id)
-    return close.unionByName(inside).distinct().join(zones.select(zone_id, category, "area"), zone_id)
+    return close.unionByName(inside).distinct().join(zones.select(zone_id, category, "area").hint("merge"), zone_id)

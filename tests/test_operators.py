@@ -92,6 +92,44 @@ def test_nearest_with_long_pieces(spark):
     assert spatial.nearest(p.where("false"), s, 20.0).count() == 0 and spatial.nearest_unbounded(p, s.where("false"), 5.0).count() == 0
 
 
+def test_nearest_among_dense_lines_in_rounds(spark, monkeypatch):
+    """Dense lines are searched by small radii first; ties, far points and both sides come out as by one round."""
+    rng = random.Random(7)
+    points = {i: (float(rng.randrange(400)), float(rng.randrange(400))) for i in range(300)} | {300: (560.0, 40.0), 301: (5000.0, 0.0)}
+    pieces = {k: (x, y, x + rng.randrange(-30, 30), y + rng.randrange(-30, 30)) for k in range(200) for x, y in [(float(rng.randrange(400)), float(rng.randrange(400)))]}
+    p = spark.createDataFrame([(i, *v) for i, v in points.items()], "pid long, px double, py double")
+    s = spark.createDataFrame([(k, 0, *map(float, v)) for k, v in pieces.items()], "lid long, piece int, x0 double, y0 double, x1 double, y1 double")
+    monkeypatch.setattr(spatial, "DENSE", 1)
+    monkeypatch.setattr(spatial, "WORTH", 0)
+    assert len(spatial._radii(p, s, 200.0, 200.0)) > 1
+    monkeypatch.setattr(spatial, "_radii", lambda points, pieces, reach, size: [(size / 16, reach / 64), (size, reach)])
+    assert dict(pairs(spatial.nearest(p, s, 200.0), "pid", "lid")) == brute_nearest(points, pieces, 200.0)
+    samples = p.selectExpr("pid div 10 as lid", "pid % 10 as k", "px", "py", "1.0d as dx", "0.0d as dy", "30.0d as reach")
+    jobs = [
+        lambda: pairs(spatial.nearest_with_ties(p, s, 200.0), "pid", "lid"), lambda: pairs(spatial.side_shares(samples, s, 60.0), "lid", "left_share", "right_share"),
+        lambda: pairs(spatial.parallel_share(s, s.withColumnRenamed("lid", "oid"), 60.0), "lid", "share"),
+    ]
+    rounds = [job() for job in jobs]
+    monkeypatch.setattr(spatial, "_radii", lambda points, pieces, reach, size: [(size, reach)])
+    assert rounds == [job() for job in jobs]
+
+
+def test_covered_sides_are_not_broadcast(spark, tmp_path):
+    """A table of small files has many rows once it is covered by cells: it must not pass through the driver."""
+    spark.range(1000).selectExpr("id as lid", "0 as piece", "id % 2 as name", *(f"cast(id % {m} as double) as {c}" for c, m in (("x0", 37), ("y0", 41), ("x1", 43), ("y1", 47)))).write.parquet(str(tmp_path / "lines"))
+    s = spark.read.parquet(str(tmp_path / "lines"))
+    other, area = s.withColumnRenamed("lid", "oid"), s.selectExpr("lid as zone_id", "x0", "y0", "x1", "y1", "'a' as lu", "1.0d as area")
+    jobs = [
+        spatial.near_pairs(s.selectExpr("lid as pid", "x0 as px", "y0 as py"), s, 5.0, 5.0), spatial.piece_pairs(s, other, 5.0, 5.0, "lid", "oid"), spatial.parallel_share(s, other, 5.0), spatial.overlap_share(s, other, 5.0),
+        spatial.area_weighted_neighbours(s, area, area, 5.0, "lu"),
+    ]
+    for df in jobs:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        for line in plan.splitlines():
+            assert "BroadcastHashJoin" not in line or "__n" in line or "[cx" in line and "LeftOuter" in line or "band" in line, line
+
+
 def test_polygon_with_a_hole_and_two_parts(spark, tmp_path):
     doc = '{"features":[{"properties":{"ID":"1"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[10,0],[10,10],[0,10],[0,0]],[[4,4],[6,4],[6,6],[4,6],[4,4]]]}},{"properties":{"ID":"2"},"geometry":{"type":"MultiPolygon","coordinates":[[[[20,0],[30,0],[30,10],[20,10],[20,0]]],[[[40,0],[50,0],[50,10],[40,10],[40,0]]]]}}]}'
     (tmp_path / "zones.json").write_text(doc)
