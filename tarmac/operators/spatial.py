@@ -307,13 +307,34 @@ def piece_pairs(left: DataFrame, right: DataFrame, reach: float, size: float, le
 
     With ``by``, only pairs that agree in these columns of both sides.
     """
-    a = cover(left, 0.0, size).select(left_id, *by, "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = cover(right, reach, size).select(right_id, *by, "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-    cols = lambda s: tuple(F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))
-    met = a.join(b.hint("merge"), ["cx", "cy", *by]).withColumn("d2", g.piece_piece_d2(cols("a"), cols("b"))).where(F.col("d2") <= reach * reach)
+    a = cover(left, 0.0, size).select(left_id, *by, "cx", "cy", *_ends("a"))
+    b = cover(right, reach, size).select(right_id, *by, "cx", "cy", *_ends("b"))
+    met = _within(a.join(b.hint("merge"), ["cx", "cy", *by]), reach)
     return met.groupBy(left_id, right_id).agg(F.min("d2").alias("d2"))
 
 
+def _ends(side: str) -> list[Column]:
+    """The ends of covered pieces under names of their own: never null, which keeps the code of their distances short."""
+    return [F.coalesce(F.col(c), F.lit(0.0)).alias(f"{side}{c}") for c in ("x0", "y0", "x1", "y1")]
+
+
+def _within(met: DataFrame, reach: float) -> DataFrame:
+    """Rows whose pieces (ends with a and b before their names) are within reach, with ``d2``.
+
+    The distance is worked out in steps of its own, once: a filter on it would be pushed below the join with all its
+    formula, and the JVM does not compile methods of over 8,000 bytes, which such code has.
+    """
+    off = [F.greatest(F.least(f"a{c}0", f"a{c}1") - F.greatest(f"b{c}0", f"b{c}1"), F.least(f"b{c}0", f"b{c}1") - F.greatest(f"a{c}0", f"a{c}1"), F.lit(0.0)) for c in "xy"]
+    met = met.where(off[0] * off[0] + off[1] * off[1] <= reach * reach * (1 + 1e-9) + 1e-6)
+    a, b = (tuple(F.col(f"{side}{c}") for c in ("x0", "y0", "x1", "y1")) for side in "ab")
+    near = [g.point_piece_d2(a[0], a[1], *b), g.point_piece_d2(a[2], a[3], *b), g.point_piece_d2(b[0], b[1], *a), g.point_piece_d2(b[2], b[3], *a)]
+    for k, d2 in enumerate([*near, g.pieces_cross(a, b)]):
+        met = met.withColumn("__one", F.explode(F.array(d2))).withColumnRenamed("__one", f"__d{k}")
+    d2 = F.when(F.col("__d4"), F.lit(0.0)).otherwise(F.least(*(f"__d{k}" for k in range(4))))
+    met = met.withColumn("d2", F.explode(F.array(d2)))
+    return met.where(F.col("d2") <= reach * reach).drop(*(f"__d{k}" for k in range(5)))
+
+
 def sample_points(lines: DataFrame, fractions: Sequence[float], line_id: str = "lid", points: str = "geometry") -> DataFrame:
     """``lid, k, px, py``: a row for each fraction along each line."""
     each = lines.select(line_id, points, F.posexplode(F.array(*(F.lit(float(f)) for f in fractions))).alias("k", "f"))
@@ -407,9 +428,9 @@ def parallel_share(pieces: DataFrame, other: DataFrame, reach: float = 60.0, tan
     cols = lambda s: tuple(F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))
 
     def won(own: DataFrame, radius: float, width: float, last: bool) -> DataFrame:
-        a = cover(own, 0.0, width).select(line_id, "__id", "cx", "cy", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
-        b = cover(other, radius, width).select(other_id, F.col("piece").alias("__p"), "cx", "cy", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-        met = a.join(b.hint("merge"), ["cx", "cy"]).withColumn("d2", g.piece_piece_d2(cols("a"), cols("b"))).where(F.col("d2") <= radius * radius)
+        a = cover(own, 0.0, width).select(line_id, "__id", "cx", "cy", *_ends("a"))
+        b = cover(other, radius, width).select(other_id, F.col("piece").alias("__p"), "cx", "cy", *_ends("b"))
+        met = _within(a.join(b.hint("merge"), ["cx", "cy"]), radius)
         met = met.withColumn("runs", g.parallel_within(cols("a"), cols("b"), tangent)).withColumn("long", F.hypot(F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0")))
         return met.groupBy(line_id, "__id").agg(F.min(F.struct("d2", other_id, "__p", "runs", "long")).alias("best"))
 
