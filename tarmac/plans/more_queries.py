@@ -108,10 +108,7 @@ def nearest_point(spark, d):
 @query("geo7_lines_within", sql(f"SELECT a.lid AS src, b.lid AS dst FROM lns a JOIN lns b ON a.lid < b.lid AND a.name = b.name WHERE {piece_d2('a', 'b')} <= 10000", "lns"))
 def lines_within(spark, d):
     a = fx.lines(spark, d).select("lid", "piece", "name", "x0", "y0", "x1", "y1")
-    named = s.piece_pairs(a.withColumnRenamed("lid", "src"), a.withColumnRenamed("lid", "dst"), 100.0, 100.0, "src", "dst").where("src < dst")
-    names = a.where("name is not null").select("lid", "name")
-    x, y = names.select(F.col("lid").alias("src"), F.col("name").alias("p")), names.select(F.col("lid").alias("dst"), F.col("name").alias("q"))
-    return named.join(x, "src").join(y, "dst").where("p = q").select("src", "dst")
+    return s.piece_pairs(a.withColumnRenamed("lid", "src"), a.withColumnRenamed("lid", "dst"), 100.0, 100.0, "src", "dst", ["name"]).where("src < dst").select("src", "dst")
 
 
 @query("geo10_any_member", sql(f"SELECT p.pid FROM pts p WHERE EXISTS (SELECT 1 FROM zns z WHERE z.zone_id IN (0, 1, 6) AND {_HELD})", "pts", "zns"))
