@@ -154,6 +154,17 @@ def test_overlap_share(spark):
     assert dict(pairs(spatial.parallel_share(own, other, 60.0), "lid", "share")) == {1: 1.0, 2: 0.0, 3: 0.0}
 
 
+def test_pieces_in_full_cells_are_not_compared(spark):
+    """Where a dense layer lies in all cells of a piece, the piece is near it as a whole and meets none of its pieces."""
+    schema = "lid long, piece int, x0 double, y0 double, x1 double, y1 double"
+    own = spark.createDataFrame([(1, 0, 100.0, 100.0, 180.0, 130.0), (2, 0, 380.0, 200.0, 480.0, 200.0)], schema)
+    other = spark.createDataFrame([(i, 0, x, 0.0, x, 400.0) for i in range(40) for x in [10.0 * i]], schema)
+    rest, whole = spatial._within_full_cells(own.withColumn("__id", F.struct("lid", "piece")), other, 50.0 * 0.7071)
+    assert pairs(whole, "lid") == [(1,)] and pairs(rest, "lid") == [(2,)]
+    got = dict(pairs(spatial.overlap_share(own, other, 50.0), "lid", "share"))
+    assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(0.6)
+
+
 def test_overlap_share_by_dense_samples(spark):
     import random
 
