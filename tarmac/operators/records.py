@@ -92,7 +92,7 @@ def counts_per_segment(crashes: DataFrame, seg_id: str = "lid") -> DataFrame:
 
 def with_counts(segments: DataFrame, counts: DataFrame, seg_id: str = "lid") -> DataFrame:
     names = [c for c in counts.columns if c != seg_id]
-    return segments.drop(*names).join(counts, seg_id, "left").na.fill(0, names)
+    return segments.drop(*names).join(counts.hint("merge"), seg_id, "left").na.fill(0, names)
 
 
 def enrich(base: DataFrame, new: DataFrame, owned: Sequence[str], key: str = "seg_id") -> DataFrame:

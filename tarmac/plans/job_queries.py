@@ -35,7 +35,7 @@ def _merged(spark, d):
 def _credited(spark, d):
     segments, away = _merged(spark, d)
     p = fx.points(spark, d)
-    return segments, p.join(s.assign(p.select("pid", "px", "py"), segments, away, REACH), "pid")
+    return segments, p.join(s.assign(p.select("pid", "px", "py"), segments, away, REACH).hint("merge"), "pid")
 
 
 @query("sj4_assignment_with_halves", sql(_HALVES + " SELECT pid, lid, round(d2, 6) AS d2 FROM b", "pts", "lns"))

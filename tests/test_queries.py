@@ -3,6 +3,7 @@
 import decimal
 import math
 import os
+import re
 
 import pytest
 
@@ -81,3 +82,16 @@ def test_ids_of_six_digits(spark, tmp_path):
         got = {r.id: r.seg_id for r in queries[name](spark, str(tmp_path)).collect()}
         assert got == dict(con.execute(f"select id, seg_id from ({sql[name]})").fetchall())
     assert got == {7: "H-00007", 123456: "H-123456"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["agg1_segment_counts", "agg1_counts_with_halves", "top1_worst_streets", "rpt3_assignment_integrity", "q7_half_the_harm", "q9_corridors", "q10_street_profile", "q13_overlay_comparison", "agg6_station_volumes", "agg8_merged_attributes"])
+def test_tables_are_not_broadcast(spark, name, monkeypatch):
+    """Points, lines and stations, small as the optimiser takes them for, do not go to the executors through the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plan, kept, plans = (lambda df: df._jdf.queryExecution().executedPlan().toString()), DataFrame.checkpoint, []
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *how: plans.append(plan(df)) or kept(df, *how))
+    plans.append(plan(catalogue()[0][name](spark, SF)))
+    keys = {key for held in plans for key in re.findall(r"BroadcastHashJoin \[(\w+)#", held)}
+    assert keys <= {"cx", "__block", "__own"}  # crowded cells and levels of a pyramid, both counted, and a row a partition
