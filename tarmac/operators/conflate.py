@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions import tags
+from tarmac.operators.graph import checkpoint
 from tarmac.operators.spatial import nearest_with_ties, snap_match
 
 LOCAL = ("residential", "unclassified", "living_street")
@@ -52,9 +53,9 @@ def station_volumes(stations: DataFrame, readings: DataFrame, lines: DataFrame,
     """
     order = F.struct("date", "order_key", "line_no", "part_key", "adt")
     newest = readings.where("ok and adt > 0").groupBy("station_id").agg(F.max_by("adt", order).alias("adt"), F.max_by(F.year("date"), order).alias("year"), F.max_by("op_speed", F.when(F.col("op_speed").isNotNull(), order)).alias("op_speed"))
-    at = stations.join(newest, "station_id")
+    at = checkpoint(stations.join(newest.hint("merge"), "station_id"))  # read in every round of the search
     won = nearest_with_ties(at.select(F.col("station_id").alias("pid"), "px", "py"), lines, reach).select(F.col("pid").alias("station_id"), "lid")
-    return won.join(newest, "station_id").groupBy("lid").agg(F.bround(F.avg("adt"), 0).alias("adt"), F.max("year").alias("adt_year"), F.count("*").alias("n_stations"), F.bround(F.avg("op_speed"), 2).alias("op_speed"))
+    return won.join(at.drop("px", "py").hint("merge"), "station_id").groupBy("lid").agg(F.bround(F.avg("adt"), 0).alias("adt"), F.max("year").alias("adt_year"), F.count("*").alias("n_stations"), F.bround(F.avg("op_speed"), 2).alias("op_speed"))
 
 
 def demographic_rates(df: DataFrame) -> DataFrame:
