@@ -97,13 +97,13 @@ def two_colours(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
             labels = roots
         else:
             further = roots.select(F.col("node").alias("at"), F.col("root").alias("next"), F.col("odd").alias("more"))
-            met = labels.join(further, F.col("root") == F.col("at"), "left")
+            met = labels.join(further.hint("merge"), F.col("root") == F.col("at"), "left")
             labels = stored(met.select("node", F.coalesce("next", "root").alias("root"), F.col("odd").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("odd")))
         at_a, at_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
-        carried = links.join(at_a, "a").join(at_b, "b").where("root_a <> root_b")
+        carried = links.join(at_a.hint("merge"), "a").join(at_b.hint("merge"), "b").where("root_a <> root_b")
         links = stored(carried.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"), add("odd", "odd_a").bitwiseXOR(F.col("odd_b")).alias("odd")).distinct())
     least = labels.groupBy("root").agg(F.min(F.struct("node", "odd")).alias("x"))
-    return labels.join(least, "root").select("node", F.col("x.node").alias("component"), add("odd", "x.odd").alias("side"))
+    return labels.join(least.hint("merge"), "root").select("node", F.col("x.node").alias("component"), add("odd", "x.odd").alias("side"))
 
 
 def _odd_roots(links: DataFrame) -> DataFrame:
@@ -111,10 +111,10 @@ def _odd_roots(links: DataFrame) -> DataFrame:
     chosen = links.groupBy("a").agg(F.min(F.struct("b", "odd")).alias("x")).select("a", F.col("x.b").alias("up"), "x.odd")
     back = chosen.select(F.col("a").alias("at"), F.col("up").alias("further"))
     mutual = (F.col("further") == F.col("a")) & (F.col("a") < F.col("up"))
-    roots = stored(chosen.join(back, chosen.up == back["at"]).select(F.col("a").alias("node"), F.when(mutual, F.col("a")).otherwise(F.col("up")).alias("root"), F.when(mutual, 0).otherwise(F.col("odd")).alias("odd")))
+    roots = stored(chosen.join(back.hint("merge"), chosen.up == back["at"]).select(F.col("a").alias("node"), F.when(mutual, F.col("a")).otherwise(F.col("up")).alias("root"), F.when(mutual, 0).otherwise(F.col("odd")).alias("odd")))
     while True:
         jump = roots.select(F.col("node").alias("at"), F.col("root").alias("further"), F.col("odd").alias("more"))
-        moved = stored(roots.join(jump, roots.root == jump["at"]).select("node", F.col("root").alias("old"), F.col("further").alias("root"), F.col("odd").bitwiseXOR(F.col("more")).alias("odd")))
+        moved = stored(roots.join(jump.hint("merge"), roots.root == jump["at"]).select("node", F.col("root").alias("old"), F.col("further").alias("root"), F.col("odd").bitwiseXOR(F.col("more")).alias("odd")))
         roots = moved.select("node", "root", "odd")
         if moved.where("old <> root").isEmpty():
             return roots

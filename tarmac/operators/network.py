@@ -12,7 +12,7 @@ from tarmac.functions import geometry as g
 from tarmac.functions import tags
 from tarmac.operators.graph import checkpoint, two_colours
 from tarmac.operators.graph import stored as _stored
-from tarmac.operators.spatial import cover, nearest_unbounded
+from tarmac.operators.spatial import _ends, _within, cover, nearest_unbounded
 
 LINK_REASON = "link class"
 FRAGMENT_REASON = "unnamed fragment"
@@ -87,12 +87,10 @@ def twin_pairs(lines: DataFrame, reach: float = 150.0, line_id: str = "lid") ->
     """
     own = lines.where("oneway and name is not null")
     cols = [line_id, "name", "x0", "y0", "x1", "y1", "ax", "ay", "bx", "by"]
-    a = cover(own.select(*cols), 0.0, reach).select("cx", "cy", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = cover(own.select(*cols), reach, reach).select("cx", "cy", *(F.col(c).alias(f"b_{c}") for c in cols))
-    piece = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x0", "y0", "x1", "y1"))
     chord = lambda s: tuple(F.col(f"{s}_{c}") for c in ("ax", "ay", "bx", "by"))
-    same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a_name") == F.col("b_name")) & (F.col(f"a_{line_id}") < F.col(f"b_{line_id}"))
-    met = a.alias("a").join(b.alias("b"), same).where(g.opposed(chord("a"), chord("b")) & (g.piece_piece_d2(piece("a"), piece("b")) <= reach * reach))
+    side = lambda s, by: cover(own.select(*cols), by, reach).select("cx", "cy", "name", F.col(line_id).alias(f"{s}_{line_id}"), *(F.col(c).alias(f"{s}_{c}") for c in ("ax", "ay", "bx", "by")), *_ends(s))
+    met = side("a", 0.0).join(side("b", reach).hint("merge"), ["cx", "cy", "name"]).where((F.col(f"a_{line_id}") < F.col(f"b_{line_id}")) & g.opposed(chord("a"), chord("b")))
+    met = _within(met, reach)
     # A pair may touch first in a cell of the one or of the other: the smaller id's own cells meet the larger's inflated ones.
     return met.select(F.col(f"a_{line_id}").alias("src"), F.col(f"b_{line_id}").alias("dst")).distinct()
 
@@ -103,9 +101,10 @@ def two_sides(pairs: DataFrame) -> DataFrame:
     Sides are parities of steps along a spanning tree (``two_colours``), the least node's is 0. A component in which the
     ends of some pair fall on one side has an odd cycle: it is marked as a conflict, and keeps the tree's sides.
     """
+    pairs = checkpoint(pairs)
     sides = checkpoint(two_colours(pairs))
     of = lambda end: sides.select(F.col("node").alias(end), F.col("side").alias(f"side_{end}"), *(["component"] if end == "src" else []))
-    odd = pairs.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst").where("side_src = side_dst").select("component").distinct()
+    odd = pairs.where("src <> dst").join(of("src").hint("merge"), "src").join(of("dst").hint("merge"), "dst").where("side_src = side_dst").select("component").distinct()
     return sides.join(odd.withColumn("__odd", F.lit(True)), "component", "left").select("node", "component", "side", F.col("__odd").isNotNull().alias("conflict"))
 
 
@@ -113,7 +112,7 @@ def representatives(sides: DataFrame, lines: DataFrame, line_id: str = "lid") ->
     """``lid, component, rep_lid``: the lines of each component's shorter side, and the line of the longer side that is
     nearest to their midpoint. Of equally long sides 0 stays. ``lines``: lid, length_ft, pieces, mx, my (midpoint)."""
     info = lines.groupBy(line_id).agg(F.first("length_ft").alias("length_ft"), F.first("mx").alias("mx"), F.first("my").alias("my"))
-    placed = sides.join(info, sides.node == info[line_id]).drop("node")
+    placed = checkpoint(sides.join(info.hint("merge"), sides.node == info[line_id]).drop("node"))
     length = placed.groupBy("component", "side").agg(F.round(F.sum("length_ft"), 6).alias("length_ft"))  # sums depend on their order
     kept = length.groupBy("component").agg(F.min_by("side", F.struct(-F.col("length_ft"), "side")).alias("kept"))
     marked = placed.join(kept, "component")
@@ -122,7 +121,7 @@ def representatives(sides: DataFrame, lines: DataFrame, line_id: str = "lid") ->
     pieces = lines.select(F.col(line_id).alias("rep_lid"), "x0", "y0", "x1", "y1")
     # Midpoints meet the pieces in the cells about them, never all of a component; what is farther is looked for farther off.
     points = drops.select(F.struct("component", line_id).alias("pid"), F.col("mx").alias("px"), F.col("my").alias("py"))
-    kept_pieces = reps.join(pieces, "rep_lid")
+    kept_pieces = reps.join(pieces.hint("merge"), "rep_lid")
     found = nearest_unbounded(points, kept_pieces, 150.0, "pid", "rep_lid", group=("pid.component", "component"))
     return found.select(F.col(f"pid.{line_id}").alias(line_id), "pid.component", "rep_lid")
 
@@ -130,7 +129,8 @@ def representatives(sides: DataFrame, lines: DataFrame, line_id: str = "lid") ->
 def merged_attributes(segments: DataFrame, pointers: DataFrame, line_id: str = "lid", prefer: Sequence[str] = ()) -> DataFrame:
     """Representatives with what their dropped halves give: lanes added up (the halves' mean weighted by length), the
     larger speed limit, the first value of ``prefer`` columns where they have none, the halves' ids joined by |."""
-    halves = pointers.join(segments, line_id)
+    pointers = checkpoint(pointers)
+    halves = pointers.join(segments.hint("merge"), line_id)
     known = F.col("lanes").isNotNull()
     got = halves.groupBy("rep_lid").agg(
         (F.sum(F.col("lanes") * F.col("length_ft")) / F.sum(F.when(known, F.col("length_ft")))).alias("lanes_twin_half"),
@@ -138,7 +138,7 @@ def merged_attributes(segments: DataFrame, pointers: DataFrame, line_id: str = "
         F.array_join(F.transform(F.array_sort(F.collect_list(line_id)), lambda x: x.cast("string")), "|").alias("twin_ids"),
         *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(line_id))).alias(f"__{c}") for c in prefer),
     )
-    joined = segments.join(pointers.select(line_id), line_id, "left_anti").join(got, F.col(line_id) == F.col("rep_lid"), "left")
+    joined = segments.join(pointers.select(line_id).hint("merge"), line_id, "left_anti").join(got.hint("merge"), F.col(line_id) == F.col("rep_lid"), "left")
     merged = F.col("rep_lid").isNotNull()
     return joined.withColumns({
         "merged_dual": merged, "n_twins_merged": F.coalesce("n_twins_merged", F.lit(0)), "lanes_rep_half": F.when(merged, F.col("lanes")),

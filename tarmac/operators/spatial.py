@@ -82,39 +82,41 @@ def blocks(left: DataFrame, right: DataFrame, crowd: int = CROWD) -> tuple[DataF
     return sides["__l"], sides["__r"]
 
 
-def cell_join(left: DataFrame, right: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Rows of both sides that share a cell (cx, cy), in tasks of bounded size however crowded a cell is."""
+def cell_join(left: DataFrame, right: DataFrame, crowd: int = CROWD, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of both sides that share a cell (cx, cy) and the columns ``by``, in tasks of bounded size however crowded a cell is."""
     a, b = blocks(left, right, crowd)
-    return a.join(b.hint("merge"), ["cx", "cy", "__l", "__r"]).drop("__l", "__r")
+    return a.join(b.hint("merge"), ["cx", "cy", *by, "__l", "__r"]).drop("__l", "__r")
 
 
-def near_pairs(points: DataFrame, pieces: DataFrame, reach: Column | float, size: float, point_id: str = "pid", crowd: int = CROWD) -> DataFrame:
+def near_pairs(points: DataFrame, pieces: DataFrame, reach: Column | float, size: float, point_id: str = "pid", crowd: int = CROWD, by: Sequence[str] = ()) -> DataFrame:
     """Point, piece and ``d2`` (squared distance) of all pairs within reach; ``reach`` may be a column of the points.
 
     ``size`` bounds the reach. A long piece, covered in parts, may meet a point in more than one; minima and flags over
-    pairs are not changed by that. Points without coordinates are near nothing.
+    pairs are not changed by that. Points without coordinates are near nothing. With ``by``, only pairs that agree in these
+    columns of both sides.
     """
     bound = size if isinstance(reach, Column) else float(reach)
     limit = reach if isinstance(reach, Column) else F.lit(float(reach))
-    met = cell_join(with_cell(points, size), cover(pieces, bound, size), crowd)
+    met = cell_join(with_cell(points, size), cover(pieces, bound, size), crowd, by)
     d2 = g.point_piece_d2(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return met.withColumn("d2", d2).where(F.col("d2") <= limit * limit).drop("cx", "cy")
 
 
-def nearest(points: DataFrame, pieces: DataFrame, reach: float, keep: Sequence[str] = (), point_id: str = "pid", line_id: str = "lid", size: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, pieces: DataFrame, reach: float, keep: Sequence[str] = (), point_id: str = "pid", line_id: str = "lid", size: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``pid, lid, d2`` and the columns ``keep`` of the nearest line within reach of each point; of equals the least id.
 
-    Points without a line within reach are left out. Minima are made before the second shuffle.
+    Points without a line within reach are left out. Minima are made before the second shuffle. With ``by``, only lines that
+    agree with the point in these columns of both sides count.
     """
 
     def won(points: DataFrame, radius: float, width: float, last: bool) -> DataFrame:
-        best = near_pairs(points, pieces, radius, width, point_id).groupBy(point_id).agg(F.min(F.struct("d2", line_id, *keep)).alias("best"))
+        best = near_pairs(points, pieces, radius, width, point_id, by=by).groupBy(point_id).agg(F.min(F.struct("d2", line_id, *keep)).alias("best"))
         return best.select(point_id, f"best.{line_id}", "best.d2", *(f"best.{c}" for c in keep))
 
-    return _widening(points, pieces, reach, won, point_id, size or reach)
+    return _widening(points, pieces, reach, won, point_id, size or reach, by)
 
 
-def _radii(points: DataFrame, pieces: DataFrame, reach: float, size: float) -> list[tuple[float, float]]:
+def _radii(points: DataFrame, pieces: DataFrame, reach: float, size: float, by: Sequence[str] = ()) -> list[tuple[float, float]]:
     """(width of cells, radius) of the rounds of a search, the widest last: one round unless cells hold many pieces.
 
     Radii are added, each a quarter of the next, until a cell holds few pieces, or the pairs that a round would compare are
@@ -123,7 +125,7 @@ def _radii(points: DataFrame, pieces: DataFrame, reach: float, size: float) -> l
     rounds, before, n = [(size, reach)], float("inf"), None
     while len(rounds) < 8:
         width, radius = rounds[0]
-        held = cover(pieces.select("x0", "y0", "x1", "y1"), radius, width).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+        held = cover(pieces.select(*by, "x0", "y0", "x1", "y1"), radius, width).groupBy("cx", "cy", *by).agg(F.count("*").alias("n"))
         got = held.agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).first()
         if not got.rows or got.crowd <= DENSE or got.crowd > before / 2:
             break
@@ -135,13 +137,13 @@ def _radii(points: DataFrame, pieces: DataFrame, reach: float, size: float) -> l
     return rounds
 
 
-def _widening(points: DataFrame, pieces: DataFrame, reach: float, won: Callable[[DataFrame, float, float, bool], DataFrame], point_id: str, size: float) -> DataFrame:
+def _widening(points: DataFrame, pieces: DataFrame, reach: float, won: Callable[[DataFrame, float, float, bool], DataFrame], point_id: str, size: float, by: Sequence[str] = ()) -> DataFrame:
     """What ``won(points, radius, width of cells, last)`` says of each point, where its nearest pieces within reach decide.
 
     Points that ``won`` returns for a radius are settled by the pieces within it, as these are all that are no farther; the
     others go on to the next radius. So points do not meet all pieces within reach where many are near.
     """
-    found, rounds = None, _radii(points, pieces, reach, size)
+    found, rounds = None, _radii(points, pieces, reach, size, by) if by else _radii(points, pieces, reach, size)
     for k, (width, radius) in enumerate(rounds):
         last = k == len(rounds) - 1
         got = won(points, radius, width, last)
@@ -191,13 +193,13 @@ def nearest_unbounded(points: DataFrame, pieces: DataFrame, first_reach: float,
     held = points if group else points.withColumn("__own", F.lit(0))
     lines = (pieces if group else pieces.withColumn("__of", F.lit(0))).select(line_id, F.col(of).alias("__of"), "x0", "y0", "x1", "y1")
     held = held.select(F.col(point_id).alias("__pid"), F.col(own).alias("__own"), F.when(known, F.col("px")).alias("px"), F.when(known, F.col("py")).alias("py"))
-    least = F.min(F.struct("d2", line_id)).alias("best")
     if group:
-        got = near_pairs(held, lines, first_reach, first_reach, "__pid").where("__own = __of").groupBy("__pid").agg(least)
-        got = checkpoint(got.select("__pid", f"best.{line_id}", "best.d2"))
+        held, lines = checkpoint(held), checkpoint(lines)  # both are mostly joins, and read in every round
+        got = nearest(held, lines.withColumnRenamed("__of", "__own"), first_reach, (), "__pid", line_id, by=("__own",))
     else:
-        got = checkpoint(nearest(held, lines, first_reach, (), "__pid", line_id))
-    rest = checkpoint(held.join(got.select("__pid"), "__pid", "left_anti"))
+        got = nearest(held, lines, first_reach, (), "__pid", line_id)
+    got = checkpoint(got)
+    rest = checkpoint(held.join(got.select("__pid").hint("merge"), "__pid", "left_anti"))
     found = got
     if not rest.where("px is not null and py is not null").isEmpty():
         found = got.unionByName(_descend(rest.where("px is not null and py is not null"), lines, first_reach, line_id))
@@ -238,7 +240,7 @@ def _descend(points: DataFrame, pieces: DataFrame, size: float, line_id: str) ->
         left = met.where(F.col("low") <= F.col("high") * (1 + 1e-9) + 1e-6)
         front = left.select("__pid", "__own", "px", "py", *([F.col(c).alias(f"u{c}") for c in ("cx", "cy")] if k else ["cx", "cy"]))
     d2 = g.point_piece_d2(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    met = cell_join(front, base).where("__own = __of").withColumn("d2", d2)
+    met = cell_join(front, base.withColumnRenamed("__of", "__own"), by=("__own",)).withColumn("d2", d2)
     return met.groupBy("__pid").agg(F.min(F.struct("d2", line_id)).alias("best")).select("__pid", f"best.{line_id}", "best.d2")
 
 
