@@ -6,9 +6,12 @@ fingerprints differ in at most T_i bits in some partition i. Each fingerprint ge
 programming on estimated candidate counts, so that it does not probe where it is one of many.
 
 Texts that share 0.8 of their shingles differ in some 10 of 64 bits, and often in 17, a distance at which any partition
-is met by a large share of all texts. ``similar_documents`` therefore uses wide fingerprints: VIEWS partitions of 64 bits,
-each the SimHash of SAMPLE shingles that are drawn min-wise. The bits of a partition change together or not at all, so
-partitions are probed for equality (all thresholds 0), and pairs that meet are verified by their exact shingles.
+is met by a large share of all texts. ``similar_documents`` therefore uses wide fingerprints: shingles are drawn min-wise,
+correlated draws are grouped to VIEWS partitions of SAMPLE draws, and a partition is the SimHash of its shingles. The bits of
+a partition change together or not at all, so the distance of two wide fingerprints is the number of partitions in which they
+differ, and a partition is probed for equality (threshold 0) or not (-1). The thresholds are again each fingerprint's own, by
+the same dynamic programming, and sum to reach - m + 1 for a reach of VIEWS - SHARED partitions; pairs that meet are verified
+by their exact shingles.
 """
 
 from __future__ import annotations
@@ -32,16 +35,20 @@ BITS = 64
 CELLS = 1 << 16
 #: Members of a bucket that are compared pair by pair at most; larger ones are linked through centres.
 PAIRS_UP_TO = 64
-#: Partitions of a wide fingerprint, and shingles drawn for each. Texts of similarity s share a partition with a chance of
-#: 1 - (1 - s ** SAMPLE) ** VIEWS: 0.999 at 0.8.
-VIEWS, SAMPLE = 10, 3
+#: Partitions of a wide fingerprint, shingles drawn for each, and partitions that similar texts must share to be met for sure.
+#: Texts of similarity s share each with a chance of s ** SAMPLE, and SHARED of them or more with one of 0.999 at 0.8.
+VIEWS, SAMPLE, SHARED = 17, 3, 3
+DRAWS = VIEWS * SAMPLE
+#: Cells of the histogram of a wide fingerprint's partition: a bound as CELLS, smaller as there are more partitions.
+WIDE_CELLS = 1 << 13
 #: Members of a bucket of wide fingerprints that are verified pair by pair at most, and those of a bucket of later rounds,
 #: of which only pairs count that are not joined yet.
 SIMILAR_PAIRS_UP_TO, FURTHER_PAIRS_UP_TO = 32, 256
 #: Bits that stand for the shingles of a node where pairs are told apart before their shingles are fetched.
 SKETCH = 512
 _DRAW = np.random.default_rng(8)
-_DRAW_XOR, _DRAW_ODD = (_DRAW.integers(0, 1 << 32, VIEWS * SAMPLE, np.uint32) for _ in range(2))
+_DRAW_XOR, _DRAW_ODD = (_DRAW.integers(0, 1 << 32, DRAWS, np.uint32) for _ in range(2))
+_DRAW_BASE = np.arange(DRAWS, dtype=np.uint64) << np.uint64(32)
 _SCATTER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,7 +104,7 @@ def correlation(prints: DataFrame) -> np.ndarray:
 
 def group_bits(related: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in ``parts`` groups of nearly equal width: each takes the free bit most related to those that it has."""
-    free, groups = set(range(BITS)), []
+    free, groups = set(range(len(related))), []
     related = related - np.diag(np.diag(related))
     for k in range(parts):
         size = len(free) // (parts - k)
@@ -125,16 +132,16 @@ def choose_parts(n: int, reach: int) -> int:
 def allocate(costs: np.ndarray, reach: int) -> np.ndarray:
     """For each row the thresholds of least total cost that sum to reach - m + 1.
 
-    ``costs``: rows x partitions x thresholds -1, 0 and 1. Dynamic programming over partitions and the sum so far.
+    ``costs``: rows x partitions x thresholds -1, 0 and so on. Dynamic programming over partitions and the sum so far.
     """
-    n, m, _ = costs.shape
+    n, m, choices = costs.shape
     best = {0: np.zeros(n)}
     came: list[dict[int, np.ndarray]] = []
     for i in range(m):
         new: dict[int, np.ndarray] = {}
         how: dict[int, np.ndarray] = {}
         for total, cost in best.items():
-            for t in (-1, 0, 1):
+            for t in range(-1, choices - 1):
                 value, key = cost + costs[:, i, t + 1], total + t
                 if key not in new:
                     new[key], how[key] = value.copy(), np.full(n, t)
@@ -156,8 +163,24 @@ def _masks(groups: list[list[int]]) -> np.ndarray:
     return np.array([sum(1 << b for b in g) for g in groups], np.uint64)
 
 
-def _cells(values: np.ndarray) -> np.ndarray:
-    return ((values * _SCATTER) >> np.uint64(48)).astype(np.int64)
+def _cells(values: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    return ((values * _SCATTER) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
+def _histogram(table: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], parts: int, cells: int) -> np.ndarray:
+    """parts x cells: how many rows of ``table`` have a value in the cell; ``values`` gives those of a batch, rows x parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = values(batch)
+            for i in range(parts):
+                cell, count = np.unique(_cells(own[:, i], cells), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), i, np.int32)), pa.array(cell), pa.array(count)], ["part", "cell", "n"])
+
+    seen = table.mapInArrow(run, "part int, cell long, n long").groupBy("part", "cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((parts, cells))
+    out[seen.column("part").to_numpy(), seen.column("cell").to_numpy()] = seen.column("n").to_numpy()
+    return out
 
 
 def link_fingerprints(prints: DataFrame, reach: int = 2) -> DataFrame:
@@ -174,17 +197,7 @@ def link_fingerprints(prints: DataFrame, reach: int = 2) -> DataFrame:
     groups = group_bits(correlation(prints), choose_parts(n, reach))
     masks = _masks(groups)
     flips = [np.array([1 << b for b in g], np.uint64) for g in groups]
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, mask in enumerate(masks):
-                cell, count = np.unique(_cells(fp & mask), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), i, np.int32)), pa.array(cell), pa.array(count)], ["part", "cell", "n"])
-
-    seen = prints.select("fp").mapInArrow(cells, "part int, cell long, n long").groupBy("part", "cell").agg(F.sum("n").alias("n")).toArrow()
-    histogram = np.zeros((len(masks), CELLS))
-    histogram[seen.column("part").to_numpy(), seen.column("cell").to_numpy()] = seen.column("n").to_numpy()
+    histogram = _histogram(prints.select("fp"), lambda batch: batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)[:, None] & masks, len(masks), CELLS)
     sent = prints.sparkSession.sparkContext.broadcast(histogram)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,17 +275,34 @@ def bit_groups(docs: DataFrame, width: int = 3, reach: int = 2, keys: tuple[str,
     return prints.join(known, "fp").select(*keys, "fp", "component", "component_id")
 
 
-def _views(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The partitions of each document, a row for each: ``starts`` is where its distinct shingle hashes ``h`` begin."""
+def _draws(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The shingles drawn for each document (32 bits of each), documents x DRAWS: ``starts`` is where its distinct shingle
+    hashes ``h`` begin."""
     low = (h >> np.uint64(32)).astype(np.uint32)
-    drawn = [scramble(np.minimum.reduceat((low ^ x) * (y | np.uint32(1)), starts).astype(np.uint64) + np.uint64(k << 32)) for k, (x, y) in enumerate(zip(_DRAW_XOR, _DRAW_ODD))]
-    # Of three hashes, a bit is set in over half if it is in two.
-    return np.column_stack([(a & b) | (a & c) | (b & c) for a, b, c in zip(drawn[0::3], drawn[1::3], drawn[2::3])])
+    return np.column_stack([np.minimum.reduceat((low ^ x) * (y | np.uint32(1)), starts) for x, y in zip(_DRAW_XOR, _DRAW_ODD)])
+
+
+def _spread(drawn: np.ndarray) -> np.ndarray:
+    """The 64 bits of each drawn shingle."""
+    return scramble(drawn.astype(np.uint64) + _DRAW_BASE)
+
+
+def _signs(drawn: np.ndarray) -> np.ndarray:
+    """A bit of each draw side by side in 64 bits, for the correlation of draws: the bits of one draw change together."""
+    return np.bitwise_or.reduce((_spread(drawn) >> np.uint64(63)) << np.arange(DRAWS, dtype=np.uint64), axis=1)
+
+
+def _partitions(drawn: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+    """The SimHash of the shingles of each group of three draws, documents x groups: a bit is set in over half if in two."""
+    bits = _spread(drawn)
+    a, b, c = (bits[:, [g[k] for g in groups]] for k in range(SAMPLE))
+    return (a & b) | (a & c) | (b & c)
 
 
 def _wide(docs: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
-    """``keys, node`` (a digest of the set of shingles), ``views`` (the partitions; none for a text without words)."""
-    schema = T.StructType([*(docs.schema[x] for x in keys), T.StructField("node", T.LongType()), T.StructField("views", T.ArrayType(T.LongType()))])
+    """``keys, node`` (a digest of the set of shingles), ``signs`` and ``drawn`` (see ``_signs`` and ``_draws``; null and none
+    for a text without words)."""
+    schema = T.StructType([*(docs.schema[x] for x in keys), T.StructField("node", T.LongType()), T.StructField("signs", T.LongType()), T.StructField("drawn", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, h, d in _shingled(batches, width):
@@ -282,14 +312,47 @@ def _wide(docs: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
             count = np.bincount(d, minlength=n)
             if len(h):
                 node[some] = scramble(np.add.reduceat(scramble(h), starts) + count[some].astype(np.uint64))
-            made = _views(h, starts) if len(h) else np.empty((0, VIEWS), np.uint64)
-            ends = np.concatenate([[0], np.cumsum(count > 0)]) * VIEWS
-            views = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), pa.array(node.view(np.int64)), views], schema.names)
+            made = _draws(h, starts) if len(h) else np.empty((0, DRAWS), np.uint32)
+            signs = np.zeros(n, np.uint64)
+            signs[some] = _signs(made)
+            ends = np.concatenate([[0], np.cumsum(count > 0)]) * DRAWS
+            drawn = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.ravel().view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), pa.array(node.view(np.int64)), pa.array(signs.view(np.int64), mask=count == 0), drawn], schema.names)
 
     return docs.select(*keys, "text").mapInArrow(run, schema)
 
 
+def probe_rows(nodes: DataFrame) -> DataFrame:
+    """``view, value, node, probes``: the value of each node (node, signs, drawn) in each partition, and if it probes it.
+
+    Draws are grouped by their correlation over all nodes, so that frequent shingles crowd few partitions and not all. A
+    node probes VIEWS - SHARED + 1 partitions, those where the histogram of all nodes shows it the fewest others: any two
+    that share SHARED or more partitions meet in one that the first probes, and in one that the second probes.
+    """
+    nodes = nodes.where("signs is not null")
+    groups = group_bits(correlation(nodes.select(F.col("signs").alias("fp")))[:DRAWS, :DRAWS], VIEWS)
+    table = nodes.select("node", "drawn")
+
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        return _partitions(pc.list_flatten(batch.column("drawn")).to_numpy(zero_copy_only=False).view(np.uint32).reshape(-1, DRAWS), groups)
+
+    sent = nodes.sparkSession.sparkContext.broadcast(_histogram(table, values, VIEWS, WIDE_CELLS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, views = sent.value, np.arange(VIEWS, dtype=np.int32)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                own = values(batch)
+                costs = np.zeros((len(own), VIEWS, 2))
+                costs[:, :, 1] = 1 + seen[views, _cells(own, WIDE_CELLS)]
+                probes = allocate(costs, VIEWS - SHARED) >= 0
+                node = batch.column("node").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(views, len(own))), pa.array(own.ravel().view(np.int64)), pa.array(np.repeat(node, VIEWS)), pa.array(probes.ravel())], ["view", "value", "node", "probes"])
+
+    return table.mapInArrow(run, "view int, value long, node long, probes boolean")
+
+
 def _shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches of few texts with the hashes of their distinct shingles and the document of each."""
     for whole in batches:
@@ -318,16 +381,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 
 
 def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float, rounds: int = 2) -> DataFrame:
-    """``src, dst``: verified links between nodes that share a bucket (``rows``: view, value, node).
+    """``src, dst``: verified links between nodes that share a bucket (``rows``: view, value, node, probes) that one probes.
 
-    Buckets of up to SIMILAR_PAIRS_UP_TO nodes are verified pair by pair. In a larger one all nodes are verified against
+    Buckets that no node probes are left out. Those of up to SIMILAR_PAIRS_UP_TO nodes are verified pair by pair, as far as
+    one of the two probes the bucket. In a larger one all nodes are verified against
     its leader, the node whose buckets are the most crowded (of copies of one text, mostly the text itself). Nodes that are
     not similar to the leader go on to the next round: two of them that are similar share a shingle that the leader lacks
     (see ``_beyond_leader``), so they meet again in buckets by such shingles, where pairs that links have joined by then are
     left out and buckets of up to FURTHER_PAIRS_UP_TO go pair by pair. A group of k copies thus costs k pairs, not k squared. Links that only a further round would show, between texts that differ from the leaders of all their large
     buckets, are not looked for, so that of such a group more than one text may stay. ``sets`` gives the shingle arrays.
     """
-    sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("probes").alias("any")).where("n > 1 and any").select("view", "value", "n")
     held = cut_lineage(rows.join(sizes, ["view", "value"]).withColumns({"open": F.lit(True), "joined": F.col("node")}))
     arrays = cut_lineage(sets(held.select("node").distinct()))  # nodes of later rounds are among these
     sketches = cut_lineage(arrays.select("node", F.size("shingles").alias("size"), _sketch("shingles").alias("bits")))
@@ -336,8 +400,8 @@ def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
         most = FURTHER_PAIRS_UP_TO if k else SIMILAR_PAIRS_UP_TO
         small, large = held.where(F.col("n") <= most), held.where(F.col("n") > most)
         seen = small.join(sketches, "node")
-        a, b = (seen.select("view", "value", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("open", "joined", "size", "bits"))) for x in ("src", "dst"))
-        pairs = a.join(b, ["view", "value"]).where("src < dst and (open_src or open_dst) and joined_src <> joined_dst").where(_may_be_similar(share)).select("src", "dst")
+        a, b = (seen.select("view", "value", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("probes", "open", "joined", "size", "bits"))) for x in ("src", "dst"))
+        pairs = a.join(b, ["view", "value"]).where("src < dst and (probes_src or probes_dst) and (open_src or open_dst) and joined_src <> joined_dst").where(_may_be_similar(share)).select("src", "dst")
         crowd = large.groupBy("node").agg(F.sum("n").alias("crowd"))
         best = F.max_by(F.struct("node", "open"), F.struct("crowd", F.xxhash64("node")))
         leaders = large.join(crowd, "node").groupBy("view", "value").agg(best.alias("x")).select("view", "value", F.col("x.node").alias("leader"), F.col("x.open").alias("leads_open"))
@@ -376,7 +440,7 @@ def _may_be_similar(share: float) -> F.Column:
 
 
 def _beyond_leader(led: DataFrame, arrays: DataFrame, share: float) -> DataFrame:
-    """``view, value, node, open``: buckets of nodes (leader, node, open) of one leader by shingles that it lacks.
+    """``view, value, node, probes, open``: buckets of nodes (leader, node, open) of one leader by shingles that it lacks.
 
     If a and b are similar and b is the larger, they share 2 s / (1 + s) of the shingles of a. If a has fewer in common with
     the leader, one of those shared is not among the leader's. As they share at least s times the size of either, it is
@@ -389,7 +453,7 @@ def _beyond_leader(led: DataFrame, arrays: DataFrame, share: float) -> DataFrame
     least = F.greatest(F.ceil(share * F.col("n") - 1e-9) - common, F.lit(1))
     first = F.slice("beyond", F.lit(1), F.greatest(F.size("beyond") - least.cast("int") + 1, F.lit(0)))
     keys = met.select("leader", "node", "open", F.explode(first).alias("key"))
-    return keys.select(F.lit(0).alias("view"), F.xxhash64("leader", "key").alias("value"), "node", "open")
+    return keys.select(F.lit(0).alias("view"), F.xxhash64("leader", "key").alias("value"), "node", F.lit(True).alias("probes"), "open")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -397,22 +461,21 @@ def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, keys:
     ``width`` words (A-Z lower-cased) have a similarity of ``share`` or more; component_id is the least doc_id.
 
     Texts with the same set of shingles are one node. Texts of fewer words have their whole sequence as their one shingle;
-    null and empty texts and those without words are one group. Candidates share a partition of a wide fingerprint (see
-    VIEWS for the chance) and are verified by the exact sets of hashes. Repeated rows come out alike; a null doc_id is never
+    null and empty texts and those without words are one group. Candidates meet in a partition of a wide fingerprint that one
+    of them probes (see VIEWS for the chance) and are verified by the exact sets of hashes. Repeated rows come out alike; a null doc_id is never
     the least unless a group has no other. An empty table gives no rows; other columns are left out.
     """
     marked = docs.withColumn("__text", F.xxhash64("text"))
     wide = cut_lineage(_wide(marked, tuple(dict.fromkeys((*keys, "doc_id", "__text"))), width))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text"))
-    nodes = cut_lineage(wide.groupBy("node").agg(one.alias("x"), F.first("views").alias("views")).select("node", "x.doc_id", F.col("x.__text").alias("row"), "views"))
+    nodes = cut_lineage(wide.groupBy("node").agg(one.alias("x"), *(F.first(x).alias(x) for x in ("signs", "drawn"))).select("node", "x.doc_id", F.col("x.__text").alias("row"), "signs", "drawn"))
 
     def sets(asked: DataFrame) -> DataFrame:
         texts = nodes.join(asked, "node", "left_semi").select("node", F.col("doc_id").alias("own"), "row")
         held = marked.select("doc_id", "text", "__text").join(texts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("__text") == F.col("row"))).select("node", "text")
         return _shingle_arrays(held, width)
 
-    rows = nodes.select("node", F.posexplode("views").alias("view", "value"))
-    found = connected_components(link_similar(rows, sets, share)).select("node", "component")
+    found = connected_components(link_similar(probe_rows(nodes), sets, share)).select("node", "component")
     joined = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = joined.select("node", "component").join(least, "component").select("node", "component", "component_id")
