@@ -67,10 +67,13 @@ def demographic_rates(df: DataFrame) -> DataFrame:
 
 
 def land_use_profile(lines: DataFrame, hits: DataFrame, category: str = "lu", line_id: str = "lid") -> DataFrame:
-    """``dominant`` (largest area among known categories, ties by name), shares of known area, ``n_parcels`` of all hits."""
-    known = hits.where(F.col(category) != "Unknown").groupBy(line_id, category).agg(F.sum("area").alias("area"))
+    """``dominant`` (largest area among known categories, ties by name), shares of known area, ``n_parcels`` of all hits.
+
+    A row of ``hits`` is a parcel or, where they have a column ``n``, stands for so many with their summed area.
+    """
+    each = hits.groupBy(line_id, category).agg(F.sum("area").alias("area"), (F.sum("n") if "n" in hits.columns else F.count("*")).alias("n"))
     named = {"pct_residential": "Residential", "pct_commercial": "Commercial", "pct_industrial": "Industrial"}
-    total = F.sum("area")
-    got = known.groupBy(line_id).agg(F.min_by(category, F.struct(-F.col("area"), F.col(category))).alias("dominant"), *(F.bround(100 * F.coalesce(F.sum(F.when(F.col(category) == v, F.col("area"))), F.lit(0.0)) / total, 1).alias(k) for k, v in named.items()))
-    n = hits.groupBy(line_id).agg(F.count("*").alias("n_parcels"))
-    return lines.select(line_id).join(got, line_id, "left").join(n, line_id, "left").na.fill(0, ["n_parcels"])
+    known = F.col(category) != "Unknown"
+    total = F.sum(F.when(known, F.col("area")))
+    got = each.groupBy(line_id).agg(F.min_by(category, F.when(known, F.struct(-F.col("area"), F.col(category)))).alias("dominant"), *(F.bround(100 * F.coalesce(F.sum(F.when(F.col(category) == v, F.col("area"))), F.lit(0.0)) / total, 1).alias(k) for k, v in named.items()), F.sum("n").alias("n_parcels"))
+    return lines.select(line_id).join(got.hint("merge"), line_id, "left").na.fill(0, ["n_parcels"])
