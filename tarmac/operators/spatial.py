@@ -102,15 +102,20 @@ def near_pairs(points: DataFrame, pieces: DataFrame, reach: Column | float, size
     return met.withColumn("d2", d2).where(F.col("d2") <= limit * limit).drop("cx", "cy")
 
 
-def nearest(points: DataFrame, pieces: DataFrame, reach: float, keep: Sequence[str] = (), point_id: str = "pid", line_id: str = "lid", size: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+def nearest(points: DataFrame, pieces: DataFrame, reach: float, keep: Sequence[str] = (), point_id: str = "pid", line_id: str = "lid", size: float | None = None, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """``pid, lid, d2`` and the columns ``keep`` of the nearest line within reach of each point; of equals the least id.
 
     Points without a line within reach are left out. Minima are made before the second shuffle. With ``by``, only lines that
-    agree with the point in these columns of both sides count.
+    agree with the point in these columns of both sides count. With ``digits``, squared distances are rounded to so many
+    before they are compared with each other and with the reach.
     """
 
     def won(points: DataFrame, radius: float, width: float, last: bool) -> DataFrame:
-        best = near_pairs(points, pieces, radius, width, point_id, by=by).groupBy(point_id).agg(F.min(F.struct("d2", line_id, *keep)).alias("best"))
+        # Rounding brings squared distances down by half a unit of the last digit at most.
+        pairs = near_pairs(points, pieces, radius if digits is None else (radius * radius + 10.0**-digits) ** 0.5, width, point_id, by=by)
+        if digits is not None:
+            pairs = pairs.withColumn("d2", F.round("d2", digits)).where(F.col("d2") <= radius * radius)
+        best = pairs.groupBy(point_id).agg(F.min(F.struct("d2", line_id, *keep)).alias("best"))
         return best.select(point_id, f"best.{line_id}", "best.d2", *(f"best.{c}" for c in keep))
 
     return _widening(points, pieces, reach, won, point_id, size or reach, by)
