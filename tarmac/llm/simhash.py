@@ -380,16 +380,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return held.select("src", "dst", shared.alias("n"), (F.size("a") + F.size("b")).alias("both")).where(F.col("n") >= share * (F.col("both") - F.col("n")) - 1e-9).select("src", "dst")
 
 
-def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float, rounds: int = 2) -> DataFrame:
-    """``src, dst``: verified links between nodes that share a bucket (``rows``: view, value, node, probes) that one probes.
+def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float, rounds: int = 3) -> DataFrame:
+    """``src, dst``: verified links that connect all similar nodes that share a bucket (``rows``: view, value, node, probes)
+    which one of them probes.
 
     Buckets that no node probes are left out. Those of up to SIMILAR_PAIRS_UP_TO nodes are verified pair by pair, as far as
     one of the two probes the bucket. In a larger one all nodes are verified against
     its leader, the node whose buckets are the most crowded (of copies of one text, mostly the text itself). Nodes that are
-    not similar to the leader go on to the next round: two of them that are similar share a shingle that the leader lacks
-    (see ``_beyond_leader``), so they meet again in buckets by such shingles, where pairs that links have joined by then are
-    left out and buckets of up to FURTHER_PAIRS_UP_TO go pair by pair. A group of k copies thus costs k pairs, not k squared. Links that only a further round would show, between texts that differ from the leaders of all their large
-    buckets, are not looked for, so that of such a group more than one text may stay. ``sets`` gives the shingle arrays.
+    not similar to the leader go on to the next round: two of them that are similar meet again in buckets by shingles that the
+    leader lacks, or by those that it has (see ``_beyond_leader``), where pairs that links have joined by then are
+    left out and buckets of up to FURTHER_PAIRS_UP_TO go pair by pair. A group of k copies thus costs k pairs, not k squared.
+    Rounds end when no bucket is larger. If ``rounds`` of them leave some, these go pair by pair too, as far as links have not
+    joined their nodes yet (see ``_across``), so that no link between two groups is lost. ``sets`` gives the shingle arrays.
     """
     sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("probes").alias("any")).where("n > 1 and any").select("view", "value", "n")
     held = cut_lineage(rows.join(sizes, ["view", "value"]).withColumns({"open": F.lit(True), "joined": F.col("node")}))
@@ -409,16 +411,37 @@ def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
         way = led.where("open or leads_open").select(F.least("leader", "node").alias("src"), F.greatest("leader", "node").alias("dst"))
         found = cut_lineage(_verified(pairs.unionByName(way).distinct(), arrays, share))
         links = found if links is None else links.unionByName(found)
-        met = found.select("src", "dst").unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("leader"), F.col("dst").alias("node"), F.lit(True).alias("met"))
-        if k == rounds - 1:
+        if led.isEmpty():
             return links
-        led = led.join(met, ["leader", "node"], "left").withColumn("open", F.col("open") & F.col("met").isNull()).drop("met")
+        met = found.select("src", "dst").unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("leader"), F.col("dst").alias("node"), F.lit(True).alias("met"))
+        led = cut_lineage(led.join(met, ["leader", "node"], "left").withColumn("open", F.col("open") & F.col("met").isNull()).drop("met"))
         groups = connected_components(links)
         keys = _beyond_leader(led, arrays, share).join(groups, "node", "left").withColumn("joined", F.coalesce("component", "node")).drop("component")
         keys = cut_lineage(keys)
         sizes = keys.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("open").alias("any"), (F.min("joined") < F.max("joined")).alias("several")).where("n > 1 and any and several")
         held = cut_lineage(keys.join(sizes.select("view", "value", "n"), ["view", "value"]))
-    return links
+        if held.isEmpty():
+            return links
+    rest = cut_lineage(_verified(_across(held.join(sketches, "node"), share).distinct(), arrays, share))
+    return rest if links is None else links.unionByName(rest)
+
+
+def _across(held: DataFrame, share: float) -> DataFrame:
+    """``src, dst``: pairs of a bucket (view, value, node, n, open, joined, size, bits) that may be similar, of which links have
+    not joined the two and one is open.
+
+    Nodes outside the largest group of their bucket meet all of it. The bucket is dealt to blocks of FURTHER_PAIRS_UP_TO
+    nodes, each a key of its own, for which these others are written again.
+    """
+    groups = held.groupBy("view", "value", "joined").agg(F.count("*").alias("k"))
+    main = groups.groupBy("view", "value").agg(F.max_by("joined", F.struct("k", "joined")).alias("main"))
+    blocks = F.ceil(F.col("n") / FURTHER_PAIRS_UP_TO).cast("int")
+    seen = held.join(main.hint("merge"), ["view", "value"]).withColumn("other", F.col("joined") != F.col("main"))
+    of = lambda df, x: df.select("view", "value", "block", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("open", "joined", "size", "bits", "other")))
+    a = of(seen.where("other").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))), "src")
+    b = of(seen.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")), "dst")
+    met = a.join(b.hint("merge"), ["view", "value", "block"]).where("(not other_dst or src < dst) and (open_src or open_dst) and joined_src <> joined_dst")
+    return met.where(_may_be_similar(share)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def _sketch(shingles: str) -> F.Column:
@@ -440,20 +463,26 @@ def _may_be_similar(share: float) -> F.Column:
 
 
 def _beyond_leader(led: DataFrame, arrays: DataFrame, share: float) -> DataFrame:
-    """``view, value, node, probes, open``: buckets of nodes (leader, node, open) of one leader by shingles that it lacks.
-
-    If a and b are similar and b is the larger, they share 2 s / (1 + s) of the shingles of a. If a has fewer in common with
-    the leader, one of those shared is not among the leader's. As they share at least s times the size of either, it is
-    found among the first that each has beyond the leader, in one order for all, when as many are looked at as could be
-    missed and one more. Only if a longer leader holds the smaller of the two nearly whole may the two miss each other here.
+    """``view, value, node, probes, open``: buckets of nodes (leader, node, open) of one leader, in one of which any two
+    similar ones meet of which the leader is not similar to both.
+
+    Similar nodes a and b share at least s times the size of either. If one of the shingles that they share is not the
+    leader's, they meet by it (view 0): as they share at least s times the size of either less what that has in common with the
+    leader, one is found among the first that each has beyond the leader, in one order for all, when as many are looked at as
+    could be missed and one more. If the leader has all that they share, each has s times its size in common with it, and
+    they meet in the same way by shingles that it has (view 1). Only leaders of which an open node is so contained get such
+    buckets.
     """
     own, head = arrays.select("node", "shingles"), arrays.select(F.col("node").alias("leader"), F.col("shingles").alias("held"))
-    met = led.join(own, "node").join(head, "leader").select("leader", "node", "open", F.size("shingles").alias("n"), F.array_sort(F.array_except("shingles", "held")).alias("beyond"))
-    common = F.col("n") - F.size("beyond")
-    least = F.greatest(F.ceil(share * F.col("n") - 1e-9) - common, F.lit(1))
-    first = F.slice("beyond", F.lit(1), F.greatest(F.size("beyond") - least.cast("int") + 1, F.lit(0)))
-    keys = met.select("leader", "node", "open", F.explode(first).alias("key"))
-    return keys.select(F.lit(0).alias("view"), F.xxhash64("leader", "key").alias("value"), "node", F.lit(True).alias("probes"), "open")
+    whole = lambda df: df.join(own, "node").join(head, "leader").withColumn("need", F.ceil(share * F.size("shingles") - 1e-9).cast("int"))
+    first = lambda c, least: F.slice(c, F.lit(1), F.greatest(F.size(c) - least + 1, F.lit(0)))
+    met = whole(led).select("leader", "node", "open", "need", F.size("shingles").alias("n"), F.array_sort(F.array_except("shingles", "held")).alias("beyond"))
+    least = F.greatest(F.col("need") - (F.col("n") - F.size("beyond")), F.lit(1))
+    keys = met.select("leader", "node", "open", F.lit(0).alias("view"), F.explode(first(F.col("beyond"), least)).alias("key"))
+    inside = lambda df: whole(df).withColumn("inside", F.array_intersect("shingles", "held")).where(F.size("inside") >= F.col("need"))
+    contain = inside(led.where("open")).select("leader").distinct()
+    within = inside(led.join(contain.hint("merge"), "leader", "left_semi")).select("leader", "node", "open", F.lit(1).alias("view"), F.explode(first(F.array_sort("inside"), F.col("need"))).alias("key"))
+    return keys.unionByName(within).select("view", F.xxhash64("leader", "key").alias("value"), "node", F.lit(True).alias("probes"), "open")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
