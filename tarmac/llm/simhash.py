@@ -390,8 +390,9 @@ def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
     not similar to the leader go on to the next round: two of them that are similar meet again in buckets by shingles that the
     leader lacks, or by those that it has (see ``_beyond_leader``), where pairs that links have joined by then are
     left out and buckets of up to FURTHER_PAIRS_UP_TO go pair by pair. A group of k copies thus costs k pairs, not k squared.
-    Rounds end when no bucket is larger. If ``rounds`` of them leave some, these go pair by pair too, as far as links have not
-    joined their nodes yet (see ``_across``), so that no link between two groups is lost. ``sets`` gives the shingle arrays.
+    Rounds end where the pairs of nodes that links have not joined yet are no more than FURTHER_PAIRS_UP_TO for each row of a
+    bucket, or after ``rounds``; all that is left goes pair by pair then, however large a bucket is (see ``_across``), so that
+    no link between two groups is lost. ``sets`` gives the shingle arrays.
     """
     sizes = rows.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("probes").alias("any")).where("n > 1 and any").select("view", "value", "n")
     held = cut_lineage(rows.join(sizes, ["view", "value"]).withColumns({"open": F.lit(True), "joined": F.col("node")}))
@@ -420,12 +421,21 @@ def link_similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
         keys = cut_lineage(keys)
         sizes = keys.groupBy("view", "value").agg(F.count("*").alias("n"), F.max("open").alias("any"), (F.min("joined") < F.max("joined")).alias("several")).where("n > 1 and any and several")
         held = cut_lineage(keys.join(sizes.select("view", "value", "n"), ["view", "value"]))
-        if held.isEmpty():
+        left = _groups(held).agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))).alias("pairs"), F.sum("n").alias("rows")).first()
+        if not left.rows:
             return links
+        if left.pairs <= FURTHER_PAIRS_UP_TO * left.rows:
+            break
     rest = cut_lineage(_verified(_across(held.join(sketches, "node"), share).distinct(), arrays, share))
     return rest if links is None else links.unionByName(rest)
 
 
+def _groups(held: DataFrame) -> DataFrame:
+    """``view, value, main, most, n``: the largest group (joined) of a bucket, its nodes, and those of the bucket."""
+    groups = held.groupBy("view", "value", "joined").agg(F.count("*").alias("k"))
+    return groups.groupBy("view", "value").agg(F.max_by("joined", F.struct("k", "joined")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("n"))
+
+
 def _across(held: DataFrame, share: float) -> DataFrame:
     """``src, dst``: pairs of a bucket (view, value, node, n, open, joined, size, bits) that may be similar, of which links have
     not joined the two and one is open.
@@ -433,8 +443,7 @@ def _across(held: DataFrame, share: float) -> DataFrame:
     Nodes outside the largest group of their bucket meet all of it. The bucket is dealt to blocks of FURTHER_PAIRS_UP_TO
     nodes, each a key of its own, for which these others are written again.
     """
-    groups = held.groupBy("view", "value", "joined").agg(F.count("*").alias("k"))
-    main = groups.groupBy("view", "value").agg(F.max_by("joined", F.struct("k", "joined")).alias("main"))
+    main = _groups(held).select("view", "value", "main")
     blocks = F.ceil(F.col("n") / FURTHER_PAIRS_UP_TO).cast("int")
     seen = held.join(main.hint("merge"), ["view", "value"]).withColumn("other", F.col("joined") != F.col("main"))
     of = lambda df, x: df.select("view", "value", "block", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("open", "joined", "size", "bits", "other")))
